@@ -68,3 +68,13 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -
 
 
 import pyarrow.compute  # noqa: E402,F401  makes pa.compute available
+
+
+def segments(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
+    """text in parts of about limit bytes, cut before white space only, so that words stay whole."""
+    at = 0
+    while len(text) - at > limit:
+        end = min((i for i in (text.find(s, at + limit) for s in (b" ", b"\n")) if i >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
