@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language_id import op3_language_id
+from .lm_scoring import op1_ppm_scoring
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op10_best_fit_packing
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ppm_scoring": op1_ppm_scoring,
+    "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_compression_bands": op5_compression_bands,
     "op7_mix_sources": op7_mix_sources,
