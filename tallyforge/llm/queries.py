@@ -12,9 +12,11 @@ from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op10_best_fit_packing
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
+from .topk import OP2_SQL, op2_bit_sliced_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_scoring": op1_ppm_scoring,
+    "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_compression_bands": op5_compression_bands,
@@ -22,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_mix_sources": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": OP2_SQL, "op7_mix_sources": OP7_SQL}
