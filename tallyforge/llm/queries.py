@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language_id import op3_language_id
+from .license_scan import op9_license_scan
 from .lm_scoring import op1_ppm_scoring
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op10_best_fit_packing
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
 from .topk import OP2_SQL, op2_bit_sliced_topk
+from .warc import op8_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_scoring": op1_ppm_scoring,
@@ -21,6 +23,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": op4_simhash,
     "op5_compression_bands": op5_compression_bands,
     "op7_mix_sources": op7_mix_sources,
+    "op8_warc_revisits": op8_warc_revisits,
+    "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
