@@ -22,7 +22,7 @@ K = 3
 #: Diagonals are merged if they differ by so many words at most and their hits lie so many words apart at most.
 DRIFT, GAP = 4, 12
 #: A span holds at least this share of the template's words; of a template of over LONG words, LONG words at least, as densely.
-SHARE, LONG = 0.8, 40
+SHARE, SHORT, LONG = 0.8, 16, 40
 BROADCAST_ROWS = 100_000
 #: Words are runs of digits, a-z and bytes beyond ASCII, after lower-casing A-Z.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -108,7 +108,10 @@ def candidate_spans(docs: DataFrame, text: str = "text", k: int = K) -> DataFram
 
 
 def verify(words: list[bytes], template: list[bytes], start: int, stop: int, k: int = K) -> float:
-    """Share of the template's words (of its best LONG, if it is longer) that stand in order in the span; 0 if they are too few."""
+    """Share of the template's words that stand in order in the span; 0 if they are too few.
+
+    A template of SHORT words at most must be there in full, since one word tells such notices apart; one of over LONG words may be quoted in part.
+    """
     window = words[max(0, start - 2) : stop + k + 2]
     blocks = [b for b in difflib.SequenceMatcher(None, window, template, autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
@@ -116,7 +119,17 @@ def verify(words: list[bytes], template: list[bytes], start: int, stop: int, k:
     same = sum(b.size for b in blocks)
     reach = len(template) if len(template) <= LONG else max(LONG, blocks[-1].b + blocks[-1].size - blocks[0].b)
     share = min(1.0, same / reach)
-    return share if share >= SHARE else 0.0
+    return share if share >= (1.0 if len(template) <= SHORT else SHARE) else 0.0
+
+
+def best_labels(words: list[bytes], spans: list[tuple[int, int, int]], templates: list[list[bytes]]) -> tuple[list[str], float]:
+    """Labels of the verified spans (template, start, stop) and their best share.  A span that overlaps a better one of another label doesn't count."""
+    rated = [(verify(words, templates[t], a, z), len(templates[t]), t, a, z) for t, a, z in spans]
+    taken: list[tuple] = []
+    for r in sorted((r for r in rated if r[0]), reverse=True):
+        if not any(x[:2] > r[:2] and x[3] <= r[4] and r[3] <= x[4] for x in taken):
+            taken.append(r)
+    return sorted({TEMPLATES[r[2]][0] for r in taken}), max((r[0] for r in taken), default=0.0)
 
 
 def template_labels(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
@@ -128,10 +141,9 @@ def template_labels(docs: DataFrame, spans: DataFrame, text: str = "text") -> Da
         for part in slices(batches, "_text"):
             out = []
             for digest, spans_, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), column_bytes(part, "_text"), strict=True):
-                words = words_of(t)
-                shares = [(verify(words, templates[s["template"]], s["start"], s["stop"]), TEMPLATES[s["template"]][0]) for s in spans_]
-                if shares := [x for x in shares if x[0]]:
-                    out.append((digest, sorted({x for _, x in shares}), max(x for x, _ in shares)))
+                labels, share = best_labels(words_of(t), [(s["template"], s["start"], s["stop"]) for s in spans_], templates)
+                if labels:
+                    out.append((digest, labels, share))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), (pa.string(), pa.list_(pa.string()), pa.float64()), strict=True)], ["digest", "found", "share"])
 

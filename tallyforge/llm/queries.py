@@ -11,6 +11,7 @@ from .license_scan import op9_license_scan
 from .lm_scoring import op1_ppm_scoring
 from .mixing import OP7_SQL, op7_mix_sources
 from .packing import op10_best_fit_packing
+from .pii import op6_pii_surrogates
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
 from .topk import OP2_SQL, op2_bit_sliced_topk
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_simhash": op4_simhash,
     "op5_compression_bands": op5_compression_bands,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_mix_sources": op7_mix_sources,
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
