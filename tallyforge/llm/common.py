@@ -49,6 +49,25 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_id() -> Column:
+    """A number for each row, by partition and place: the same each time the same files are read."""
+    return F.monotonically_increasing_id()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as one struct column, row: so that columns added beside it can't clash with its own, whatever their names."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def field(name: str) -> Column:
+    return F.col("row").getField(name)
+
+
+def unpacked(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The columns that packed() took, those named in changed with new values."""
+    return rows.select(*(changed.get(c, field(c)).alias(c) for c in rows.schema["row"].dataType.names))
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import field, materialize, packed, table, unpacked
 
 KEY = "surrogate-key"
 BROADCAST_ROWS = 100_000
@@ -205,17 +205,18 @@ def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFram
 
     Equal entities get equal surrogates over the whole table, different ones different ones; none spells an entity of the table.
     """
-    again = materialize(attempts(docs, text, key))
-    columns = docs.columns
+    own = docs.select(F.col(text).alias("text"))
+    again = materialize(attempts(own, "text", key))
+    rows = packed(docs).withColumn("text", field(text))
     n = again.count()
     if not n:
-        return docs.select(*(rewritten(text, key)[0].alias(c) if c == text else c for c in columns))
-    held = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
-    own = docs.where(hinted(text)).select(held.alias("_held"), F.explode(F.array_distinct(entities(text))).alias("entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
-    met = own.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "canon"]).select("_held", F.concat("kind", F.lit(":"), "canon").alias("k"), "attempt").distinct()
-    maps = materialize(met.groupBy("_held").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("_again")))
-    joined = docs.withColumn("_held", held).join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "_held", "left")
-    return joined.select(*(rewritten(text, key, F.coalesce("_again", F.create_map().cast("map<string,int>")))[0].alias(c) if c == text else c for c in columns))
+        return unpacked(rows, **{text: rewritten("text", key)[0]})
+    held = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    found = own.where(hinted("text")).select(held.alias("held"), F.explode(F.array_distinct(entities("text"))).alias("entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
+    met = found.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "canon"]).select("held", F.concat("kind", F.lit(":"), "canon").alias("k"), "attempt").distinct()
+    maps = materialize(met.groupBy("held").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("again")))
+    joined = rows.withColumn("held", held).join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "held", "left")
+    return unpacked(joined, **{text: rewritten("text", key, F.coalesce("again", F.create_map().cast("map<string,int>")))[0]})
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
