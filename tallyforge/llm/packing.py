@@ -17,16 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, column_bytes, materialize, segments, slices, table
+from .common import LOWER, bucket_count, column_bytes, materialize, segments, slices, table
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct words whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 RANK_ROWS = 1 << 17
 
 
 class WordIds:
-    """Ids of a text by a tokenizer that never joins across white space: each word is encoded once and its ids' bytes are kept."""
+    """Ids of texts by a tokenizer that lower-cases and never joins across white space: each word is encoded once and its ids' bytes are kept.
+
+    Trailing ASCII punctuation is encoded apart, which such a tokenizer does too after an ASCII or Latin-1 letter or a digit.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -34,18 +37,34 @@ class WordIds:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
-    def encode(self, text: bytes) -> bytes:
+    def learn(self, words: set[bytes]) -> None:
+        cores = {w: core(w) for w in words}
+        new = list({x for w, c in cores.items() for x in (c, w[len(c) :]) if x and x not in self.known})
+        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        self.known.update((w, self.known[c] + self.known[w[len(c) :]]) for w, c in cores.items() if c and len(c) < len(w))
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids."""
-        out = []
-        for part in segments(text):
-            words = part.split()
-            if new := list(set(words).difference(self.known)):
-                if len(self.known) + len(new) > REMEMBERED:
-                    self.known, new = {}, list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                    self.known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(self.known.__getitem__, words)))
-        return b"".join(out)
+        # A special token's name is special in its own case only, and a text that may hold one keeps its case.
+        parts = [[s if b"<|" in t else s.translate(LOWER) for s in segments(t)] for t in texts]
+        unknown: set[bytes] = set()
+        for own in parts:
+            for s in own:
+                unknown.update(w for w in set(s.split()) if w not in self.known)
+        if len(self.known) + len(unknown) > REMEMBERED:
+            self.known, unknown = {}, {w for own in parts for s in own for w in s.split()}
+        self.learn(unknown)
+        return [b"".join([b"".join(map(self.known.__getitem__, s.split())) for s in own]) for own in parts]
+
+
+def core(word: bytes) -> bytes:
+    """word without trailing ASCII punctuation (no apostrophes or brackets of special tokens), if what is left ends in an ASCII or Latin-1 letter or a digit."""
+    c = word.rstrip(b'.,;:!?"#$%&*()[]{}/')
+    if len(c) == len(word) or not c:
+        return word
+    plain = c[-1:].isalnum() or (len(c) > 1 and c[-2] == 0xC3 and c[-1] not in (0x97, 0xB7))
+    return c if plain else word
 
 
 _loaded: dict[str, WordIds] = {}
@@ -63,9 +82,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
         ids = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(batches, "_text", 8 << 20):
-            rows = []
-            for doc, t in zip(batch.column(0).to_pylist(), column_bytes(batch, "_text"), strict=True):
-                data = ids.encode(t or b"") + end
+            rows, texts = [], [t or b"" for t in column_bytes(batch, "_text")]
+            for doc, data in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
+                data += end
                 rows += [(doc, i, i * capacity, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(data[a : a + step] for a in range(0, len(data), step))]
             found = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
