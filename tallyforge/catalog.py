@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import models, rates, scoring, texts  # noqa: F401  registers their queries
+from .plans.registry import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "strict_prior_scorecard"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
