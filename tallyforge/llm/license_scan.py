@@ -24,6 +24,8 @@ DRIFT, GAP = 4, 12
 #: A span holds at least this share of the template's words; of a template of over LONG words, LONG words at least, as densely.
 SHARE, SHORT, LONG = 0.8, 16, 40
 BROADCAST_ROWS = 100_000
+#: Text that a task takes into Python at a time.
+SLICE_BYTES = 1 << 20
 #: Words are runs of digits, a-z and bytes beyond ASCII, after lower-casing A-Z.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -33,10 +35,12 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class _Hashes(dict):
+    """Hashes of words; those of the first 2**16 different ones, the frequent ones among them, are kept."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = x = xxhash.xxh64_intdigest(word)
+        x = xxhash.xxh64_intdigest(word)
+        if len(self) < 1 << 16:
+            self[word] = x
         return x
 
 
@@ -72,7 +76,7 @@ def base_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
     names = ["doc_id", "digest", "n_words", "n_base", "first_word", "last_word", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE_BYTES):
             rows = []
             for t in column_bytes(part, "_text"):
                 words = words_of(t)
@@ -91,7 +95,7 @@ def candidate_spans(docs: DataFrame, text: str = "text", k: int = K) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE_BYTES):
             grams = [gram_hashes(words_of(t), hashes, k) for t in column_bytes(part, "_text")]
             ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], ["digest", "hashes"])
@@ -138,7 +142,7 @@ def template_labels(docs: DataFrame, spans: DataFrame, text: str = "text") -> Da
     templates = [words_of(t.encode()) for _, t in TEMPLATES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE_BYTES):
             out = []
             for digest, spans_, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), column_bytes(part, "_text"), strict=True):
                 labels, share = best_labels(words_of(t), [(s["template"], s["start"], s["stop"]) for s in spans_], templates)
