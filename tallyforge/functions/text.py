@@ -171,7 +171,8 @@ def preamble(text: Column, most: int = 8000) -> Column:
     """What stands before the enacting clause or the first WHEREAS, most characters at most."""
     places = [F.regexp_instr(text, F.lit(p)) for p in (ENACTED, WHEREAS)]
     first = F.least(*(F.when(p > 0, p) for p in places))
-    return F.trim(F.substr(F.substr(text, F.lit(1), F.coalesce(first - 1, F.length(text)).cast("int")), F.lit(1), F.lit(most)))
+    head = F.substr(F.substr(text, F.lit(1), F.coalesce(first - 1, F.length(text)).cast("int")), F.lit(1), F.lit(most))
+    return F.regexp_replace(head, r"^\s+|\s+$", "")
 
 
 def language_counts(text: Column) -> Column:

@@ -181,7 +181,7 @@ def join18(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("target", "k", "candidate", F.coalesce("relation", F.lit("")).alias("relation"), F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
-@query("fn16_preamble", r"SELECT doc_id, len(trim(left(text, 8000)))::INTEGER AS length FROM documents WHERE NOT regexp_matches(text, '(?i)\bBE IT ENACTED BY THE LEGISLATURE\b') AND NOT regexp_matches(text, '(?i)(?:^|\n)\s*WHEREAS\b')")
+@query("fn16_preamble", r"SELECT doc_id, len(regexp_replace(left(text, 8000), '^\s+|\s+$', '', 'g'))::INTEGER AS length FROM documents WHERE NOT regexp_matches(text, '(?i)\bBE IT ENACTED BY THE LEGISLATURE\b') AND NOT regexp_matches(text, '(?i)(?:^|\n)\s*WHEREAS\b')")
 def fn16(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).where(~F.col("text").rlike(T.ENACTED) & ~F.col("text").rlike(T.WHEREAS))
     return d.select("doc_id", F.length(T.preamble(F.col("text"))).alias("length"))
