@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import field, materialize, packed, table, unpacked
+from tallyforge.llm.common import materialize, table
 from tallyforge.llm.language_id import UNKNOWN, identify, learn
 from tallyforge.llm.mixing import mixed_documents
 from tallyforge.llm.packing import pack_documents
@@ -22,8 +22,17 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no clear language.  A null lang takes the prediction; others stay."""
-    found = identify(packed(docs).withColumn("text", field("text")), learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= LEAST_SCORE))
-    return unpacked(found, lang=F.coalesce(field("lang"), "lang_pred"))
+    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = identify(docs, learn(docs), names=(pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    return found.withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """name, longer by as many underscores as keep it from docs' own."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

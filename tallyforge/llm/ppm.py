@@ -28,7 +28,7 @@ PART = 1 << 20
 
 
 def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For parts of about 4 MB: the grams of all symbols, and where each text's begin in them, with the text's number.
+    """For parts of about PART bytes: the grams of all symbols, and where each text's begin in them, with the text's number.
 
     Texts over PART bytes come in several pieces, each with the bytes before it.
     """
@@ -60,7 +60,7 @@ def grams(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarr
             sizes.append(len(piece))
             owners.append(i)
             before, held = (before + piece)[len(before) + len(piece) - order :] if order else b"", held + len(piece)
-            if held >= 4 * PART:
+            if held >= PART:
                 yield out()
                 blocks, sizes, owners, held = [], [], [], 0
     if blocks:
