@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ingestion, models, rates, relational, scoring, texts  # noqa: F401  registers their queries
+from .plans import details, ingestion, models, rates, relational, scoring, texts  # noqa: F401  registers their queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "strict_prior_scorecard"

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import logistic, logit
+from ..functions.numeric import logistic
 
 
 def standardized(df: DataFrame, names: list[str]) -> DataFrame:
@@ -51,6 +51,3 @@ def with_prediction(df: DataFrame, names: list[str], beta: np.ndarray, offset: C
     for n, b in zip(names, beta, strict=True):
         total = total + float(b) * F.col(n)
     return df.withColumn("p", logistic(total))
-
-
-__all__ = ["logit", "ridge_logistic", "standardized", "with_prediction"]

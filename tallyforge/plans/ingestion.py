@@ -12,7 +12,7 @@ from ..operators import evidence as E
 from ..operators.asof import not_superseded, strict_prior
 from ..operators.rates import rate
 from ..sources.tables import STAGES_SQL, day_number, money, read, stages
-from ..streaming.jobs import decayed_rates, deduplicated, due, run_once, tumbling_counts
+from ..streaming.jobs import decayed_rates, deduplicated, due, run_once
 from .registry import query
 
 #: Events as evidence: kind by type, stance by value, the rest by id.
@@ -197,6 +197,3 @@ def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str04(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = strict_prior(stages(spark, sf_dir), ["bill_id"], {"yes": F.col("outcome"), "n": F.lit(1)})
     return c.select("event_id", F.col("n").cast("long").alias("n"), F.round(rate(F.col("yes"), F.col("n")), 6).alias("rate"))
-
-
-__all__ = ["tumbling_counts"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.distribution import count_pmf
-from ..operators.metrics import accuracy, brier, calibration_bins, log_loss, ranked_probability_score, ranking, scorecard
+from ..operators.metrics import accuracy, brier, calibration_bins, log_loss, ranked_probability_score, ranking
 from ..sources.tables import VOTES_SQL
 from .rates import FORECAST_SQL, SHRUNK_SQL, counts_sql, forecasts, shrunk_forecasts
 from .registry import query
@@ -241,6 +241,3 @@ SELECT chamber, sum(n)::BIGINT AS members, round(sum(m * n) / sum(n), 6) AS brie
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = forecasts(spark, sf_dir).groupBy("chamber", "event_id").agg(F.count("*").alias("n"), brier(F.col("p"), F.col("outcome")).alias("m"))
     return r.groupBy("chamber").agg(F.sum("n").alias("members"), F.round(F.sum(F.col("m") * F.col("n")) / F.sum("n"), 6).alias("brier"))
-
-
-__all__ = ["scorecard"]

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numeric import half_life, step_band, width_band
 from ..functions.similarity import floor_of, jaccard, relationship, size_similarity, weighted_similarity
-from ..operators.asof import latest
 from ..sources.tables import html_text, read
 from .registry import query
 
@@ -255,6 +254,3 @@ def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src16_html_links", """WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT page_id, link, count(*) AS n FROM l GROUP BY ALL""")
 def src16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")).groupBy("page_id", "link").agg(F.count("*").alias("n"))
-
-
-__all__ = ["latest"]
