@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,7 +76,7 @@ def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
 def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices whose column name holds about limit bytes at most (one long value may exceed it)."""
     for batch in batches:
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(name))), 0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if i > start and held + n > limit:
@@ -86,8 +87,6 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -
             yield batch.slice(start)
 
 
-import pyarrow.compute  # noqa: E402,F401  makes pa.compute available
-
 
 def segments(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     """text in parts of about limit bytes, cut before white space only, so that words stay whole."""
