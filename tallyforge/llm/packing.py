@@ -22,7 +22,7 @@ from .common import LOWER, bucket_count, column_bytes, materialize, segments, sl
 CAPACITY, END_ID = 2048, 0
 #: Distinct words whose ids a Python worker remembers; then it starts anew.
 REMEMBERED = 1_200_000
-RANK_ROWS = 1 << 17
+RANK_ROWS = 1 << 14
 
 
 class WordIds:
