@@ -15,7 +15,7 @@ from .pii import op6_pii_surrogates
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
 from .topk import OP2_SQL, op2_bit_sliced_topk
-from .warc import op8_warc_revisits
+from .warc import OP8_SQL, op8_warc_revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ppm_scoring": op1_ppm_scoring,
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": OP2_SQL, "op7_mix_sources": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_warc_revisits": OP8_SQL}

@@ -140,3 +140,12 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_pages(table(spark, sf_dir, "pages"), scratch(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS largest FROM pages)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda j: substr('{BASE32}', (((('0x' || substr(h, (1 + 5 * (j // 4))::BIGINT, 5))::INTEGER >> (15 - 5 * (j % 4))::INTEGER) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = largest THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> largest THEN largest END AS refers_to
+FROM p
+"""
