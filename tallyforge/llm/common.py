@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space that separates words: space and the five controls 0x09 to 0x0D, as bytes.split() has it.
 SPACE = b" \t\n\r\x0b\x0c"
 #: A-Z to a-z; every other byte stays.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Texts that go to Python at a time.
+TEXT_ROWS = 512
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,6 +58,14 @@ def row_id() -> Column:
     return F.monotonically_increasing_id()
 
 
+def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, with batches of TEXT_ROWS rows at most from here on in the session: Spark counts rows, and texts are large."""
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(conf)) <= TEXT_ROWS:
+        df.sparkSession.conf.set(conf, str(TEXT_ROWS))
+    return df.mapInArrow(f, schema)
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """docs as one struct column, row: so that columns added beside it can't clash with its own, whatever their names."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
@@ -88,6 +99,19 @@ def slices(batches: Iterable[pa.RecordBatch], name: str, limit: int = 4 << 20) -
 
 
 
+def gathered(batches: Iterable[pa.RecordBatch], name: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches put together until column name holds about limit bytes."""
+    kept, held = [], 0
+    for batch in batches:
+        kept.append(batch)
+        held += batch.column(batch.schema.get_field_index(name)).nbytes
+        if held >= limit:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, held = [], 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 def segments(text: bytes, limit: int = 1 << 20) -> Iterator[bytes]:
     """text in parts of about limit bytes, cut before white space only, so that words stay whole."""
     at = 0

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import column_bytes, materialize, slices, table
+from .common import column_bytes, map_texts, materialize, slices, table
 from .license_texts import PHRASES, TEMPLATES
 
 K = 3
@@ -87,7 +87,7 @@ def base_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in (n, n_base, first, last)), pa.array(base, pa.list_(pa.string()))], names)
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.col(text).cast("binary").alias("_text"))
-    return chosen.mapInArrow(run, "doc_id long, digest string, n_words long, n_base long, first_word long, last_word long, base array<string>")
+    return map_texts(chosen, run, "doc_id long, digest string, n_words long, n_base long, first_word long, last_word long, base array<string>")
 
 
 def candidate_spans(docs: DataFrame, text: str = "text", k: int = K) -> DataFrame:
@@ -100,7 +100,7 @@ def candidate_spans(docs: DataFrame, text: str = "text", k: int = K) -> DataFram
             ends = np.cumsum([0, *map(len, grams)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(grams)))], ["digest", "hashes"])
 
-    grams = docs.select(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.col(text).cast("binary").alias("_text")).mapInArrow(run, "digest string, hashes array<long>")
+    grams = map_texts(docs.select(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.col(text).cast("binary").alias("_text")), run, "digest string, hashes array<long>")
     places = template_places(docs.sparkSession, k)
     hits = grams.select("digest", F.posexplode("hashes").alias("at", "hash")).join(F.broadcast(places), "hash").select("digest", "template", "at", "place").distinct()
     votes = hits.groupBy("digest", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("at").alias("start"), F.max("at").alias("stop"))
@@ -153,7 +153,7 @@ def template_labels(docs: DataFrame, spans: DataFrame, text: str = "text") -> Da
 
     own = docs.select(F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("digest"), F.col(text).cast("binary").alias("_text"))
     met = own.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "digest").select("digest", "spans", "_text")
-    return met.mapInArrow(run, "digest string, found array<string>, share double").groupBy("digest").agg(F.max("found").alias("found"), F.max("share").alias("share"))
+    return map_texts(met, run, "digest string, found array<string>, share double").groupBy("digest").agg(F.max("found").alias("found"), F.max("share").alias("share"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_count, column_bytes, materialize, segments, slices, table
+from .common import LOWER, bucket_count, column_bytes, gathered, map_texts, materialize, segments, slices, table
 
 CAPACITY, END_ID = 2048, 0
 #: Distinct words whose ids a Python worker remembers; then it starts anew.
@@ -81,17 +81,19 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(gathered(batches, "_text"), "_text", 16 << 20):
             rows, texts = [], [t or b"" for t in column_bytes(batch, "_text")]
             for doc, data in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
                 data += end
                 rows += [(doc, i, i * capacity, len(p) // 4, zlib.crc32(p)) for i, p in enumerate(data[a : a + step] for a in range(0, len(data), step))]
+            if not rows:
+                continue
             found = list(zip(*rows, strict=True))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(found, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
-    return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_texts(chosen, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:

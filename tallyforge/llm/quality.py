@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, column_bytes, slices, table
+from .common import SPACE, column_bytes, map_texts, slices, table
 
 SYMBOLS = b"#*$%&|<>"
 CONTINUATION = bytes(range(0x80, 0xC0))
@@ -102,7 +102,7 @@ def text_measures(docs: DataFrame, text: str = "text", level: int = 3, passthrou
             kept = [part.column(part.schema.get_field_index(c)) for c in passthrough]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, t in zip(found, types, strict=True))], [*passthrough, *names])
 
-    return docs.select(*passthrough, F.col(text).cast("binary").alias("_text")).mapInArrow(run, f"{schema}, {COLUMNS}")
+    return map_texts(docs.select(*passthrough, F.col(text).cast("binary").alias("_text")), run, f"{schema}, {COLUMNS}")
 
 
 def with_verdict(measures: DataFrame, bands: tuple[Band, ...] = BANDS) -> DataFrame:
