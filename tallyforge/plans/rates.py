@@ -115,11 +115,9 @@ SELECT CASE WHEN isinf(cap) THEN 'none' ELSE cap::INT::VARCHAR END AS cap, chamb
 )
 def win10(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = prior_counts(votes(spark, sf_dir), ("chamber",))
-    cards = [c.select(F.lit("none" if cap == float("inf") else str(int(cap))).alias("cap"), "chamber", "outcome", member_probability(F.lit(cap)).alias("p")) for cap in CAPS]
-    every = cards[0]
-    for x in cards[1:]:
-        every = every.union(x)
-    return every.groupBy("cap", "chamber").agg(F.count("p").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("outcome"), 2)), 6).alias("brier"))
+    grid = c.select("*", F.explode(F.array(*map(F.lit, CAPS))).alias("limit")).withColumn("p", member_probability(F.col("limit")))
+    named = F.when(F.col("limit") == float("inf"), "none").otherwise(F.col("limit").cast("int").cast("string"))
+    return grid.groupBy(named.alias("cap"), "chamber").agg(F.count("p").alias("n"), F.round(F.avg(F.pow(F.col("p") - F.col("outcome"), 2)), 6).alias("brier"))
 
 
 @query(
