@@ -10,6 +10,7 @@ from ..functions.text import person_key
 from ..operators import token_eb as E
 from ..operators.asof import active_on, asof_join, strict_prior
 from ..operators.distribution import SIGMA, count_pmf, smoothed_cdf
+from ..operators.learners import ridge_logistic, with_prediction
 from ..operators.metrics import ranking
 from ..sources.tables import MEMBERSHIPS_SQL, STAGES_SQL, VOTES_SQL, day_number, memberships, read, stages, votes
 from .models import LABELLED_SQL, group_sql, labelled, with_base
@@ -344,3 +345,58 @@ def api_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = f.where("session <= 1999 AND member_id % 9 <> 0").groupBy("member_id").agg(F.avg("p").alias("b"))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("kept")
     return a.join(b, "member_id", "full_outer").select("member_id", F.round(F.col("b") - F.col("a"), 6).alias("moved"), change.alias("change"))
+
+
+@query(
+    "mdl14_process_context",
+    f"""WITH {STAGES_SQL}, d AS (SELECT stage, day, sum(outcome) AS yes, count(*) AS n FROM stages GROUP BY ALL),
+p AS (SELECT stage, day, coalesce(sum(yes) OVER w, 0) AS yes, coalesce(sum(n) OVER w, 0) AS n FROM d WINDOW w AS (PARTITION BY stage ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT day, coalesce(sum(yes) OVER w, 0) AS gy, coalesce(sum(n) OVER w, 0) AS gn FROM (SELECT day, sum(yes) AS yes, sum(n) AS n FROM d GROUP BY day) WINDOW w AS (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT bill_id, s.day, ln(1 + n) AS w, (yes + 20 * CASE WHEN gn > 0 THEN gy / gn ELSE 0.5 END) / (n + 20) AS rate FROM stages s JOIN p USING (stage, day) JOIN g USING (day))
+SELECT bill_id, day, round(CASE WHEN sum(w) > 0 THEN sum(w * rate) / sum(w) ELSE 0.5 END, 6) AS rate FROM r GROUP BY bill_id, day""",
+)
+def mdl14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of the stages that a bill shows on a day, shrunk towards the rate of all, weighed by how much is known of each."""
+    measures = lambda a: {f"{a}yes": F.col("outcome"), f"{a}n": F.lit(1)}
+    c = strict_prior(strict_prior(stages(spark, sf_dir), ["stage"], measures("")), [], measures("g"))
+    prior = F.coalesce(F.col("gyes") / F.nullif(F.col("gn"), F.lit(0)), F.lit(0.5))
+    r = c.select("bill_id", "day", F.log1p(F.col("n").cast("double")).alias("w"), ((F.col("yes") + 20 * prior) / (F.col("n") + 20)).alias("rate"))
+    g = r.groupBy("bill_id", "day").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("rate")).alias("x"))
+    return g.select("bill_id", "day", F.round(F.when(F.col("w") > 0, F.col("x") / F.col("w")).otherwise(0.5), 6).alias("rate"))
+
+
+@query(
+    "mdl21_finance_window",
+    """WITH d AS (SELECT l_suppkey AS member_id, (o_orderdate::DATE - DATE '1970-01-01')::INTEGER AS day, sum(l_extendedprice) AS amount, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT a.member_id, a.day, round(ln(1 + coalesce(sum(b.amount), 0)), 6) AS log_amount, round(ln(1 + coalesce(sum(b.n), 0)), 6) AS log_count FROM d a LEFT JOIN d b ON a.member_id = b.member_id AND b.day BETWEEN a.day - 730 AND a.day - 1 GROUP BY a.member_id, a.day""",
+)
+def mdl21(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the two years before each day, on one row per member and day."""
+    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    d = line.groupBy(F.col("l_suppkey").alias("member_id"), day_number("o_orderdate").alias("day")).agg(F.sum("l_extendedprice").alias("amount"), F.count("*").alias("n"))
+    w = Window.partitionBy("member_id").orderBy("day").rangeBetween(-730, -1)
+    return d.select("member_id", "day", F.round(F.log1p(F.coalesce(F.sum("amount").over(w), F.lit(0.0))), 6).alias("log_amount"), F.round(F.log1p(F.coalesce(F.sum("n").over(w), F.lit(0)).cast("double")), 6).alias("log_count"))
+
+
+@query("mdl23_district_context", "WITH n AS (SELECT c_nationkey, avg(c_acctbal) AS wealth, count(*) AS people FROM customer GROUP BY c_nationkey) SELECT s_suppkey, round(wealth, 4) AS wealth, round(ln(1 + people), 6) AS log_people FROM supplier JOIN n ON s_nationkey = c_nationkey")
+def mdl23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("s_nationkey")).agg(F.avg("c_acctbal").alias("wealth"), F.count("*").alias("people"))
+    return read(spark, sf_dir, "supplier").join(n, "s_nationkey").select("s_suppkey", F.round("wealth", 4).alias("wealth"), F.round(F.log1p(F.col("people").cast("double")), 6).alias("log_people"))
+
+
+PENALTIES = (0.1, 1.0, 5.0, 20.0, 100.0)
+
+
+@query("mdl27_indicator_fit")
+def mdl27(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One coefficient for a deep-discount indicator on top of the forecast, for each penalty: fitted before 1999, scored from then on."""
+    rows = forecasts(spark, sf_dir).select("session", "outcome", "p", (F.col("weight") >= 0.08).cast("double").alias("deep"))
+    offset = logit(F.col("p"), 1e-6)
+    out = None
+    for penalty in PENALTIES:
+        beta = ridge_logistic(rows.where("session < 1999"), ["deep"], "outcome", offset, penalty)
+        late = with_prediction(rows.where("session >= 1999").withColumnRenamed("p", "base"), ["deep"], beta, logit(F.col("base"), 1e-6))
+        score = late.agg(F.avg(F.pow(F.col("p") - F.col("outcome"), 2)).alias("brier"), F.avg(F.pow(F.col("base") - F.col("outcome"), 2)).alias("base_brier"))
+        score = score.select(F.lit(penalty).alias("penalty"), F.lit(float(beta[0])).alias("beta"), (F.col("brier") - F.col("base_brier")).alias("brier_delta"), (F.col("brier") - F.col("base_brier") <= -0.0005).alias("qualifies"))
+        out = score if out is None else out.union(score)
+    return out
