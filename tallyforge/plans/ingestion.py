@@ -162,8 +162,12 @@ def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's state and output, in the shared folder that the session names."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyforge-")
+    """A new folder for a stream's state and output, in the shared folder that the session names; a temporary one in local mode only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tallyforge-")
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
