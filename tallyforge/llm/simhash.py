@@ -91,18 +91,19 @@ def variants(fps: DataFrame, s: int, r: int) -> DataFrame:
 def bucket_links(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Fewer links than members, connecting what all pairs within the distance connect.
 
-    A lead takes all within reach; then those not yet taken lead, and are compared with all members again.
+    Breadth-first: every member taken is compared with all that no component has yet, so only pairs within one component are left out.
     """
-    part, free, links = np.arange(len(fps)), np.ones(len(fps), bool), []
-    for i in range(len(fps)):
-        if not free[i]:
-            continue
-        near = np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= distance)
-        free[near] = False
-        parts, first = np.unique(part[near], return_index=True)
-        links += [(int(fps[i]), int(fps[j])) for p, j in zip(parts, near[first], strict=True) if p != part[i]]
-        if len(parts) > 1:
-            part[np.isin(part, parts)] = parts[0]
+    rest, links = fps, []
+    while len(rest):
+        taken, rest = [rest[0]], rest[1:]
+        while taken and len(rest):
+            lead = taken.pop()
+            near = np.bitwise_count(rest ^ lead) <= distance
+            if near.any():
+                new = rest[near]
+                links += [(int(lead), x) for x in new.tolist()]
+                taken += list(new)
+                rest = rest[~near]
     return links
 
 

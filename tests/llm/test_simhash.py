@@ -1,6 +1,7 @@
 """SimHash near-duplicates against all pairs."""
 
 import random
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -84,6 +85,16 @@ def test_bucket_links_are_few():
     assert len(links) == 39
 
 
+@pytest.mark.parametrize("order", list(permutations(range(4))))
+def test_bucket_links_follow_a_chain_in_every_order(order):
+    """Chains whose bits all lie in one segment, so that no other bucket repairs a lost link."""
+    chain = [0x0, 0xF, 0xFF, 0xFFF]
+    fps = np.array([chain[i] for i in order] + [(1 << 64) - 1], np.uint64)
+    links = bucket_links(fps)
+    assert all(near(a, b) for a, b in links) and len(links) == 3
+    assert len(set(groups(chain, lambda a, b: (a, b) in links or (b, a) in links))) == 1
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(60)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
     got = {r["node"]: r["part"] for r in connected_components(spark.createDataFrame(path, "a long, b long")).collect()}
