@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, bucket_count, column_bytes, field, map_texts, materialize, packed, row_id, slices, table, unpacked
@@ -44,15 +44,15 @@ def simhash(text: bytes | None, shingle: int = SHINGLE_WORDS, seed: int = SEED)
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """rid (row_id), doc_id and fp (the fingerprint's bits as a long) of every row; a null text counts as empty."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: Column | None = None) -> DataFrame:
+    """rid (row_id if not given), doc_id and fp (the fingerprint's bits as a long) of every row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "_text"):
             fp = np.array([simhash(t) for t in column_bytes(part, "_text")], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp)], ["rid", "doc_id", "fp"])
 
-    chosen = docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
+    chosen = docs.select((row_id() if rid is None else rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("_text"))
     return map_texts(chosen, run, "rid long, doc_id long, fp long")
 
 
@@ -170,12 +170,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
     """The first row of each component, by doc_id (null last) and then place in the input, with docs' columns.
 
-    docs must give the same rows in the same partitions each time it is read, as files do.
+    The numbered rows are written once; fingerprints and the kept rows come from that table, so numbers agree however the input is split.
     """
-    found = materialize(fingerprints(docs, text, doc_id))
-    kept = components(found, distance).select(F.col("first.rid").alias("_rid"), F.col("first.doc_id").alias("_id")).distinct()
-    rows = packed(docs).withColumn("rid", row_id())
-    return unpacked(rows.join(kept, (F.col("rid") == F.col("_rid")) & field(doc_id).cast("long").eqNullSafe(F.col("_id")), "left_semi"))
+    rows = materialize(packed(docs).withColumn("rid", row_id()))
+    found = materialize(fingerprints(rows.select("rid", field(doc_id).alias("doc_id"), field(text).alias("text")), rid=F.col("rid")))
+    kept = components(found, distance).select(F.col("first.rid").alias("rid")).distinct()
+    return unpacked(rows.join(kept, "rid", "left_semi"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

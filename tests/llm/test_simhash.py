@@ -118,3 +118,23 @@ def test_documents_and_edges(spark):
     assert len(kept) == len(set(parts)) and kept[0]["fp"] == "clash" and set(kept[0].asDict()) == set(docs.columns)
     assert {r["doc_id"] for r in kept if r["doc_id"] is not None} == {x for x in least.values() if x is not None}
     assert near_duplicates(docs.where("false")).count() == 0 and one_per_group(docs.where("false")).count() == 0
+
+
+def test_one_per_group_when_the_splits_change_between_reads(spark, tmp_path, monkeypatch):
+    """As when an executor is lost or added: later plans cut the same files elsewhere."""
+    import tallyforge.llm.simhash as S
+
+    spark.createDataFrame([(i, f"text number {i} of its own") for i in range(40)], "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    conf, real = "spark.sql.files.maxPartitionBytes", S.materialize
+    before = spark.conf.get(conf)
+
+    def changed(df):
+        out = real(df)
+        spark.conf.set(conf, "65536")
+        return out
+
+    monkeypatch.setattr(S, "materialize", changed)
+    try:
+        assert S.one_per_group(spark.read.parquet(str(tmp_path / "docs"))).count() == 40
+    finally:
+        spark.conf.set(conf, before)
