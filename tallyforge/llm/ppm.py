@@ -8,12 +8,13 @@ A symbol takes its chance from the longest context that has been seen: count / (
 distinct / (total + distinct), and then the same with the next shorter context, where the symbols just ruled out count no more (symbol exclusion).
 After the empty context, all symbols never seen share what is left evenly.
 
-A gram stays in the trie if it makes up 2**-bits of all grams at least.  Thus every order keeps 2**bits grams at most, whatever the corpus, and
+gram_values has every gram's chance under the whole counts, as a table.  kept_grams cuts, for a trie that goes to every task: there a gram stays if it makes up 2**-bits of all grams at least.  Thus every order keeps 2**bits grams at most, whatever the corpus, and
 what is kept depends on shares, not on sizes; rarer grams are what the escape is for.  Counts cover the whole corpus before that.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 END = 0xFF
 EMPTY = np.uint64(2**64 - 1)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -214,3 +217,36 @@ def kept_grams(counts: DataFrame, order: int, bits: int, by: str | None = None)
         level = level.join(F.broadcast(totals), by) if by else level.crossJoin(F.broadcast(totals))
         out.append(level.where(F.col("n") * float(1 << bits) >= F.col("all")).select(*keys, "code", "n"))
     return out
+
+
+def gram_values(counts: DataFrame, order: int) -> DataFrame:
+    """code and value, the log10 of its symbol's chance, for every code of counts (code, n: how often it was learned, 0 for those only met).
+
+    Every gram counts, however rare.  A context has 256 symbols at most, so no key of a join between levels holds more rows than that.
+    """
+    low = lambda c, n_bytes: F.col(c).bitwiseAND(F.lit((1 << 8 * n_bytes) - 1).cast("long"))
+    levels = {order: counts.where("n > 0").select("code", "n")}
+    for k in range(order - 1, -1, -1):
+        levels[k] = materialize(levels[k + 1].groupBy(low("code", k + 1).alias("code")).agg(F.sum("n").alias("n")))
+    contexts = []
+    for k in range(order + 1):
+        below = levels[k].withColumn("down", F.lit(0).cast("long"))
+        if k:
+            lower = levels[k - 1].select(F.col("code").alias("lower"), F.col("n").alias("down"))
+            below = levels[k].withColumn("lower", low("code", k)).join(lower, "lower")
+        context = F.shiftright("code", 8).alias("context")
+        contexts.append(materialize(below.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("down").alias("down"))))
+    seen = levels[order].withColumn("context", F.shiftright("code", 8)).join(contexts[order], "context").select("code", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("value"))
+    zero = F.lit(0).cast("long")
+    left = counts.where("n = 0").select("code", F.lit(0.0).alias("value"), zero.alias("gone_total"), zero.alias("gone_distinct"), F.lit(False).alias("done"))
+    for k in range(order, -1, -1):
+        few = F.broadcast if k <= 2 else lambda df: df  # 2**16 contexts at most
+        left = left.withColumn("own", low("code", k + 1)).withColumn("context", F.shiftright("own", 8)).join(few(contexts[k]), "context", "left")
+        own = levels[k].select(F.col("code").alias("own"), F.col("n").alias("own_n"))
+        left = left.join(F.broadcast(own) if k <= 1 else own, "own", "left") if k < order else left.withColumn("own_n", F.lit(None).cast("long"))
+        symbols = F.col("distinct") - F.col("gone_distinct")
+        whole = F.col("total") - F.col("gone_total") + symbols
+        step = F.when(F.col("done") | F.col("total").isNull(), 0.0).when(F.col("own_n") > 0, F.log10(F.col("own_n") / whole)).when(symbols > 0, F.log10(symbols / whole)).otherwise(0.0)
+        left = left.select("code", (F.col("value") + step).alias("value"), F.coalesce("down", zero).alias("gone_total"), F.coalesce("distinct", zero).alias("gone_distinct"), (F.col("done") | F.coalesce(F.col("own_n") > 0, F.lit(False))).alias("done"))
+    never = math.log10(max(1, 256 - levels[0].count()))
+    return seen.union(left.select("code", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - never)))

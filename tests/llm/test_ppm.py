@@ -155,3 +155,20 @@ def test_language_id_on_held_out_text(spark):
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
     assert learn(docs.where("false"))[0] == [] and identify(docs, ([], np.zeros(0), None)).where("lang_pred <> 'und'").count() == 0
     assert identify(docs.where("false"), learned).count() == 0
+
+
+def test_scores_are_whole_however_few_grams_go_to_every_task(spark):
+    """The chance of every text under the whole counts, by the definition: rarer grams meet theirs in a join, those never learned escape."""
+    docs = spark.createDataFrame([*ROWS, (50, "zzz the cow\x01", "x")], "doc_id long, text string, other string")
+    held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 7 == 2
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    seen = slow_counts([t.encode() for i, t in rows if not held(i)], 4)
+
+    def slow(t):
+        s = b"\xff" * 4 + t.encode() + b"\xff"
+        return round(sum(math.log10(slow_chance(seen, s[i - 4 : i], s[i], 4)) for i in range(4, len(s))), 4)
+
+    want = Counter((i, slow(t)) for i, t in rows)
+    for bits in (21, 3):
+        got = score_texts(docs, id_remainder("doc_id", 7) != 2, bits=bits).collect()
+        assert Counter((r["doc_id"], round(r["score"], 4) + 0.0) for r in got) == want
