@@ -21,9 +21,15 @@ LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no clear language.  A null lang takes the prediction; others stay."""
+    """Rejects documents without a letter and those of no clear language.  A null lang takes the prediction; others stay.
+
+    Where no row names a language, none can be told: then all documents with a letter stay as they are.
+    """
     pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
-    found = identify(docs, learn(docs), names=(pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
+    learned = learn(docs)
+    if not learned[0]:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = identify(docs, learned, names=(pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
     return found.withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +15,15 @@ from .common import LOWER, column_bytes, id_remainder, map_texts, materialize, s
 from .ppm import GramCounter, Scorer, Trie, grams, kept_grams
 
 ORDER, GRAM_BITS = 3, 17
-#: A language is learned if it names this share of the training texts at least: 256 languages at most.
-LEAST_SHARE = 1 / 256
+#: Languages whose tries a task holds at a time; more are scored in further passes.
+GROUP = 32
 UNKNOWN = "und"
 
 
+#: Languages, log10 of their shares, and a broadcast scorer for each GROUP of them.
+Learned = tuple[list[str], np.ndarray, list[Broadcast] | None]
+
+
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
     """lang, code and n over all rows with a lang; A-Z are lower-cased."""
 
@@ -46,50 +51,68 @@ def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang", ord
     return found.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, bits: int = GRAM_BITS) -> tuple[list[str], np.ndarray, Scorer | None]:
-    """Languages in order of name, log10 of their shares of docs, and the scorer with a trie for each."""
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, bits: int = GRAM_BITS) -> Learned:
+    """All languages that docs name, in order of name, log10 of their shares of docs, and the scorers, each with the tries of GROUP languages."""
     shares = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n"))
-    shares = shares.crossJoin(F.broadcast(shares.agg(F.sum("n").alias("all")))).where(F.col("n") >= F.col("all") * LEAST_SHARE).orderBy("lang").collect()
-    names = [r["lang"] for r in shares]
+    shares = shares.orderBy("lang").collect()
+    names, n_all = [r["lang"] for r in shares], sum(r["n"] for r in shares)
     if not names:
         return [], np.zeros(0), None
-    counts = materialize(language_counts(docs.where(F.col(lang).isin(names)), text, lang, order))
-    levels = [level.toPandas() for level in kept_grams(counts, order, bits, "lang")]
-    tries = []
-    for name in names:
-        own = [level[level["lang"] == name] for level in levels]
-        tries.append(Trie([(x["code"].to_numpy(), x["n"].to_numpy()) for x in own]))
-    return names, np.log10([r["n"] / r["all"] for r in shares]), Scorer(tries, order)
-
-
-def identify(docs: DataFrame, learned: tuple[list[str], np.ndarray, Scorer | None], text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    counts = materialize(language_counts(docs, text, lang, order))
+    levels = [materialize(level) for level in kept_grams(counts, order, bits, "lang")]
+    scorers = []
+    for at in range(0, len(names), GROUP):
+        group = names[at : at + GROUP]
+        parts = [level.where(F.col("lang").between(group[0], group[-1])).toPandas() for level in levels]
+        tries = []
+        for name in group:
+            own = [part[part["lang"] == name] for part in parts]
+            tries.append(Trie([(x["code"].to_numpy(), x["n"].to_numpy()) for x in own]))
+        scorers.append(docs.sparkSession.sparkContext.broadcast(Scorer(tries, order)))
+    return names, np.log10([r["n"] / n_all for r in shares]), scorers
+
+
+def identify(docs: DataFrame, learned: Learned, text: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
     """docs with two columns of the given names more: the language, and its chance among the languages by Bayes' rule.
 
     und and 0 for texts that are null or have no letter, and if no language was learned.  Of equal codes the first language by name wins.  Columns of docs that have the
     new names already give way to them.
     """
-    languages, prior, scorer = learned
-    shared = docs.sparkSession.sparkContext.broadcast((scorer, prior))
+    languages, prior, scorers = learned
     columns = [c for c in docs.columns if c not in names]
-    schema = docs.select(*(F.col(f"`{c}`") for c in columns)).schema.add(names[0], "string").add(names[1], "double")
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    kinds = docs.select(*(F.col(f"`{c}`") for c in columns)).schema
     at = columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, prior = shared.value
-        for part in slices(batches, f"c{at}", 2 << 20):
-            texts, letters = part.column(at).cast(pa.binary()).to_pylist(), part.column(len(columns)).to_pylist()
-            pred, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            some = [i for i, ok in enumerate(letters) if ok]
-            if languages and some:
-                sums = model.score([texts[i].translate(LOWER) for i in some]) + prior
-                best = sums.argmax(axis=1)
-                chance = 1 / (10.0 ** np.maximum(sums - sums.max(axis=1, keepdims=True), -300)).sum(axis=1)
-                for i, b, c in zip(some, best, chance, strict=True):
-                    pred[i], score[i] = languages[b], float(c)
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*columns, *names])
-
-    return map_texts(own, run, schema)
+    state = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    state = state.withColumn("pred", F.lit(UNKNOWN)).withColumn("best", F.lit(None).cast("double")).withColumn("rest", F.lit(0.0))
+
+    def scored(scorer: Broadcast, first: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The best language so far, its log10, and the sum of all languages' chances over its own, after one more group."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, fields = scorer.value, [f"c{i}" for i in range(len(columns))] + ["letters", "pred", "best", "rest"]
+            for part in slices(batches, f"c{at}", 2 << 20):
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                letters, pred, best, rest = (part.column(len(columns) + i).to_pylist() for i in range(4))
+                some = [i for i, ok in enumerate(letters) if ok]
+                if some:
+                    sums = model.score([texts[i].translate(LOWER) for i in some]) + prior[first : first + len(model.tries)]
+                    for i, x in zip(some, sums, strict=True):
+                        old = -np.inf if best[i] is None else best[i]
+                        top = max(old, x.max())
+                        total = (10.0 ** np.maximum(x - top, -300)).sum() + (rest[i] * 10.0 ** max(old - top, -300) if best[i] is not None else 0.0)
+                        if best[i] is None or x.max() > old:  # of equal codes the first by name stays
+                            pred[i] = languages[first + int(x.argmax())]
+                        best[i], rest[i] = float(top), float(total)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns) + 1], pa.array(pred, pa.string()), pa.array(best, pa.float64()), pa.array(rest, pa.float64())], fields)
+
+        return run
+
+    for g, scorer in enumerate(scorers or []):
+        if g:
+            state = materialize(state)  # so that one stage holds one group's tries
+        state = map_texts(state, scored(scorer, g * GROUP), state.schema)
+    own = (F.col(f"c{i}").alias(c, metadata=kinds[i].metadata) for i, c in enumerate(columns))
+    return state.select(*own, F.col("pred").alias(names[0]), F.when(F.col("rest") > 0, 1 / F.col("rest")).otherwise(0.0).alias(names[1]))
 
 
 def learned_rows(doc_id: Column | str = "doc_id") -> Column:

@@ -172,3 +172,23 @@ def test_scores_are_whole_however_few_grams_go_to_every_task(spark):
     for bits in (21, 3):
         got = score_texts(docs, id_remainder("doc_id", 7) != 2, bits=bits).collect()
         assert Counter((r["doc_id"], round(r["score"], 4) + 0.0) for r in got) == want
+
+
+def test_languages_of_few_rows_and_many_languages_are_learned(spark, monkeypatch):
+    rows = [(i, "the and of to that with", "en") for i in range(600)] + [(900, "żółć gęślą jaźń", "pl"), (901, "ñandú años niño", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr("tallyforge.llm.language_id.GROUP", 2)
+    learned = learn(docs)
+    assert learned[0] == ["en", "es", "pl"] and len(learned[2]) == 2
+    got = {r["doc_id"]: r for r in identify(docs, learned).where("doc_id IN (0, 900, 901)").collect()}
+    assert [got[i]["lang_pred"] for i in (0, 900, 901)] == ["en", "pl", "es"]
+    monkeypatch.setattr("tallyforge.llm.language_id.GROUP", 32)
+    whole = {r["doc_id"]: r["lang_score"] for r in identify(docs, learn(docs)).collect()}
+    assert all(r["lang_score"] == pytest.approx(whole[i]) for i, r in got.items())
+
+
+def test_the_stage_keeps_documents_where_no_language_is_named(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some text", None), (2, "12", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
