@@ -14,6 +14,8 @@ from .common import field, materialize, packed, table, unpacked
 
 KEY = "surrogate-key"
 BROADCAST_ROWS = 100_000
+#: From this attempt on, forms of digits grow by four digits an attempt, as their own space may be full.
+LONGER_FROM = 3
 
 #: Titles by gender, as they stand before a name.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"), "n": ("Dr", "Prof")}
@@ -108,10 +110,10 @@ def checked(digits: Column) -> Column:
     )
 
 
-def account_like(entity: Column, hexes: Column) -> Column:
-    """Digits in the same form; the last one makes the Luhn check hold where it held."""
+def account_like(entity: Column, longer: Column, hexes: Column) -> Column:
+    """Digits in the form of longer; the last one makes the Luhn check hold where it held for entity."""
     plain = F.regexp_replace(entity, "[^0-9]", "")
-    made = same_form(entity, hexes)
+    made = same_form(longer, hexes)
     front = F.substr(made, F.lit(1), F.length(made) - 1)
     last = (10 - checked(F.concat(F.regexp_replace(front, "[^0-9]", ""), F.lit("0"))) % 10) % 10
     return F.when(checked(plain) % 10 == 0, F.concat(front, last.cast("string"))).otherwise(made)
@@ -128,31 +130,34 @@ def email_like(entity: Column, hexes: Column) -> Column:
     return F.when(~entity.rlike("[a-z]"), F.upper(made)).otherwise(made)
 
 
-def name_like(entity: Column, hexes: Column) -> Column:
-    """Title, a given name of the title's gender if there were two names, and a family name of four syllables, in the script of the name."""
+def name_like(entity: Column, hexes: Column, attempt: Column) -> Column:
+    """Title, a given name of the title's gender if there were two names, and a family name of four syllables and one more an attempt (ten at most), in the script of the name."""
     gender, cyrillic, name = gender_of(entity), entity.rlike(r"\p{IsCyrillic}"), bare_name(entity)
     pick = lambda names, at: F.get(F.array(*map(F.lit, names)), (hex_at(hexes, at) % len(names)).cast("int"))
     given = family = F.lit(None).cast("string")
     for (g, script), names in GIVEN.items():
         given = F.when((gender == g) & (cyrillic == (script == "Cyrillic")), pick(names, 0)).otherwise(given)
     for script, parts in SYLLABLES.items():
-        family = F.when(cyrillic == (script == "Cyrillic"), F.initcap(F.concat(*(pick(parts, 1 + i) for i in range(4))))).otherwise(family)
+        family = F.when(cyrillic == (script == "Cyrillic"), F.initcap(F.concat(*(pick(parts, 1 + i) for i in range(4)), *(F.when(attempt > i, pick(parts, 5 + i)).otherwise("") for i in range(6))))).otherwise(family)
     title = F.substr(entity, F.lit(1), F.length(entity) - F.length(name))
     return F.concat(title, F.when(name.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
 
 
-def surrogate(entity: Column, kind: Column, hexes: Column) -> Column:
+def surrogate(entity: Column, kind: Column, hexes: Column, attempt: Column) -> Column:
+    """A draw of the entity's kind and form.  The space grows with the attempt, so that there are values left however many entities a form has."""
+    late = F.greatest(attempt - (LONGER_FROM - 1), F.lit(0))
+    longer = F.concat(entity, F.repeat(F.lit("0000"), F.least(late, F.lit(8)).cast("int")))
     octets = F.concat_ws(".", (hex_at(hexes, 0, 4) % 223 + 1).cast("string"), *((hex_at(hexes, i) % 256).cast("string") for i in (2, 3, 4)))
     prefix = F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
     return (
         F.when(kind == "email", email_like(entity, hexes))
         .when(kind == "secret", secret_like(entity, hexes))
-        .when(kind == "ipv4", octets)
-        .when(kind == "phone", same_form(entity, hexes, prefix))
-        .when(kind == "ssn", same_form(entity, hexes))
-        .when(kind == "iban", same_form(entity, hexes, F.lit(2)))
-        .when(kind == "account", account_like(entity, hexes))
-        .when(kind == "name", name_like(entity, hexes))
+        .when(kind == "ipv4", F.when(late > 0, F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.substring(hexes, 1 + 4 * i, 4)) for i in range(6)))).otherwise(octets))
+        .when(kind == "phone", same_form(longer, hexes, prefix))
+        .when(kind == "ssn", same_form(longer, hexes))
+        .when(kind == "iban", same_form(longer, hexes, F.lit(2)))
+        .when(kind == "account", account_like(entity, longer, hexes))
+        .when(kind == "name", name_like(entity, hexes, attempt))
         .otherwise(entity)
     )
 
@@ -176,7 +181,7 @@ def attempts(docs: DataFrame, text: str, key: str) -> DataFrame:
     real = known.select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
     state = known.withColumn("attempt", F.lit(0))
     while True:
-        drawn = state.withColumn("made", surrogate(F.col("entity"), F.col("kind"), draw(F.col("kind"), F.col("canon"), F.col("attempt"), key))).withColumn("drawn", canonical(F.col("made"), F.col("kind"))).drop("made")
+        drawn = state.withColumn("made", surrogate(F.col("entity"), F.col("kind"), draw(F.col("kind"), F.col("canon"), F.col("attempt"), key), F.col("attempt"))).withColumn("drawn", canonical(F.col("made"), F.col("kind"))).drop("made")
         first = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("attempt", "canon"))
         state = materialize(drawn.withColumn("place", first).join(real, ["kind", "drawn"], "left").withColumn("again", (F.col("place") > 1) | F.col("real").isNotNull()).select("kind", "canon", "entity", "attempt", "again"))
         if not state.where("again").limit(1).count():
@@ -192,7 +197,7 @@ def rewritten(text: str, key: str, again: Column | None = None) -> tuple[Column,
         kind = kind_of(entity)
         canon = canonical(entity, kind)
         attempt = F.lit(0) if again is None else F.coalesce(F.try_element_at(again, F.concat(kind, F.lit(":"), canon)), F.lit(0))
-        return surrogate(entity, kind, draw(kind, canon, attempt, key))
+        return surrogate(entity, kind, draw(kind, canon, attempt, key), attempt)
 
     between = F.split(F.col(text), PATTERN, -1)
     made = F.transform(found, one)

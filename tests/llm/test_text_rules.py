@@ -119,3 +119,15 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
 def test_pattern_leaves_plain_numbers_alone(spark):
     docs = spark.createDataFrame([(1, "in 1999, 12-34, 3.14, 100,000 and 1.2.3 or version 10.2")], "doc_id long, text string")
     assert docs.select(F.size(entities("text")).alias("n")).first()["n"] == 0 and PATTERN
+
+
+def test_surrogates_find_room_when_a_form_is_full(spark, monkeypatch):
+    """Draws of which only few differ: without growth of the space with the attempt, no round would ever be the last."""
+    import tallyforge.llm.pii as P
+
+    monkeypatch.setattr(P, "SYLLABLES", {k: v[:2] for k, v in P.SYLLABLES.items()})  # 16 family names of four syllables
+    names = [f"Mr {a}{b}" for a in "ABCDEF" for b in ("xu", "yo", "ze", "qi", "wu")]
+    out = P.replace_pii(spark.createDataFrame([(i, t) for i, t in enumerate(names)], "doc_id long, text string")).collect()
+    assert len({r["text"] for r in out}) == len(names) and not {r["text"] for r in out} & set(names)
+    row = spark.range(1).select(*(P.surrogate(F.lit(e), F.lit(k), F.lit("5a" * 128), F.lit(9)).alias(k) for k, e in (("phone", "+1 12 34 56"), ("ssn", "078-05-1120"), ("ipv4", "1.2.3.4"), ("account", "4111 1111 1111 1111")))).first()
+    assert len(row["phone"]) > 30 and len(row["ssn"]) > 30 and row["ipv4"].startswith("2001:db8:") and len(row["account"]) > 40
