@@ -160,7 +160,7 @@ def dst04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("dst05_coalition_simulation")
 def dst05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulated(forecasts(spark, sf_dir), "event_id", runs=2000)
+    return simulated(forecasts(spark, sf_dir), "event_id")
 
 
 @query(

@@ -186,6 +186,12 @@ def fn16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.length(T.preamble(F.col("text"))).alias("length"))
 
 
+@query("fn16_preamble_cut", r"SELECT doc_id, md5(regexp_replace(left(string_split_regex(text, '(?i)\bBE IT ENACTED BY THE LEGISLATURE\b|(?:^|\n)\s*WHEREAS\b')[1], 8000), '^\s+|\s+$', '', 'g')) AS digest FROM documents")
+def fn16_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preamble of every document, those with an enacting clause or a WHEREAS too."""
+    return documents(spark, sf_dir).select("doc_id", F.md5(T.preamble(F.col("text")).cast("binary")).alias("digest"))
+
+
 @query("fn18_language_counts", "SELECT doc_id, " + ", ".join(f"round(ln(1 + len(regexp_extract_all(lower(text), '{p}'))), 6) AS f{i}" for i, p in enumerate(T.LANGUAGE_PATTERNS)) + " FROM documents")
 def fn18(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir).select("doc_id", T.language_counts(F.col("text")).alias("c"))

@@ -176,3 +176,32 @@ def test_nothing_outside_imports_the_llm_folder():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"\bllm\b", p.read_text()), p
+
+
+def test_preambles_are_cut_at_the_first_marker_as_in_sql(spark, duck, same, tmp_path):
+    import hashlib
+
+    import duckdb
+    import pandas as pd
+
+    from tallyforge import catalog
+
+    from .conftest import SF
+
+    rows = pd.read_parquet(f"{SF}/documents.parquet").head(6).copy()
+    rows["text"] = ["An act. Be it enacted by the Legislature: x", "Title\n  whereas, a; be it enacted by the legislature", "WHEREAS b", "no whereas here", "a" * 9000, "x be it enacted by the legislature\nWHEREAS"]
+    rows.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    found = catalog.QUERIES["fn16_preamble_cut"](spark, str(tmp_path))
+    same(found, con.execute(catalog.ORACLE_SQL["fn16_preamble_cut"]).df())
+    want = ["An act.", "Title", "", "no whereas here", "a" * 8000, "x"]
+    assert {r["digest"] for r in found.collect()} == {hashlib.md5(w.encode()).hexdigest() for w in want}
+
+
+def test_the_registered_simulation_draws_all_runs(monkeypatch):
+    from tallyforge.plans import models
+
+    monkeypatch.setattr(models, "forecasts", lambda spark, sf_dir: None)
+    monkeypatch.setattr(models, "simulated", lambda rows, by, **own: own)
+    assert models.dst05(None, "") == {}
