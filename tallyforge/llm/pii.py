@@ -36,6 +36,8 @@ SYLLABLES = {
 
 ALL_TITLES = "|".join(t for own in TITLES.values() for t in own)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: A part of a name, up to where its word ends; initials stand before or after the first part.
+NAME_PART, INITIALS = r"\p{Lu}[\p{L}\p{M}'’-]++", r"\p{Lu}\.(?: ?\p{Lu}\.)*"
 #: Kinds in order of preference.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
@@ -45,7 +47,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
     "account": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{ALL_TITLES})\.? \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'’-]{{1,30}}){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:{ALL_TITLES})\.? (?:{INITIALS} ?)?{NAME_PART}(?: {INITIALS})?(?: {NAME_PART}){{0,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every text with an entity holds one of these.

@@ -131,3 +131,9 @@ def test_surrogates_find_room_when_a_form_is_full(spark, monkeypatch):
     assert len({r["text"] for r in out}) == len(names) and not {r["text"] for r in out} & set(names)
     row = spark.range(1).select(*(P.surrogate(F.lit(e), F.lit(k), F.lit("5a" * 128), F.lit(9)).alias(k) for k, e in (("phone", "+1 12 34 56"), ("ssn", "078-05-1120"), ("ipv4", "1.2.3.4"), ("account", "4111 1111 1111 1111")))).first()
     assert len(row["phone"]) > 30 and len(row["ssn"]) > 30 and row["ipv4"].startswith("2001:db8:") and len(row["account"]) > 40
+
+
+def test_titled_names_are_found_to_their_ends(spark):
+    names = ["Mr McDonald", "Ms O'Brien", "Mr Smith-Jones", "Dr J. Smith", "Mr JOHN SMITH", "Mr John Q. Public", "Frau Müller"]
+    docs = spark.createDataFrame([(i, f"saw {n}, then left") for i, n in enumerate(names)], "doc_id long, text string")
+    assert [r["e"] for r in docs.orderBy("doc_id").select(entities("text").alias("e")).collect()] == [[n] for n in names]
