@@ -1,16 +1,13 @@
 """SimHash near-duplicates by deletion variants.
 
-Fingerprints of 64 bits link at up to `distance` differing bits.  Cut into distance - 1 segments, some segment holds one differing bit
-at most; cut into s > distance segments, the s - distance + 1 that differ least hold one in all at most.  So each fingerprint is indexed under every
-such choice of segments with one bit of them wiped out; fingerprints within the distance agree on at least one such key.  An equality join
-finds them and the full distance is verified.  More segments give longer keys and more of them; the choice by the number of fingerprints
-changes the cost, never the result.
+Fingerprints of 64 bits link at up to `distance` differing bits.  Cut into distance // 2 + 1 segments, some segment holds one differing bit
+at most.  So each fingerprint is indexed under every segment with one bit of it wiped out, 64 keys in all; fingerprints within the distance agree on
+at least one of them.  Grouping by key finds them and the full distance is verified.  Large buckets are compared in pairs of blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +21,8 @@ from .graph import connected_components
 SHINGLE_WORDS, SEED, DISTANCE = 4, 42, 4
 #: Members of a bucket that one task compares at a time.
 BUCKET_ROWS = 4096
+#: Members that are compared all at once.
+MATRIX_ROWS = 512
 #: Variants that one task makes.
 VARIANT_ROWS = 1 << 20
 
@@ -56,34 +55,21 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ri
     return map_texts(chosen, run, "rid long, doc_id long, fp long")
 
 
-def plan(n: int, distance: int = DISTANCE) -> tuple[int, int]:
-    """Segments and how many of them a key takes: the fewest for which chance partners stay below the number of keys of a fingerprint."""
-    choices = [*([(distance - 1, 1)] if distance > 1 else []), *((s, s - distance + 1) for s in range(distance + 1, max(9, distance + 4)))]
-    for s, r in choices:
-        bits = [sum(widths) for widths in combinations(segment_bits(s), r)]
-        if n * sum(b * 2.0 ** (1 - b) for b in bits) <= sum(bits):
-            break
-    return s, r
+def segment_count(distance: int = DISTANCE) -> int:
+    """The fewest segments of which one must hold one differing bit at most."""
+    return distance // 2 + 1
 
 
-def segment_bits(s: int) -> list[int]:
-    return [64 * (i + 1) // s - 64 * i // s for i in range(s)]
-
-
-def variant_masks(s: int, r: int) -> list[int]:
-    """For each choice of r segments and each bit of them: the bits that the key keeps."""
+def variant_masks(s: int) -> list[int]:
+    """For each of s segments and each bit of it: the bits that the key keeps."""
     starts = [64 * i // s for i in range(s + 1)]
-    masks = []
-    for chosen in combinations(range(s), r):
-        bits = [b for i in chosen for b in range(starts[i], starts[i + 1])]
-        whole = sum(1 << b for b in bits)
-        masks += [whole ^ (1 << b) for b in bits]
-    return masks
+    segments = [sum(1 << b for b in range(starts[i], starts[i + 1])) for i in range(s)]
+    return [whole ^ (1 << b) for whole in segments for b in range(64) if whole >> b & 1]
 
 
-def variants(fps: DataFrame, s: int, r: int) -> DataFrame:
+def variants(fps: DataFrame, s: int) -> DataFrame:
     """fp, variant number v and key (the kept bits) for every one-wildcard variant of every fingerprint."""
-    masks = np.array(variant_masks(s, r), np.uint64).view(np.int64).tolist()
+    masks = np.array(variant_masks(s), np.uint64).view(np.int64).tolist()
     keys = F.array(*(F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in enumerate(masks)))
     return fps.select("fp", F.inline(keys))
 
@@ -91,8 +77,13 @@ def variants(fps: DataFrame, s: int, r: int) -> DataFrame:
 def bucket_links(fps: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
     """Fewer links than members, connecting what all pairs within the distance connect.
 
-    Breadth-first: every member taken is compared with all that no component has yet, so only pairs within one component are left out.
+    Few pairs are all returned.  Else breadth-first: every member taken is compared with all that no component has yet, so only pairs within one
+    component are left out.
     """
+    if len(fps) <= MATRIX_ROWS:
+        i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= distance, 1))
+        if len(i) < len(fps):
+            return list(zip(fps[i].tolist(), fps[j].tolist(), strict=True))
     rest, links = fps, []
     while len(rest):
         taken, rest = [rest[0]], rest[1:]
@@ -124,10 +115,9 @@ def in_blocks(keys: DataFrame, block: int = BUCKET_ROWS, broadcast_rows: int = 1
 
 def near_links(fps: DataFrame, distance: int = DISTANCE, block: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints fps (column fp, no repeats) with the same connected parts as all pairs within the distance."""
-    n = fps.count()
-    s, r = plan(n, distance)
-    spread = fps.select("fp").repartition(bucket_count(n * len(variant_masks(s, r)), VARIANT_ROWS), "fp")
-    groups = in_blocks(variants(spread, s, r), block).groupBy("v", "key", "i", "j").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    s = segment_count(distance)
+    spread = fps.select("fp").repartition(bucket_count(fps.count() * len(variant_masks(s)), VARIANT_ROWS), "fp")
+    groups = in_blocks(variants(spread, s), block).groupBy("v", "key", "i", "j").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,5 +169,6 @@ def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", d
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; see near_duplicates for nulls, repeats and empty tables.  Texts of any length are shingled whole."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

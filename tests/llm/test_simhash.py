@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyforge.llm.graph import connected_components
-from tallyforge.llm.simhash import bucket_links, near_duplicates, near_links, one_per_group, plan, simhash, variant_masks
+from tallyforge.llm.simhash import bucket_links, components, near_duplicates, near_links, one_per_group, segment_count, simhash, variant_masks
 
 
 def groups(items, linked):
@@ -58,41 +58,63 @@ def test_fingerprint_by_definition():
     assert simhash(b"one two") == xxhash.xxh64(b"one two", seed=42).intdigest()
 
 
-@pytest.mark.parametrize("s,r", [(3, 1), (5, 2), (6, 3), (7, 4)])
-def test_any_pair_within_reach_shares_a_variant(s, r):
-    rng = random.Random(s)
-    masks = variant_masks(s, r)
+@pytest.mark.parametrize("distance", range(7))
+def test_any_pair_within_reach_shares_a_variant(distance):
+    rng = random.Random(distance)
+    masks = variant_masks(segment_count(distance))
+    assert segment_count(4) == 3 and len(masks) == 64
     for _ in range(300):
-        flips = sum(1 << b for b in rng.sample(range(64), 4))
+        flips = sum(1 << b for b in rng.sample(range(64), distance))
         assert any(flips & m == 0 for m in masks)
-    assert plan(100) == (3, 1) and plan(10**7)[0] > 3
 
 
 @pytest.mark.parametrize("block", [3, 4096])
-def test_links_connect_what_all_pairs_connect(spark, block, monkeypatch):
+@pytest.mark.parametrize("distance", [1, 4, 5])
+def test_links_connect_what_all_pairs_connect(spark, block, distance):
     items = planted(250)
     df = spark.createDataFrame([(signed(x),) for x in items], "fp long")
-    for s, r in ((3, 1), (5, 2)):
-        monkeypatch.setattr("tallyforge.llm.simhash.plan", lambda n, d, s=s, r=r: (s, r))
-        links = [(x["a"] % (1 << 64), x["b"] % (1 << 64)) for x in near_links(df, block=block).collect()]
-        assert all(near(a, b) for a, b in links)
-        assert groups(items, lambda a, b, have=set(links) | {(b, a) for a, b in links}: (a, b) in have) == groups(items, near)
+    links = [(x["a"] % (1 << 64), x["b"] % (1 << 64)) for x in near_links(df, distance, block).collect()]
+    assert all(near(a, b, distance) for a, b in links)
+    have = set(links) | {(b, a) for a, b in links}
+    assert groups(items, lambda a, b: (a, b) in have) == groups(items, lambda a, b: near(a, b, distance))
+
+
+def test_three_hundred_chains_stay_whole(spark):
+    """Chains of four, each end out of the other's reach, through components(), over different numbers of partitions."""
+    rng = random.Random(3)
+    chains = []
+    for _ in range(300):
+        x, chain = rng.getrandbits(64), []
+        places = rng.sample(range(rng.choice((12, 21, 64))), 12)
+        for k in range(4):
+            chain.append(x)
+            for b in places[4 * k % 12 : 4 * k % 12 + 4]:
+                x ^= 1 << b
+        chains.append(chain)
+    rows = [(1000 * i + k, 1000 * i + k, signed(x)) for i, chain in enumerate(chains) for k, x in enumerate(chain)]
+    for parts in (1, 7):
+        rng.shuffle(rows)
+        found = components(spark.createDataFrame(rows, "rid long, doc_id long, fp long").repartition(parts)).collect()
+        first = {r["fp"]: r["first"]["doc_id"] for r in found}
+        assert all(first[signed(x)] == 1000 * i for i, chain in enumerate(chains) for x in chain)
 
 
 def test_bucket_links_are_few():
     fps = np.array([1 << i for i in range(40)], np.uint64)
-    links = bucket_links(fps)
-    assert len(links) == 39
+    assert len(bucket_links(fps)) == 39  # all 780 pairs are near
+    assert sorted(bucket_links(np.array([0, 1, 1 << 40, (1 << 64) - 1, 3], np.uint64), 1)) == [(0, 1), (0, 1 << 40), (1, 3)]
 
 
 @pytest.mark.parametrize("order", list(permutations(range(4))))
-def test_bucket_links_follow_a_chain_in_every_order(order):
+def test_bucket_links_follow_a_chain_in_every_order(order, monkeypatch):
     """Chains whose bits all lie in one segment, so that no other bucket repairs a lost link."""
     chain = [0x0, 0xF, 0xFF, 0xFFF]
     fps = np.array([chain[i] for i in order] + [(1 << 64) - 1], np.uint64)
-    links = bucket_links(fps)
-    assert all(near(a, b) for a, b in links) and len(links) == 3
-    assert len(set(groups(chain, lambda a, b: (a, b) in links or (b, a) in links))) == 1
+    for matrix in (0, 512):
+        monkeypatch.setattr("tallyforge.llm.simhash.MATRIX_ROWS", matrix)
+        links = bucket_links(fps)
+        assert all(near(a, b) for a, b in links) and len(links) == 3
+        assert len(set(groups(chain, lambda a, b, links=links: (a, b) in links or (b, a) in links))) == 1
 
 
 def test_components_of_a_long_path_and_a_star(spark):
