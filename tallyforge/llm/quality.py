@@ -32,10 +32,11 @@ class Band:
     high: float
 
 
-#: By length; a text takes the last band that it reaches.  Fixed values, set from zstandard's usual ratios on prose.
-BANDS = (Band(0, 0.0, 9.0), Band(100, 0.25, 1.2), Band(500, 0.25, 0.95), Band(2000, 0.22, 0.88), Band(10000, 0.18, 0.85))
-#: For each full chunk, and how large a share of the chunks may lie outside.
-CHUNK_BYTES, CHUNK_LOW, CHUNK_HIGH, CHUNK_SHARE = 4096, 0.2, 0.92, 0.25
+#: By length; a text takes the last band that it reaches.  Fixed values, set from zstandard's usual ratios on prose.  A text under 100 bytes is stored as it is, so only its low limit tells something.
+BANDS = (Band(0, 0.0, 99.0), Band(20, 0.3, 2.0), Band(100, 0.25, 1.2), Band(500, 0.25, 0.95), Band(2000, 0.22, 0.88), Band(10000, 0.18, 0.85))
+#: For each chunk, by its own length (the last one of a text may be shorter), and how large a share of the chunks may lie outside.
+CHUNK_BYTES, CHUNK_SHARE = 4096, 0.25
+CHUNK_BANDS = (*BANDS[:4], Band(2000, 0.2, 0.92))
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks long, n_low_chunks long, n_high_chunks long"
 
@@ -68,10 +69,20 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def band_of(n_bytes: int, bands: tuple[Band, ...]) -> Band:
+    return [b for b in bands if n_bytes >= b.min_bytes][-1]
+
+
+def chunk_ratios(text: bytes, packer: zstandard.ZstdCompressor, size: int = CHUNK_BYTES) -> list[tuple[float, Band]]:
+    """Ratio and band of every chunk of a text of over size bytes, the last one, however short, included."""
+    chunks = [text[i : i + size] for i in range(0, len(text), size)] if len(text) > size else []
+    return [(len(packer.compress(c)) / len(c), band_of(len(c), CHUNK_BANDS)) for c in chunks]
+
+
 def measure(text: bytes | None, packer: zstandard.ZstdCompressor) -> tuple:
     text = text or b""
     words = text.split()
-    chunks = [len(packer.compress(text[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(text) - CHUNK_BYTES + 1, CHUNK_BYTES)] if len(text) > CHUNK_BYTES else []
+    chunks = chunk_ratios(text, packer)
     return (
         len(words),
         len(text.translate(None, SPACE + CONTINUATION)),
@@ -80,8 +91,8 @@ def measure(text: bytes | None, packer: zstandard.ZstdCompressor) -> tuple:
         repeated_words(words),
         len(packer.compress(text)) / len(text) if text else None,
         len(chunks),
-        sum(x < CHUNK_LOW for x in chunks),
-        sum(x > CHUNK_HIGH for x in chunks),
+        sum(x < b.low for x, b in chunks),
+        sum(x > b.high for x, b in chunks),
     )
 
 
@@ -124,13 +135,14 @@ def with_verdict(measures: DataFrame, bands: tuple[Band, ...] = BANDS) -> DataFr
 def quality_rules(docs: DataFrame, text: str = "text", passthrough: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Measures and verdict of every row; see text_measures for nulls and with_verdict for the rules.
 
-    An empty table gives an empty result; a text of one repeated word fails base; texts under 100 bytes have no band.
+    An empty table gives an empty result; a text of one repeated word fails base; an empty text has no ratio and fails base.
     """
     sized = docs.select(*passthrough, text, F.coalesce(F.octet_length(text), F.lit(0)).alias("n_bytes"))
     return with_verdict(text_measures(sized, text, passthrough=(*passthrough, "n_bytes")))
 
 
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null texts have no words, repeated rows each their row, very long texts all their chunks."""
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "n_chunks", "n_low_chunks", "n_high_chunks", "reason"
     )

@@ -3,22 +3,24 @@
 import base64
 import gzip
 import hashlib
+import math
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm.topk import Block, quantise, top_k
+from tallyforge.llm.topk import OP2_SQL, Block, top_k
 from tallyforge.llm.warc import archive_pages, parse, read_archives, with_revisits, write_archives
 
 
 def slow(rows, k, scale=256):
-    ids, values = [i for i, _ in rows], quantise(np.array([v for _, v in rows]), scale)
+    values = [[math.floor(scale * x) for x in v] for _, v in rows]
     out = []
-    for i, q in zip(ids, values):
+    for a, (i, _) in enumerate(rows):
         if i % 50 == 0:
-            best = sorted((-int(q @ v), j) for j, v in zip(ids, values) if j != i)[:k]
+            best = sorted((-sum(x * y for x, y in zip(values[a], values[b])), j) for b, (j, _) in enumerate(rows) if a != b)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -28,24 +30,45 @@ def test_search_equals_all_pairs(spark, scale):
     """At scale 8 nearly all scores tie; copies and negative values are among the rows."""
     rng = np.random.default_rng(scale)
     rows = [(i, v) for i, v in enumerate(np.round(rng.normal(size=(330, 5)), 2).tolist())]
-    rows += [(1000 + i, rows[0][1]) for i in range(12)] + [(2000, [0.0] * 5), (2001, [-3.0, 2.5, 0.0, 0.0, 100.0])]
+    rows += [(1000 + i, rows[0][1]) for i in range(12)] + [(2000, [0.0] * 5), (2001, [-3.0, 2.5, 0.0, 0.0, 100.0]), (50, rows[3][1]), (50, rows[50][1]), (7, rows[0][1]), (7, rows[0][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = top_k(df, F.col("vec_id") % 50 == 0, scale=scale, block_rows=100, query_rows=3)
     assert sorted(map(tuple, got.collect())) == slow(rows, 5, scale)
 
 
 def test_search_edges(spark):
-    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [1e30, -1e30])]
+    rows = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [1.0, None]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0, 1.0]), (6, [1.0, 1.0]), (None, [1.0, 1.0]), (50, [1.0, 0.0]), (7, [1.0, 2.0, 3.0]), (8, [70000.0, -1e9])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("width", F.lit("clash"))
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    assert got[0, 1] == (6, 256 * 256 * 3) and (0, 3) in got and (0, 4) not in got and got[50, 1][0] == 8
+    assert got[0, 1] == got[0, 2] == (6, 256 * 256 * 3) and (0, 4) in got and (0, 5) not in got and got[50, 1][0] == 8
+    with pytest.raises(Exception, match="too large"):
+        top_k(df.union(spark.createDataFrame([(9, [1e30, 0.0], 1)], "vec_id long, embedding array<double>, width string")), F.lit(True)).collect()
     assert top_k(df.where("false"), F.lit(True)).count() == 0 and top_k(df, F.lit(False)).count() == 0
 
 
+def test_search_takes_large_components(spark):
+    rows = [(0, [70000.0, 1.0]), (1, [80000.0, -2.0]), (2, [70000.0, 1.0]), (50, [-(2.0**20), 2.0**20]), (3, [2.0**20, -(2.0**14)]), (3, [2.0**20, -(2.0**14)]), (4, [2.0**50, 0.0]), (100, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, top_k(df.where("vec_id <> 4"), F.col("vec_id") % 50 == 0).collect()))
+    assert got == slow([r for r in rows if r[0] != 4], 5)
+    with pytest.raises(Exception, match="leaves a long"):
+        top_k(df, F.col("vec_id") == 100).collect()
+    assert sorted(map(tuple, top_k(df, F.col("vec_id") == 50).collect())) == [r for r in slow(rows, 5) if r[0] == 50]
+
+
+def test_search_equals_its_sql_with_repeats(spark, same):
+    rng = np.random.default_rng(8)
+    rows = [(i % 60, v) for i, v in enumerate(np.round(rng.normal(size=(150, 3)), 1).tolist())] + [(0, None), (50, [1.0, None, 2.0]), (None, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    same(top_k(df, F.col("vec_id") % 50 == 0), con.execute(OP2_SQL).df())
+
+
 def test_block_counts_bits_exactly():
     rng = np.random.default_rng(0)
     values, queries = rng.integers(-300, 300, (130, 4)), rng.integers(-300, 300, (3, 4))
-    block = Block.build(np.arange(130), values)
+    block = Block.build(np.arange(130)[::-1], np.arange(130)[::-1], values[::-1])
     slices, base = block.sums(queries)
     for q in range(3):
         bits = [np.unpackbits(s[q].view(np.uint8), bitorder="little")[:130].astype(np.int64) for s in slices]

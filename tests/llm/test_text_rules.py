@@ -48,6 +48,42 @@ def test_quality_rows_and_edges(spark):
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def slow_verdict(text):
+    """kept, by the rules as they read, with numbers written out."""
+    data = (text or "").encode()
+    words = data.split()
+    if len(words) < 10 or 100 * slow_repeats(words) > 20 * len(words):
+        return False
+    packer = zstandard.ZstdCompressor(level=3)
+
+    def outside(part, top):
+        ratio, n = len(packer.compress(part)) / len(part), len(part)
+        steps = [(0, 0.0, 99.0), (20, 0.3, 2.0), (100, 0.25, 1.2), (500, 0.25, 0.95), *top]
+        low, high = max(s for s in steps if s[0] <= n)[1:]
+        return ratio < low, ratio > high
+
+    if any(outside(data, [(2000, 0.22, 0.88), (10000, 0.18, 0.85)])):
+        return False
+    parts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
+    found = [outside(p, [(2000, 0.2, 0.92)]) for p in parts]
+    return all(4 * sum(f[k] for f in found) <= len(parts) for k in (0, 1))
+
+
+def test_verdicts_by_brute_force(spark):
+    """Prose with tails of noise or repeats of all lengths, around the chunks' edges."""
+    rng = random.Random(11)
+    prose = " ".join("".join(rng.choice(string.ascii_lowercase[:12]) for _ in range(rng.randrange(2, 9))) for _ in range(4000))
+    noise = "".join(rng.choice(string.ascii_letters + string.digits + "+/") + " " * (i % 61 == 60) for i in range(30_000))
+    rows, at = [], 0
+    for n in (50, 90, 99, 100, 499, 500, 1999, 2000, 4095, 4096, 4097, 8191, 8192, 9000, 12_000, 20_000):
+        for tail in ("", noise[:2000], noise[:4095], noise[: n // 2], "x" * 3000 + " end", "word " * 12, "=" * n):
+            rows.append((at, prose[:n] + tail))
+            at += 1
+    got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i]["kept"] for i, _ in rows} == {i: slow_verdict(t) for i, t in rows}
+    assert {got[i]["n_chunks"] for i, t in rows if len(t) == 8191} == {2} and len({r["reason"] for r in got.values()}) == 4
+
+
 def phrases(words):
     out = []
     for phrase, label in L.PHRASES.items():
