@@ -58,14 +58,14 @@ def slow_verdict(text):
 
     def outside(part, top):
         ratio, n = len(packer.compress(part)) / len(part), len(part)
-        steps = [(0, 0.0, 99.0), (20, 0.3, 2.0), (100, 0.25, 1.2), (500, 0.25, 0.95), *top]
+        steps = [(0, 0.0, 99.0), (20, 0.3, 2.0), (100, 0.25, 1.2), (250, 0.25, 0.95), (500, 0.25, 0.85), *top]
         low, high = max(s for s in steps if s[0] <= n)[1:]
         return ratio < low, ratio > high
 
-    if any(outside(data, [(2000, 0.22, 0.88), (10000, 0.18, 0.85)])):
+    if any(outside(data, [(2000, 0.22, 0.74), (10000, 0.18, 0.72)])):
         return False
     parts = [data[i : i + 4096] for i in range(0, len(data), 4096)] if len(data) > 4096 else []
-    found = [outside(p, [(2000, 0.2, 0.92)]) for p in parts]
+    found = [outside(p, [(2000, 0.2, 0.74)]) for p in parts]
     return all(4 * sum(f[k] for f in found) <= len(parts) for k in (0, 1))
 
 
@@ -76,7 +76,7 @@ def test_verdicts_by_brute_force(spark):
     noise = "".join(rng.choice(string.ascii_letters + string.digits + "+/") + " " * (i % 61 == 60) for i in range(30_000))
     rows, at = [], 0
     for n in (50, 90, 99, 100, 499, 500, 1999, 2000, 4095, 4096, 4097, 8191, 8192, 9000, 12_000, 20_000):
-        for tail in ("", noise[:2000], noise[:4095], noise[: n // 2], "x" * 3000 + " end", "word " * 12, "=" * n):
+        for tail in ("", noise[:2000], noise[:4095], noise[: n // 2], noise[:n] * 3, "x" * 3000 + " end", "word " * 12, "=" * n):
             rows.append((at, prose[:n] + tail))
             at += 1
     got = {r["doc_id"]: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -173,3 +173,54 @@ def test_titled_names_are_found_to_their_ends(spark):
     names = ["Mr McDonald", "Ms O'Brien", "Mr Smith-Jones", "Dr J. Smith", "Mr JOHN SMITH", "Mr John Q. Public", "Frau Müller"]
     docs = spark.createDataFrame([(i, f"saw {n}, then left") for i, n in enumerate(names)], "doc_id long, text string")
     assert [r["e"] for r in docs.orderBy("doc_id").select(entities("text").alias("e")).collect()] == [[n] for n in names]
+
+
+def slow_labels(text, templates):
+    """All windows of each template's length against the template, in-order words by dynamic programming; the best stretch of a place wins."""
+    words = L.words_of(text.encode())
+
+    def same(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], max(row[j + 1], row[j], last + 1 if x == y else 0)
+        return row[-1]
+
+    found = []
+    for label, t in templates:
+        body = L.words_of(t.encode())
+        for at in range(max(1, len(words) - len(body) + 1)):
+            share = same(words[at : at + len(body)], body) / len(body)
+            if share >= (1.0 if len(body) <= 16 else 0.8):
+                found.append((share, len(body), label, at, at + len(body)))
+    return sorted({r[2] for r in found if not any(x[:2] > r[:2] and x[3] <= r[4] and r[3] <= x[4] for x in found)})
+
+
+def test_license_labels_by_brute_force(spark):
+    rng = random.Random(12)
+    own = [("a", "one two three four five"), ("b", " ".join(f"w{i}" for i in range(30))), ("c", "one two three four six"), ("d", " ".join(f"v{i}" for i in range(50)))]
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            body = rng.choice(own)[1].split()
+            for _ in range(rng.randrange(3)):
+                body[rng.randrange(len(body))] = rng.choice(["zz", "w3", "two"])
+            parts += ["filler", "words"] * rng.randrange(4) + body
+        rows.append((i, " ".join([*parts, "tail"])))
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates=own).collect()}
+    want = {i: ",".join(slow_labels(t, own)) for i, t in rows}
+    assert sum(v != "" for v in want.values()) > 20 and got == want
+
+
+def test_license_scan_of_very_long_texts(spark):
+    """Linear in the text: 20 MB with hits all over, and a notice that repeats itself."""
+    import time
+
+    mit = next(t for n, t in L.TEMPLATES if n == "mit" and len(t) > 100)
+    rows = [(1, "released under the mit license again and " * 480_000), (2, (mit + " ") * 2000), (3, "the license the license " * 100_000)]
+    began = time.time()
+    got = {r["doc_id"]: r for r in L.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_base"] == 480_000 and got[1]["first_word"] == 3 and got[1]["last_word"] == 3 + 7 * 479_999 and got[1]["labels"] == got[2]["labels"] == "mit"
+    assert got[3]["labels"] == "" and got[3]["n_words"] == 400_000 and time.time() - began < 300
