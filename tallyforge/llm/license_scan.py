@@ -125,18 +125,18 @@ def windows(start: int, stop: int, length: int, k: int = K) -> Iterator[tuple[in
     yield start, stop
 
 
-def share_of(window: list[bytes], template: list[bytes]) -> float:
-    """Share of the template's words that stand in order in the window; 0 if they are too few.
+def share_of(window: list[bytes], template: list[bytes]) -> tuple[float, int, int]:
+    """Share of the template's words that stand in order in the window (0 if they are too few), and from where to where.
 
     A template of SHORT words at most must be there in full, since one word tells such notices apart; one of over LONG words may be quoted in part.
     """
     blocks = [b for b in difflib.SequenceMatcher(None, window, template, autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
-        return 0.0
+        return 0.0, 0, 0
     same = sum(b.size for b in blocks)
     reach = len(template) if len(template) <= LONG else max(LONG, blocks[-1].b + blocks[-1].size - blocks[0].b)
     share = min(1.0, same / reach)
-    return share if share >= (1.0 if len(template) <= SHORT else SHARE) else 0.0
+    return share if share >= (1.0 if len(template) <= SHORT else SHARE) else 0.0, blocks[0].a, blocks[-1].a + blocks[-1].size - 1
 
 
 def best_labels(words: list[bytes], spans: list[tuple[int, int, int]], templates: list[list[bytes]], labels: list[str]) -> tuple[list[str], float]:
@@ -144,7 +144,7 @@ def best_labels(words: list[bytes], spans: list[tuple[int, int, int]], templates
 
     Better: a larger share, then a longer template.  Stretches are compared by cells of the text, so that a text of many spans takes time in proportion to them.
     """
-    seen: dict[tuple, float] = {}  # equal windows of a text that repeats itself are looked at once
+    seen: dict[tuple, tuple[float, int, int]] = {}  # equal windows of a text that repeats itself are looked at once
     rated = []
     for t, start, stop in spans:
         for a, z in windows(start, stop, len(templates[t])):
@@ -152,8 +152,9 @@ def best_labels(words: list[bytes], spans: list[tuple[int, int, int]], templates
             key = (t, xxhash.xxh3_128_digest(b" ".join(window)))
             if key not in seen:
                 seen[key] = share_of(window, templates[t])
-            if seen[key]:
-                rated.append((seen[key], len(templates[t]), t, a, z))
+            share, first, last = seen[key]
+            if share:
+                rated.append((share, len(templates[t]), t, a + first, a + last))
     cells: dict[int, list[tuple]] = {}
     taken = set()
     best = 0.0

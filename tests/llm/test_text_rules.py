@@ -193,7 +193,7 @@ def slow_labels(text, templates):
         for at in range(max(1, len(words) - len(body) + 1)):
             share = same(words[at : at + len(body)], body) / len(body)
             if share >= (1.0 if len(body) <= 16 else 0.8):
-                found.append((share, len(body), label, at, at + len(body)))
+                found.append((share, len(body), label, at, at + len(body) - 1))
     return sorted({r[2] for r in found if not any(x[:2] > r[:2] and x[3] <= r[4] and r[3] <= x[4] for x in found)})
 
 
