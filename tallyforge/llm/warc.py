@@ -1,7 +1,8 @@
 """WARC archives: writing, reading, and revisit records for payloads that repeat.
 
-Records are text (a page's HTML is), so Spark's own text writer makes the archives: one record per row, the blank lines that end a record as line
-separator, whatever store the path is in, with the writer's protection against lost tasks.
+Tasks make each record one gzip member, as is the custom, so that a record can be read alone.  Spark's own text writer writes the members, whatever store the path is
+in and with its protection against lost tasks: it adds a separator to each row, so a row is a member without its last byte, and that byte, the highest of the
+uncompressed size, is the separator, 0 for members of less than 16 MiB.  Longer records take several members.  A task begins a new file after FILE_BYTES.
 """
 
 from __future__ import annotations
@@ -9,17 +10,21 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch, table
+from .common import column_bytes, map_texts, materialize, scratch, slices, table
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 4096
+#: Bytes of members after which a task begins a new file, and of content that one member holds.
+FILE_BYTES, MEMBER_BYTES = 64 << 20, 15 << 20
+#: Records' bytes that a task takes into Python at a time.
+SLICE_BYTES = 16 << 20
 BROADCAST_ROWS = 100_000
 COLUMNS = "page_id long, record_type string, url string, refers_to long, payload_digest string, stated_digest string, payload_bytes long, payload binary"
 
@@ -74,26 +79,74 @@ def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     return found.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("largest"))).drop("largest")
 
 
-def write_archives(records: DataFrame, path: str, date: Column | None = None, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Gzipped archives of records_per_file records at most, with fresh headers; so a reader takes one file at a time into memory."""
-    date = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'") if date is None else date
-    records.select(record_text(date).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+def members(record: bytes) -> Iterator[bytes]:
+    """The gzip members of a record."""
+    for at in range(0, max(1, len(record)), MEMBER_BYTES):
+        yield gzip.compress(record[at : at + MEMBER_BYTES], 6, mtime=0)
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of every record; ValueError if one is broken."""
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        head = dict(line.split(": ", 1) for line in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
+def utc_now() -> Column:
+    """Now, in UTC whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def write_archives(records: DataFrame, path: str, date: Column | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Gzipped archives with fresh headers, of about file_bytes each (one long record may exceed that), in a folder for each of a task's files."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, file = 0, 0
+        for part in slices(batches, "record", SLICE_BYTES):
+            rows, files = [], []
+            for record in column_bytes(part, "record"):
+                if held >= file_bytes:
+                    held, file = 0, file + 1
+                for m in members(record + b"\r\n\r\n"):
+                    rows.append(m[:-1])
+                    files.append(file)
+                    held += len(m)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(files, pa.int32())], ["value", "file"])
+
+    made = map_texts(records.select(record_text(utc_now() if date is None else date).cast("binary").alias("record")), run, "value binary, file int")
+    made.select(F.col("value").cast("string").alias("value"), "file").write.partitionBy("file").option("lineSep", "\0").text(path)
+
+
+def unzipped(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of data hold, one by one."""
+    while data:
+        reader = zlib.decompressobj(31)
+        out = reader.decompress(data) + reader.flush()
+        if not reader.eof:
+            raise ValueError("a gzip member is cut off")
+        yield out
+        data = reader.unused_data
+
+
+def parse(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of every record; ValueError if one is broken.  parts: the content in order, cut anywhere; one record is held at a time."""
+    parts, data = iter(parts), b""
+
+    def more(n: int) -> bool:
+        nonlocal data
+        held, size = [data], len(data)
+        while size < n and (x := next(parts, None)) is not None:
+            held.append(x)
+            size += len(x)
+        data = b"".join(held)
+        return size >= n
+
+    while more(1):
+        while (end := data.find(b"\r\n\r\n")) < 0 and more(len(data) + 1):
+            pass
+        if end < 0 or not data.startswith(b"WARC/"):
+            raise ValueError("no record where one should begin")
+        head = dict(line.split(": ", 1) for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:])
         head = {k.lower(): v for k, v in head.items()}
         start, size = end + 4, int(head["content-length"])
+        more(start + size + 4)
         if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end where it says")
+            raise ValueError("a record doesn't end where it says")
         yield head, data[start : start + size]
-        at = start + size + 4
+        data = data[start + size + 4 :]
 
 
 def page_number(value: str | None) -> int | None:
@@ -109,17 +162,25 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                rows = []
-                for head, block in parse(gzip.decompress(content.as_py())):
+                rows, held = [], 0
+                for head, block in parse(unzipped(content.as_py())):
                     payload = block.partition(b"\r\n\r\n")[2]
                     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                     stated = head.get("warc-payload-digest", "").removeprefix("sha1:")
+                    held += len(payload) if payloads else 0
                     rows.append((page_number(head.get("warc-record-id")), head["warc-type"], head.get("warc-target-uri"), page_number(head.get("warc-refers-to")), digest, stated, len(payload), payload if payloads else None))
+                    if len(rows) == 1000 or held > SLICE_BYTES:
+                        yield batch_of(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("content").mapInArrow(run, COLUMNS)
+    # A few files at a time: Spark counts rows, and each row is a file.
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    return map_texts(files.select("content"), run, COLUMNS)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -138,6 +199,7 @@ def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame:
 
 
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of archives read back; see with_revisits for nulls, ties and repeats.  Pages of any length are written whole; no pages: no rows."""
     found = archive_pages(table(spark, sf_dir, "pages"), scratch(spark))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

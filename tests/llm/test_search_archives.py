@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyforge.llm.topk import OP2_SQL, Block, top_k
-from tallyforge.llm.warc import archive_pages, parse, read_archives, with_revisits, write_archives
+from tallyforge.llm.warc import archive_pages, parse, read_archives, unzipped, with_revisits, write_archives
 
 
 def slow(rows, k, scale=256):
@@ -92,7 +92,8 @@ def test_archives_round_trip(spark, tmp_path):
         to = refers.get(i) if i is not None else (3 if html == "<p>same</p>" else None)
         want.append((i, len((html or "").encode()), digest(html), "revisit" if to else "response", to))
     assert got == sorted(want, key=repr)
-    raw = [(h, b) for f in Path(path).glob("*.gz") for h, b in parse(gzip.decompress(f.read_bytes()))]
+    raw = [(h, b) for f in Path(path).rglob("part-*") for h, b in parse([gzip.decompress(f.read_bytes())])]
+    assert all(len(list(parse([m]))) == 1 for f in Path(path).rglob("part-*") for m in unzipped(f.read_bytes()))
     assert len(raw) == len(PAGES) and all(int(h["content-length"]) == len(b) for h, b in raw)
     kept = {h["warc-record-id"]: b.partition(b"\r\n\r\n")[2] for h, b in raw if h["warc-type"] == "response"}
     assert kept["<urn:page:6>"] == PAGES[5][2].encode() and all(b.endswith(b"\r\n\r\n") for h, b in raw if h["warc-type"] == "revisit")
@@ -103,7 +104,8 @@ def test_small_payloads_and_empty_tables(spark, tmp_path):
     found = {r["page_id"]: r["record_type"] for r in with_revisits(pages, min_bytes=12).collect()}
     assert found[1] == found[4] == "response"
     assert archive_pages(pages.where("false"), str(tmp_path / "none")).count() == 0
-    write_archives(with_revisits(pages), str(tmp_path / "some"), records_per_file=2)
+    write_archives(with_revisits(pages), str(tmp_path / "some"), file_bytes=200)
+    assert len(list((tmp_path / "some").rglob("part-*"))) >= 6
     back = read_archives(spark, str(tmp_path / "some"), payloads=True)
     assert {bytes(r["payload"]) for r in back.where("record_type = 'response'").collect()} == {(h or "").encode() for _, _, h in PAGES}
     assert back.where("record_type = 'response' AND payload_digest <> stated_digest").count() == 0
@@ -111,6 +113,28 @@ def test_small_payloads_and_empty_tables(spark, tmp_path):
 
 def test_broken_archives_are_refused():
     with pytest.raises(ValueError):
-        list(parse(b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"))
+        list(parse([b"WARC/1.1\r\nContent-Length: 10\r\n\r\nshort"]))
     with pytest.raises(ValueError):
-        list(parse(b"garbage"))
+        list(parse([b"garbage"]))
+    with pytest.raises(ValueError):
+        list(unzipped(gzip.compress(b"x" * 100)[:-9]))
+
+
+def test_long_pages_and_dates_in_utc(spark, tmp_path):
+    """Pages over a member's size; a session zone far from UTC."""
+    import random
+    from datetime import UTC, datetime
+
+    rng = random.Random(1)
+    rows = [(i, f"http://a/{i}", f"{i}" + "".join(chr(rng.randrange(32, 0x800)) for _ in range(1 << 20))) for i in range(3)] + [(9, "u", "x" * (17 << 20))]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        write_archives(with_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")), str(tmp_path / "w"), file_bytes=1 << 20)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    back = {r["page_id"]: bytes(r["payload"]) for r in read_archives(spark, str(tmp_path / "w"), payloads=True).collect()}
+    assert back == {i: h.encode() for i, _, h in rows}
+    raw = [h for f in (tmp_path / "w").rglob("part-*") for h, _ in parse(unzipped(f.read_bytes()))]
+    now = datetime.now(UTC).timestamp()
+    assert all(abs(datetime.strptime(h["warc-date"] + "+0000", "%Y-%m-%dT%H:%M:%SZ%z").timestamp() - now) < 600 for h in raw)
