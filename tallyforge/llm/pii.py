@@ -1,21 +1,27 @@
 """Keyed surrogates for personal data, as Spark expressions only.
 
 Entities are found by one pattern.  Each gets a surrogate of its kind and form, drawn from a keyed hash of its canonical spelling, so that it is the same wherever it
-stands.  All distinct entities are then checked: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with the next attempt.
-Texts are rewritten in place; only entities and the rare second attempts are shuffled.
+stands and however it is spelled.  Names are taken apart: family names and given names have surrogates of their own, so that Mr Smith and Dr John Smith share a family name.
+All distinct entities are then checked: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with the next attempt.
+Texts are rewritten in place; only entities and the rare exceptions (second attempts, given names under titles of several genders) are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import field, materialize, packed, table, unpacked
 
-KEY = "surrogate-key"
+#: Names the session setting that holds the key; where it is unset, the queries take TEST_KEY, whose surrogates are no secret.
+KEY_SETTING, TEST_KEY = "spark.tallyforge.pii.key", "no secret"
 BROADCAST_ROWS = 100_000
-#: From this attempt on, forms of digits grow by four digits an attempt, as their own space may be full.
-LONGER_FROM = 3
+#: From this attempt on, forms of digits grow by four digits an attempt, as their own space may be full; after MOST_ATTEMPTS rounds something is wrong.
+LONGER_FROM, MOST_ATTEMPTS = 3, 40
+#: Put around entities to cut a text; a text that holds it itself is cut by a second search.
+MARK = "\ufdd0"
 
 #: Titles by gender, as they stand before a name.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа"), "n": ("Dr", "Prof")}
@@ -34,52 +40,87 @@ SYLLABLES = {
     "Cyrillic": ("ба", "бер", "дал", "ден", "фел", "гар", "хол", "кел", "лан", "мар", "нор", "пер", "ран", "сел", "тор", "вин"),
 }
 
+#: Words before a name without a title.
+CUES = ("name is", "Name is", "name:", "Name:", "Contact:", "Attn:", "Author:", "Signed,", "Sincerely,", "Regards,")
+#: Country calling codes of one and two digits; all others have three.
+CALLING_CODE = r"^\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 ALL_TITLES = "|".join(t for own in TITLES.values() for t in own)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: A part of a name, up to where its word ends; initials stand before or after the first part.
 NAME_PART, INITIALS = r"\p{Lu}[\p{L}\p{M}'’-]++", r"\p{Lu}\.(?: ?\p{Lu}\.)*"
-#: Kinds in order of preference.
+CUE = rf"(?<=\b(?:{'|'.join(CUES)})[ \n])"
+#: Kinds in order of preference; what is of no other kind is a name.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "secret": r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "ipv4": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d )\d{3} \d{3} \d{4}(?! \d))(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
+    "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?:[A-Z0-9]{1,3}| \d{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![0-9A-Za-z])",
     "account": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<!\p{{L}})(?:{ALL_TITLES})\.? (?:{INITIALS} ?)?{NAME_PART}(?: {INITIALS})?(?: {NAME_PART}){{0,2}}",
+    "name": rf"(?<!\p{{L}})(?:{ALL_TITLES})\.? (?:{INITIALS} ?)?{NAME_PART}(?: {INITIALS})?(?: {NAME_PART}){{0,2}}|{CUE}{NAME_PART}(?: {INITIALS})?(?: {NAME_PART}){{1,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every text with an entity holds one of these.
-HINT = rf"[0-9@]|[0-9A-Fa-f]{{32}}|(?<!\p{{L}})(?:{ALL_TITLES})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[0-9A-Fa-f]{{32}}|(?<!\p{{L}})(?:{ALL_TITLES})\.? \p{{Lu}}|\b(?:{'|'.join(CUES)})[ \n]\p{{Lu}}"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once, inside a function over arrays too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def kind_of(entity: Column) -> Column:
-    kinds = F.lit(None).cast("string")
+    kinds = F.lit("name")
     for name, p in reversed(PATTERNS.items()):
-        kinds = F.when(entity.rlike(f"^(?:{p})$"), name).otherwise(kinds)
+        kinds = kinds if name == "name" else F.when(entity.rlike(f"^(?:{p})$"), name).otherwise(kinds)
     return kinds
 
 
-def gender_of(entity: Column) -> Column:
-    title = F.regexp_extract(entity, rf"^({ALL_TITLES})", 1)
-    return F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("n")
+def title_of(entity: Column) -> Column:
+    """The title with what stands between it and the name; empty where there is none."""
+    return F.regexp_extract(entity, rf"^(?:(?:{ALL_TITLES})\.? )?", 0)
 
 
-def bare_name(entity: Column) -> Column:
-    return F.regexp_replace(entity, rf"^(?:{ALL_TITLES})\.? ", "")
+def gender_of(title: Column) -> Column:
+    word = F.regexp_replace(title, r"\.? $", "")
+    return F.when(word.isin(*TITLES["m"]), "m").when(word.isin(*TITLES["f"]), "f").otherwise("n")
 
 
 def canonical(entity: Column, kind: Column) -> Column:
     """One spelling for all spellings of an entity."""
+    digits = F.regexp_replace(entity, "[^0-9A-Za-z]", "")
     return (
-        F.when(kind.isin("email", "secret"), F.lower(entity))
+        F.when(kind.isin("email", "secret", "family", "given"), F.lower(entity))
         .when(kind == "ipv4", entity)
-        .when(kind == "name", F.concat(gender_of(entity), F.lit(":"), F.lower(bare_name(entity))))
-        .otherwise(F.upper(F.regexp_replace(entity, "[^0-9A-Za-z]", "")))
+        .when(kind == "phone", F.concat(F.when(entity.startswith("+"), "+").otherwise(""), digits))
+        .otherwise(F.upper(digits))
     )
 
 
+def atoms(entity: Column) -> Column:
+    """What of an entity has a surrogate of its own: structs of kind, canon, entity (as spelled) and gender.  Names come apart into given and family names and initials."""
+
+    def of_name(entity: Column) -> Column:
+        title = title_of(entity)
+
+        def parts(tokens: Column) -> Column:
+            initial = lambda t: t.rlike(r"^(?:\p{Lu}\.)+$")
+            last = F.array_max(F.transform(tokens, lambda t, i: F.when(~initial(t), i)))
+            family = F.lower(F.get(tokens, last))
+            role = lambda t, i: F.when(initial(t), "initial").when(i == last, "family").otherwise("given")
+            canon = lambda t: F.when(initial(t), F.concat(family, F.lit(":"), t)).otherwise(F.lower(t))
+            return F.transform(tokens, lambda t, i: F.struct(role(t, i).alias("kind"), canon(t).alias("canon"), t.alias("entity"), gender_of(title).alias("gender")))
+
+        return let(F.split(F.substr(entity, F.length(title) + 1), " "), parts)
+
+    def of(kind: Column) -> Column:
+        return F.when(kind == "name", of_name(entity)).otherwise(F.array(F.struct(kind.alias("kind"), canonical(entity, kind).alias("canon"), entity.alias("entity"), F.lit("n").alias("gender"))))
+
+    return let(kind_of(entity), of)
+
+
 def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """256 hex digits."""
     return F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(part), attempt.cast("string"), kind, canon).cast("binary"), 512) for part in ("a", "b")))
@@ -91,15 +132,16 @@ def hex_at(hexes: Column, at: Column | int, n: int = 2) -> Column:
     return F.conv(F.substr(hexes, (at * 2 + 1).cast("int"), F.lit(n)), 16, 10).cast("long")
 
 
-def same_form(text: Column, hexes: Column, skip: Column | None = None) -> Column:
-    """Digits become digits, letters letters of their case; other characters and the first skip ones stay."""
-    skip = F.lit(0) if skip is None else skip
+def same_form(text: Column, hexes: Column, keep: Column | None = None) -> Column:
+    """Digits become digits, letters letters of their case, by their place among digits and letters; other characters and the first keep of these stay."""
+    keep = F.lit(0) if keep is None else keep
 
     def one(c: Column, i: Column) -> Column:
-        rank = F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[^0-9A-Za-z]", ""))
-        letter = hex_at(hexes, rank)
-        made = F.when(c.rlike("[0-9]"), (letter % 10).cast("string")).when(c.rlike("[A-Z]"), F.char(65 + letter % 26)).when(c.rlike("[a-z]"), F.char(97 + letter % 26)).otherwise(c)
-        return F.when(i < skip, c).otherwise(made)
+        def made(rank: Column) -> Column:
+            n = hex_at(hexes, rank)
+            return F.when(rank < keep, c).when(c.rlike("[0-9]"), (n % 10).cast("string")).when(c.rlike("[A-Z]"), F.char(65 + n % 26)).when(c.rlike("[a-z]"), F.char(97 + n % 26)).otherwise(c)
+
+        return let(F.length(F.regexp_replace(F.substr(text, F.lit(1), i), "[^0-9A-Za-z]", "")), made)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -115,10 +157,32 @@ def checked(digits: Column) -> Column:
 def account_like(entity: Column, longer: Column, hexes: Column) -> Column:
     """Digits in the form of longer; the last one makes the Luhn check hold where it held for entity."""
     plain = F.regexp_replace(entity, "[^0-9]", "")
-    made = same_form(longer, hexes)
-    front = F.substr(made, F.lit(1), F.length(made) - 1)
-    last = (10 - checked(F.concat(F.regexp_replace(front, "[^0-9]", ""), F.lit("0"))) % 10) % 10
-    return F.when(checked(plain) % 10 == 0, F.concat(front, last.cast("string"))).otherwise(made)
+
+    def ended(made: Column) -> Column:
+        front = F.substr(made, F.lit(1), F.length(made) - 1)
+        last = (10 - checked(F.concat(F.regexp_replace(front, "[^0-9]", ""), F.lit("0"))) % 10) % 10
+        return F.when(checked(plain) % 10 == 0, F.concat(front, last.cast("string"))).otherwise(made)
+
+    return let(same_form(longer, hexes), ended)
+
+
+def mod97(text: Column) -> Column:
+    """Of letters (A is 10, B is 11, ...) and digits read as one number."""
+    step = lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + F.ascii(c) - 48).otherwise(a * 100 + F.ascii(c) - 55) % 97
+    return F.aggregate(F.split(text, ""), F.lit(0), step)
+
+
+def iban_like(entity: Column, longer: Column, hexes: Column) -> Column:
+    """The country stays; the check digits hold where they held for entity."""
+    plain = lambda t: F.upper(F.regexp_replace(t, "[^0-9A-Za-z]", ""))
+    front_last = lambda t, check: F.concat(F.substr(t, F.lit(5)), F.substr(t, F.lit(1), F.lit(2)), check)
+    valid = mod97(front_last(plain(entity), F.substr(plain(entity), F.lit(3), F.lit(2)))) == 1
+
+    def ended(made: Column) -> Column:
+        check = F.lpad((98 - mod97(front_last(plain(made), F.lit("00")))).cast("string"), 2, "0")
+        return F.when(valid, F.concat(F.substr(made, F.lit(1), F.lit(2)), check, F.substr(made, F.lit(5)))).otherwise(made)
+
+    return let(same_form(longer, hexes, F.lit(2)), ended)
 
 
 def secret_like(entity: Column, hexes: Column) -> Column:
@@ -132,38 +196,58 @@ def email_like(entity: Column, hexes: Column) -> Column:
     return F.when(~entity.rlike("[a-z]"), F.upper(made)).otherwise(made)
 
 
-def name_like(entity: Column, hexes: Column, attempt: Column) -> Column:
-    """Title, a given name of the title's gender if there were two names, and a family name of four syllables and one more an attempt (ten at most), in the script of the name."""
-    gender, cyrillic, name = gender_of(entity), entity.rlike(r"\p{IsCyrillic}"), bare_name(entity)
-    pick = lambda names, at: F.get(F.array(*map(F.lit, names)), (hex_at(hexes, at) % len(names)).cast("int"))
-    given = family = F.lit(None).cast("string")
+def cased(entity: Column, name: Column) -> Column:
+    """name in capitals where entity is."""
+    return F.when(~entity.rlike(r"\p{Ll}"), F.upper(name)).otherwise(name)
+
+
+def picked(names: tuple[str, ...], hexes: Column, at: int) -> Column:
+    return F.get(F.array(*map(F.lit, names)), (hex_at(hexes, at) % len(names)).cast("int"))
+
+
+def syllables(script: str, hexes: Column, n: Column | int, at: int) -> Column:
+    """n syllables, ten at most."""
+    return F.concat(*(F.when(F.lit(i) < n, picked(SYLLABLES[script], hexes, at + i)).otherwise("") for i in range(10)))
+
+
+def given_like(entity: Column, gender: Column, hexes: Column, attempt: Column) -> Column:
+    """A given name of the gender and the script, longer by a syllable an attempt."""
+    name = F.lit(None).cast("string")
     for (g, script), names in GIVEN.items():
-        given = F.when((gender == g) & (cyrillic == (script == "Cyrillic")), pick(names, 0)).otherwise(given)
-    for script, parts in SYLLABLES.items():
-        family = F.when(cyrillic == (script == "Cyrillic"), F.initcap(F.concat(*(pick(parts, 1 + i) for i in range(4)), *(F.when(attempt > i, pick(parts, 5 + i)).otherwise("") for i in range(6))))).otherwise(family)
-    title = F.substr(entity, F.lit(1), F.length(entity) - F.length(name))
-    return F.concat(title, F.when(name.contains(" "), F.concat(given, F.lit(" "))).otherwise(""), family)
+        is_own = (gender == g) & (entity.rlike(r"\p{IsCyrillic}") == (script == "Cyrillic"))
+        name = F.when(is_own, F.concat(picked(names, hexes, 0), syllables(script, hexes, attempt, 1))).otherwise(name)
+    return cased(entity, name)
 
 
-def surrogate(entity: Column, kind: Column, hexes: Column, attempt: Column) -> Column:
-    """A draw of the entity's kind and form.  The space grows with the attempt, so that there are values left however many entities a form has."""
+def family_like(entity: Column, hexes: Column, attempt: Column) -> Column:
+    """Four syllables in the script of the name, and one more an attempt."""
+    name = F.when(entity.rlike(r"\p{IsCyrillic}"), syllables("Cyrillic", hexes, attempt + 4, 1)).otherwise(syllables("Latin", hexes, attempt + 4, 1))
+    return cased(entity, F.initcap(name))
+
+
+def drawn_like(kind: Column, canon: Column, entity: Column, gender: Column, hexes: Column, attempt: Column) -> Column:
+    """A draw of the atom's kind and form.  The space grows with the attempt, so that there are values left however many entities a form has."""
     late = F.greatest(attempt - (LONGER_FROM - 1), F.lit(0))
     longer = F.concat(entity, F.repeat(F.lit("0000"), F.least(late, F.lit(8)).cast("int")))
     octets = F.concat_ws(".", (hex_at(hexes, 0, 4) % 223 + 1).cast("string"), *((hex_at(hexes, i) % 256).cast("string") for i in (2, 3, 4)))
-    prefix = F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0))
     return (
         F.when(kind == "email", email_like(entity, hexes))
         .when(kind == "secret", secret_like(entity, hexes))
         .when(kind == "ipv4", F.when(late > 0, F.concat(F.lit("2001:db8"), *(F.concat(F.lit(":"), F.substring(hexes, 1 + 4 * i, 4)) for i in range(6)))).otherwise(octets))
-        .when(kind == "phone", same_form(longer, hexes, prefix))
-        .when(kind == "ssn", same_form(longer, hexes))
-        .when(kind == "iban", same_form(longer, hexes, F.lit(2)))
+        .when(kind == "phone", same_form(longer, hexes, F.length(F.regexp_extract(canon, CALLING_CODE, 1))))
+        .when(kind == "iban", iban_like(entity, longer, hexes))
         .when(kind == "account", account_like(entity, longer, hexes))
-        .when(kind == "name", name_like(entity, hexes, attempt))
-        .otherwise(entity)
+        .when(kind == "given", given_like(entity, gender, hexes, attempt))
+        .when(kind == "family", family_like(entity, hexes, attempt))
+        .otherwise(same_form(longer, hexes))
     )
 
 
+def surrogate(atom: Column, key: str, attempt: Column, gender: Column) -> Column:
+    kind, canon, entity = (atom.getField(n) for n in ("kind", "canon", "entity"))
+    return let(draw(kind, canon, attempt, key), lambda hexes: drawn_like(kind, canon, entity, gender, hexes, attempt))
+
+
 def hinted(text: str) -> Column:
     return F.coalesce(F.col(text).rlike(HINT), F.lit(False))
 
@@ -173,59 +257,88 @@ def entities(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def attempts(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """kind, canon and attempt (from 1) of the distinct entities whose first draws collide.
+def exceptions(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """kind, canon, attempt and gender of the distinct atoms whose first draws collide or whose titles don't agree.
 
-    A draw collides if it spells an entity of the corpus, or one drawn earlier or, in one round, by an entity that sorts before.
+    A draw collides if it spells an entity of the corpus (given names, of which all have surrogates, may), or one drawn earlier or, in one round, by an entity that sorts
+    before.  Under titles of one gender and of none, a given name has that gender; of both, none.
     """
-    found = docs.where(hinted(text)).select(F.explode(entities(text)).alias("entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
-    known = materialize(found.groupBy("kind", "canon").agg(F.min("entity").alias("entity")))
-    real = known.select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
+    found = docs.where(hinted(text)).select(F.explode(entities(text)).alias("entity")).select(F.inline(atoms(F.col("entity")))).where("kind <> 'initial'")
+    seen = lambda g: F.max(F.col("gender") == g)
+    gender = F.when(seen("m") & ~seen("f"), "m").when(seen("f") & ~seen("m"), "f").otherwise("n")
+    known = materialize(found.groupBy("kind", "canon").agg(F.min("entity").alias("entity"), gender.alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
+    real = known.where("kind <> 'given'").select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
     state = known.withColumn("attempt", F.lit(0))
-    while True:
-        drawn = state.withColumn("made", surrogate(F.col("entity"), F.col("kind"), draw(F.col("kind"), F.col("canon"), F.col("attempt"), key), F.col("attempt"))).withColumn("drawn", canonical(F.col("made"), F.col("kind"))).drop("made")
+    for _ in range(MOST_ATTEMPTS):
+        made = surrogate(F.struct("kind", "canon", "entity"), key, F.col("attempt"), F.col("gender"))
+        drawn = state.withColumn("drawn", canonical(made, F.col("kind")))
         first = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("attempt", "canon"))
-        state = materialize(drawn.withColumn("place", first).join(real, ["kind", "drawn"], "left").withColumn("again", (F.col("place") > 1) | F.col("real").isNotNull()).select("kind", "canon", "entity", "attempt", "again"))
+        again = (F.col("place") > 1) | F.col("real").isNotNull()
+        state = materialize(drawn.withColumn("place", first).join(real, ["kind", "drawn"], "left").select(*known.columns, "attempt", again.alias("again")))
         if not state.where("again").limit(1).count():
-            return state.where("attempt > 0").select("kind", "canon", "attempt")
+            return state.where("attempt > 0 OR mixed").select("kind", "canon", "attempt", "gender")
         state = state.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
+    raise RuntimeError("surrogates still collide after the last attempt")
 
 
-def rewritten(text: str, key: str, again: Column | None = None) -> tuple[Column, Column]:
-    """The text with surrogates, and the number of entities.  again: map from kind:canon to attempt."""
-    found = F.when(hinted(text), entities(text)).otherwise(F.array().cast("array<string>"))
+def rewritten(rows: DataFrame, key: str, again: bool) -> DataFrame:
+    """rows with text rewritten; again: whether they have a column again, a map from kind:canon to attempt and gender."""
+    text = F.col("text")
+    pairs = F.zip_with(F.split(text, PATTERN, -1), entities("text"), lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))
+    pieces = F.when(text.contains(MARK), F.flatten(pairs)).otherwise(F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK))
+    own = rows.withColumn("pieces", F.when(hinted("text"), pieces))
+    own = own.withColumn("found", F.when(F.size("pieces") > 1, F.filter("pieces", lambda _, i: i % 2 == 1)))
 
-    def one(entity: Column) -> Column:
-        kind = kind_of(entity)
-        canon = canonical(entity, kind)
-        attempt = F.lit(0) if again is None else F.coalesce(F.try_element_at(again, F.concat(kind, F.lit(":"), canon)), F.lit(0))
-        return surrogate(entity, kind, draw(kind, canon, attempt, key), attempt)
+    def made(atom: Column) -> Column:
+        if not again:
+            return surrogate(atom, key, F.lit(0), atom.getField("gender"))
+        special = F.try_element_at("again", F.concat(atom.getField("kind"), F.lit(":"), atom.getField("canon")))
+        return let(special, lambda x: surrogate(atom, key, F.coalesce(x.getField("attempt"), F.lit(0)), F.coalesce(x.getField("gender"), atom.getField("gender"))))
 
-    between = F.split(F.col(text), PATTERN, -1)
-    made = F.transform(found, one)
-    text_ = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(made, i), F.lit("")))), "")
-    return F.when(F.size(found) > 0, text_).otherwise(F.col(text)), F.size(found)
+    told = lambda e: let(atoms(e), lambda a: F.struct(title_of(e).alias("title"), a.alias("atoms"), F.transform(a, made).alias("made")))
+    own = own.withColumn("told", F.transform("found", told))
+    # Names that a title or cue told stand for themselves elsewhere in the text, whole or as the family name.
+    names = F.filter("told", lambda t: F.exists(t.getField("atoms"), lambda a: a.getField("kind") == "family"))
 
+    def bare(t: Column, whole: bool) -> Column:
+        both = F.filter(F.arrays_zip(t.getField("atoms"), t.getField("made")), lambda z: z.getField("atoms").getField("kind").isin(*(("given", "family") if whole else ("family",))))
+        return F.struct(F.array_join(F.transform(both, lambda z: z.getField("atoms").getField("entity")), " ").alias("name"), F.array_join(F.transform(both, lambda z: z.getField("made")), " ").alias("made"))
 
-def replace_pii(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
-    """docs with surrogates in text; all other columns and rows stay.  Null and empty texts stay as they are.
+    own = own.withColumn("names", F.array_distinct(F.concat(F.transform(names, lambda t: bare(t, True)), F.transform(names, lambda t: bare(t, False)))))
+    between = F.filter("pieces", lambda _, i: i % 2 == 0)
+    joined = F.zip_with(between, F.transform("told", lambda t: F.concat(t.getField("title"), F.array_join(t.getField("made"), " "))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    own = own.withColumn("new", F.array_join(joined, ""))
+    linked = F.aggregate("names", F.col("new"), lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}'’-])"), n.getField("name"), F.lit(r"(?![\p{L}\p{M}'’-])")), n.getField("made")))
+    return own.withColumn("text", F.when(F.size("names") > 0, linked).when(F.col("found").isNotNull(), F.col("new")).otherwise(text))
+
+
+def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with surrogates in text, drawn with the secret key; all other columns and rows stay.  Null and empty texts stay as they are, repeated rows stay equal, an empty
+    table stays empty.
 
     Equal entities get equal surrogates over the whole table, different ones different ones; none spells an entity of the table.
     """
-    own = docs.select(F.col(text).alias("text"))
-    again = materialize(attempts(own, "text", key))
+    own = docs.select(F.col(f"`{text}`").alias("text"))
+    again = materialize(exceptions(own, "text", key))
     rows = packed(docs).withColumn("text", field(text))
     n = again.count()
-    if not n:
-        return unpacked(rows, **{text: rewritten("text", key)[0]})
-    held = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    found = own.where(hinted("text")).select(held.alias("held"), F.explode(F.array_distinct(entities("text"))).alias("entity")).withColumn("kind", kind_of(F.col("entity"))).withColumn("canon", canonical(F.col("entity"), F.col("kind")))
-    met = found.join(F.broadcast(again) if n <= BROADCAST_ROWS else again, ["kind", "canon"]).select("held", F.concat("kind", F.lit(":"), "canon").alias("k"), "attempt").distinct()
-    maps = materialize(met.groupBy("held").agg(F.map_from_entries(F.collect_list(F.struct("k", "attempt"))).alias("again")))
-    joined = rows.withColumn("held", held).join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "held", "left")
-    return unpacked(joined, **{text: rewritten("text", key, F.coalesce("again", F.create_map().cast("map<string,int>")))[0]})
+    if n:
+        held = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        found = own.where(hinted("text")).select(held.alias("held"), F.explode(F.array_distinct(entities("text"))).alias("entity")).select("held", F.inline(atoms(F.col("entity"))))
+        special = again.select("kind", "canon", F.struct("attempt", "gender").alias("special"))
+        met = found.select("held", "kind", "canon").join(F.broadcast(special) if n <= BROADCAST_ROWS else special, ["kind", "canon"]).select("held", F.concat("kind", F.lit(":"), "canon").alias("k"), "special").distinct()
+        maps = materialize(met.groupBy("held").agg(F.map_from_entries(F.collect_list(F.struct("k", "special"))).alias("again")))
+        rows = rows.withColumn("held", held).join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "held", "left")
+        rows = rows.withColumn("again", F.coalesce("again", F.create_map().cast(maps.schema["again"].dataType)))
+    return unpacked(rewritten(rows, key, n > 0), **{text: F.col("text")})
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's setting holds, else the test key."""
+    return spark.conf.get(KEY_SETTING, None) or TEST_KEY
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and rewritten text of every document; see replace_pii for nulls, repeats and empty tables."""
     docs = table(spark, sf_dir, "documents")
-    return replace_pii(docs.select("doc_id", "text"))
+    return replace_pii(docs.select("doc_id", "text"), session_key(spark))
