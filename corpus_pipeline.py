@@ -13,7 +13,7 @@ from tallyforge.llm.common import materialize, table
 from tallyforge.llm.language_id import UNKNOWN, identify, learn
 from tallyforge.llm.mixing import mixed_documents
 from tallyforge.llm.packing import pack_documents
-from tallyforge.llm.pii import replace_pii
+from tallyforge.llm.pii import replace_pii, session_key
 from tallyforge.llm.simhash import one_per_group
 
 #: A language must be at least so likely among those learned.
@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return counted(replace_pii(docs))
+    return counted(replace_pii(docs, session_key(spark)))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
