@@ -201,28 +201,40 @@ def cased(entity: Column, name: Column) -> Column:
     return F.when(~entity.rlike(r"\p{Ll}"), F.upper(name)).otherwise(name)
 
 
-def picked(names: tuple[str, ...], hexes: Column, at: int) -> Column:
-    return F.get(F.array(*map(F.lit, names)), (hex_at(hexes, at) % len(names)).cast("int"))
+def listed(names: tuple[str, ...]) -> Column:
+    return F.expr("array(" + ", ".join(f"'{n}'" for n in names) + ")")
 
 
-def syllables(script: str, hexes: Column, n: Column | int, at: int) -> Column:
+def picked(names: Column, hexes: Column, at: Column | int) -> Column:
+    return F.get(names, (hex_at(hexes, at) % F.size(names)).cast("int"))
+
+
+def script_of(entity: Column) -> Column:
+    return F.when(entity.rlike(r"\p{IsCyrillic}"), "Cyrillic").otherwise("Latin")
+
+
+def syllables(script: Column, hexes: Column, n: Column) -> Column:
     """n syllables, ten at most."""
-    return F.concat(*(F.when(F.lit(i) < n, picked(SYLLABLES[script], hexes, at + i)).otherwise("") for i in range(10)))
+    parts = F.when(script == "Latin", listed(SYLLABLES["Latin"])).otherwise(listed(SYLLABLES["Cyrillic"]))
+    some = let(parts, lambda own: F.array_join(F.transform(F.sequence(F.lit(1), F.least(n, F.lit(10))), lambda i: picked(own, hexes, i)), ""))
+    return F.when(n > 0, some).otherwise("")
 
 
 def given_like(entity: Column, gender: Column, hexes: Column, attempt: Column) -> Column:
     """A given name of the gender and the script, longer by a syllable an attempt."""
-    name = F.lit(None).cast("string")
-    for (g, script), names in GIVEN.items():
-        is_own = (gender == g) & (entity.rlike(r"\p{IsCyrillic}") == (script == "Cyrillic"))
-        name = F.when(is_own, F.concat(picked(names, hexes, 0), syllables(script, hexes, attempt, 1))).otherwise(name)
-    return cased(entity, name)
+
+    def made(script: Column) -> Column:
+        names = F.lit(None).cast("array<string>")
+        for (g, own), x in GIVEN.items():
+            names = F.when((gender == g) & (script == own), listed(x)).otherwise(names)
+        return F.concat(let(names, lambda x: picked(x, hexes, 0)), syllables(script, hexes, attempt))
+
+    return cased(entity, let(script_of(entity), made))
 
 
 def family_like(entity: Column, hexes: Column, attempt: Column) -> Column:
     """Four syllables in the script of the name, and one more an attempt."""
-    name = F.when(entity.rlike(r"\p{IsCyrillic}"), syllables("Cyrillic", hexes, attempt + 4, 1)).otherwise(syllables("Latin", hexes, attempt + 4, 1))
-    return cased(entity, F.initcap(name))
+    return cased(entity, F.initcap(let(script_of(entity), lambda script: syllables(script, hexes, attempt + 4))))
 
 
 def drawn_like(kind: Column, canon: Column, entity: Column, gender: Column, hexes: Column, attempt: Column) -> Column:
