@@ -7,6 +7,7 @@ in a join.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from math import log10
@@ -20,8 +21,8 @@ from .common import LOWER, column_bytes, id_remainder, map_texts, materialize, s
 from .ppm import GramCounter, Lookup, gram_values, grams
 
 ORDER, GRAM_BITS = 4, 21
-#: 2**19 tokens of HOT_BYTES at most.
-HOT_BITS, HOT_BYTES = 19, 64
+#: 2**19 tokens of LONGEST bytes at most go to every task.
+HOT_BITS, LONGEST = 19, 64
 #: Tokens and grams that a task gathers before it passes them on.
 HELD_TOKENS = 500_000
 #: The token that ends a text: words are never empty.
@@ -30,6 +31,11 @@ END_TOKEN = b""
 GRAM = b" g"
 
 
+def short(token: bytes) -> bytes:
+    """token; over LONGEST bytes its SHA-256 instead, after a blank, so that it is no other token."""
+    return token if len(token) <= LONGEST else b" " + hashlib.sha256(token).digest()
+
+
 def corpus_counts(docs: DataFrame, training: Column, text: str = "text", order: int = ORDER) -> DataFrame:
     """token, code, n and met: counts of tokens (code null) over training rows, and of grams (token null) over training rows (n) and over all rows (met)."""
     fields = pa.schema([("token", pa.binary()), ("code", pa.int64()), ("n", pa.int64()), ("met", pa.int64())])
@@ -48,7 +54,7 @@ def corpus_counts(docs: DataFrame, training: Column, text: str = "text", order:
             for t, learn in zip(texts, own, strict=True):
                 if learn:
                     for s in segments(t):
-                        tokens.update(s.translate(LOWER).split())
+                        tokens.update(map(short, s.translate(LOWER).split()))
                     tokens[END_TOKEN] += 1
             for counted, which in ((learned, True), (other, False)):
                 for codes, _, _ in grams([t for t, learn in zip(texts, own, strict=True) if learn == which], order):
@@ -77,11 +83,11 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", doc_id: s
     tokens = counts.where("token IS NOT NULL").select("token", "n")
     n_all, n_distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     below = n_all + n_distinct + 1
-    frequent = (F.col("n") * float(1 << HOT_BITS) >= n_all) & (F.octet_length("token") <= HOT_BYTES)
+    frequent = (F.col("n") * float(1 << HOT_BITS) >= n_all)
     hot = tokens.where(frequent).toArrow()
     hot = dict(zip(hot["token"].to_pylist(), hot["n"].to_pylist(), strict=True))
     met_grams = counts.where("code IS NOT NULL").select("code", "n", "met")
-    values = materialize(gram_values(met_grams, order).join(met_grams.select("code", "met"), "code"))
+    values = materialize(gram_values(met_grams.select("code", "n"), met_grams.where("n > 0"), order).join(met_grams.select("code", "met"), "code"))
     n_met = values.agg(F.coalesce(F.sum("met"), F.lit(0))).first()[0]
     common = F.col("met") * float(1 << bits) >= n_met
     top = values.where(common).select("code", "value").toArrow()
@@ -97,7 +103,7 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", doc_id: s
             for r, t in zip(rid, texts, strict=True):
                 count: Counter = Counter()
                 for s in segments(t):
-                    count.update(s.translate(LOWER).split())
+                    count.update(map(short, s.translate(LOWER).split()))
                 count[END_TOKEN] += 1
                 base, n_known = 0.0, 0
                 for w, n in count.items():
@@ -148,4 +154,5 @@ def score_texts(docs: DataFrame, training: Column, text: str = "text", doc_id: s
 
 
 def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, whole, learned from six sevenths of them; see score_texts for nulls, repeats and empty tables."""
     return score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 7) != 2)

@@ -8,13 +8,11 @@ A symbol takes its chance from the longest context that has been seen: count / (
 distinct / (total + distinct), and then the same with the next shorter context, where the symbols just ruled out count no more (symbol exclusion).
 After the empty context, all symbols never seen share what is left evenly.
 
-gram_values has every gram's chance under the whole counts, as a table.  kept_grams cuts, for a trie that goes to every task: there a gram stays if it makes up 2**-bits of all grams at least.  Thus every order keeps 2**bits grams at most, whatever the corpus, and
-what is kept depends on shares, not on sizes; rarer grams are what the escape is for.  Counts cover the whole corpus before that.
+gram_values has the chance of every gram that is asked for under the whole counts, as a table, for one model or one for each language.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,54 +97,6 @@ class GramCounter:
         return pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))
 
 
-class Trie:
-    """Counts by order, from 0 to the longest: sorted grams with counts; and per context its total, its distinct symbols, and the total that these have one order down."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        self.levels = []
-        for k, (codes, counts) in enumerate(levels):
-            codes, counts = codes.astype(np.uint64), counts.astype(np.int64)
-            by = np.argsort(codes)
-            codes, counts = codes[by], counts[by]
-            contexts, first = np.unique(codes >> np.uint64(8), return_index=True)
-            sums = lambda x, first=first: np.add.reduceat(x, first) if len(first) else np.zeros(0, np.int64)
-            down = np.zeros(len(codes), np.int64)
-            if k and len(codes):
-                lower, lower_counts = self.levels[-1][:2]
-                down = lower_counts[np.searchsorted(lower, codes & self.mask(k))]
-            self.levels.append((codes, counts, contexts, sums(counts), sums(np.ones(len(codes), np.int64)), sums(down)))
-
-    @staticmethod
-    def mask(n_bytes: int) -> np.uint64:
-        return np.uint64((1 << 8 * n_bytes) - 1)
-
-    def log10(self, codes: np.ndarray) -> np.ndarray:
-        """log10 of the chance of each gram's symbol after its context."""
-        codes = codes.astype(np.uint64)
-        out = np.zeros(len(codes))
-        todo = np.arange(len(codes))
-        gone_total, gone_distinct = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
-        for k in range(len(self.levels) - 1, -1, -1):
-            known, counts, contexts, total, distinct, down = self.levels[k]
-            if not len(known) or not len(todo):
-                continue
-            own = codes[todo] & self.mask(k + 1)
-            c = np.minimum(np.searchsorted(contexts, own >> np.uint64(8)), len(contexts) - 1)
-            there = contexts[c] == own >> np.uint64(8)
-            i = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            seen = known[i] == own
-            symbols = distinct[c] - gone_distinct[todo]
-            whole = total[c] - gone_total[todo] + symbols
-            out[todo[seen]] += np.log10(counts[i[seen]] / whole[seen])
-            escaped = there & ~seen & (symbols > 0)
-            out[todo[escaped]] += np.log10(symbols[escaped] / whole[escaped])
-            gone_total[todo], gone_distinct[todo] = np.where(there, down[c], 0), np.where(there, distinct[c], 0)
-            todo = todo[~seen]
-        if len(todo):
-            out[todo] -= np.log10(256 - (len(self.levels[0][0]) if self.levels else 0))
-        return out
-
-
 class Lookup:
     """Places of known numbers, by open addressing over arrays."""
 
@@ -183,70 +133,39 @@ class Lookup:
         return found
 
 
-class Scorer:
-    """log10 chances of texts under several tries: one look-up for each symbol; grams outside every trie's longest order are worked out once a part."""
-
-    def __init__(self, tries: list[Trie], order: int):
-        self.tries, self.order = tries, order
-        known = np.unique(np.concatenate([t.levels[order][0] for t in tries]))
-        self.lookup = Lookup(known)
-        self.values = np.stack([t.log10(known) for t in tries], 1).astype(np.float32)
+def gram_values(wanted: DataFrame, learned: DataFrame, order: int, by: str | None = None) -> DataFrame:
+    """code and value, the log10 of its symbol's chance, for every row of wanted (code, n: how often it was learned, 0 or null if never), under learned (code, n).
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """A row per text, a column per trie."""
-        out = np.zeros((len(texts), len(self.tries)))
-        for codes, starts, owners in grams(texts, self.order):
-            place = self.lookup.find(codes)
-            lost = np.flatnonzero(place < 0)
-            new, which = np.unique(codes[lost], return_inverse=True)
-            for j, trie in enumerate(self.tries):
-                values = self.values[place, j] if len(self.values) else np.zeros(len(codes), np.float32)
-                values[lost] = trie.log10(new)[which]
-                np.add.at(out[:, j], owners, np.add.reduceat(values, starts, dtype=np.float64))
-        return out
-
-
-def kept_grams(counts: DataFrame, order: int, bits: int, by: str | None = None) -> list[DataFrame]:
-    """From counts (code, n, and the column by) of the longest grams: for each order from 0, the codes and counts that make up 2**-bits of all (of by's) at least."""
-    keys = [by] if by else []
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("all"))
-    out = []
-    for k in range(order + 1):
-        mask = (1 << 8 * (k + 1)) - 1
-        level = counts.groupBy(*keys, F.col("code").bitwiseAND(F.lit(mask).cast("long")).alias("code")).agg(F.sum("n").alias("n"))
-        level = level.join(F.broadcast(totals), by) if by else level.crossJoin(F.broadcast(totals))
-        out.append(level.where(F.col("n") * float(1 << bits) >= F.col("all")).select(*keys, "code", "n"))
-    return out
-
-
-def gram_values(counts: DataFrame, order: int) -> DataFrame:
-    """code and value, the log10 of its symbol's chance, for every code of counts (code, n: how often it was learned, 0 for those only met).
-
-    Every gram counts, however rare.  A context has 256 symbols at most, so no key of a join between levels holds more rows than that.
+    by: a column of both, each value of which is a model of its own.  Every gram counts, however rare.  A context has 256 symbols at most, so no key of a join between levels
+    holds more rows than that for a model.
     """
+    keys = [by] if by else []
     low = lambda c, n_bytes: F.col(c).bitwiseAND(F.lit((1 << 8 * n_bytes) - 1).cast("long"))
-    levels = {order: counts.where("n > 0").select("code", "n")}
+    levels = {order: learned.select(*keys, "code", "n")}
     for k in range(order - 1, -1, -1):
-        levels[k] = materialize(levels[k + 1].groupBy(low("code", k + 1).alias("code")).agg(F.sum("n").alias("n")))
+        levels[k] = materialize(levels[k + 1].groupBy(*keys, low("code", k + 1).alias("code")).agg(F.sum("n").alias("n")))
     contexts = []
     for k in range(order + 1):
         below = levels[k].withColumn("down", F.lit(0).cast("long"))
         if k:
-            lower = levels[k - 1].select(F.col("code").alias("lower"), F.col("n").alias("down"))
-            below = levels[k].withColumn("lower", low("code", k)).join(lower, "lower")
+            lower = levels[k - 1].select(*keys, F.col("code").alias("lower"), F.col("n").alias("down"))
+            below = levels[k].withColumn("lower", low("code", k)).join(lower, [*keys, "lower"])
         context = F.shiftright("code", 8).alias("context")
-        contexts.append(materialize(below.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("down").alias("down"))))
-    seen = levels[order].withColumn("context", F.shiftright("code", 8)).join(contexts[order], "context").select("code", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("value"))
+        contexts.append(materialize(below.groupBy(*keys, context).agg(F.sum("n").alias("total"), F.count("*").alias("distinct"), F.sum("down").alias("down"))))
+    found = wanted.where("n > 0").withColumn("context", F.shiftright("code", 8))
+    seen = found.join(contexts[order], [*keys, "context"]).select(*keys, "code", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("value"))
     zero = F.lit(0).cast("long")
-    left = counts.where("n = 0").select("code", F.lit(0.0).alias("value"), zero.alias("gone_total"), zero.alias("gone_distinct"), F.lit(False).alias("done"))
+    left = wanted.where("n IS NULL OR n = 0").select(*keys, "code", F.lit(0.0).alias("value"), zero.alias("gone_total"), zero.alias("gone_distinct"), F.lit(False).alias("done"))
+    small = 1 if by else 2  # orders of 2**16 contexts at most, or 2**8 a model
     for k in range(order, -1, -1):
-        few = F.broadcast if k <= 2 else lambda df: df  # 2**16 contexts at most
-        left = left.withColumn("own", low("code", k + 1)).withColumn("context", F.shiftright("own", 8)).join(few(contexts[k]), "context", "left")
-        own = levels[k].select(F.col("code").alias("own"), F.col("n").alias("own_n"))
-        left = left.join(F.broadcast(own) if k <= 1 else own, "own", "left") if k < order else left.withColumn("own_n", F.lit(None).cast("long"))
+        few = F.broadcast if k <= small else lambda df: df
+        left = left.withColumn("own", low("code", k + 1)).withColumn("context", F.shiftright("own", 8)).join(few(contexts[k]), [*keys, "context"], "left")
+        own = levels[k].select(*keys, F.col("code").alias("own"), F.col("n").alias("own_n"))
+        left = left.join(F.broadcast(own) if k < small else own, [*keys, "own"], "left") if k < order else left.withColumn("own_n", F.lit(None).cast("long"))
         symbols = F.col("distinct") - F.col("gone_distinct")
         whole = F.col("total") - F.col("gone_total") + symbols
         step = F.when(F.col("done") | F.col("total").isNull(), 0.0).when(F.col("own_n") > 0, F.log10(F.col("own_n") / whole)).when(symbols > 0, F.log10(symbols / whole)).otherwise(0.0)
-        left = left.select("code", (F.col("value") + step).alias("value"), F.coalesce("down", zero).alias("gone_total"), F.coalesce("distinct", zero).alias("gone_distinct"), (F.col("done") | F.coalesce(F.col("own_n") > 0, F.lit(False))).alias("done"))
-    never = math.log10(max(1, 256 - levels[0].count()))
-    return seen.union(left.select("code", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - never)))
+        left = left.select(*keys, "code", (F.col("value") + step).alias("value"), F.coalesce("down", zero).alias("gone_total"), F.coalesce("distinct", zero).alias("gone_distinct"), (F.col("done") | F.coalesce(F.col("own_n") > 0, F.lit(False))).alias("done"))
+    never = F.log10(F.greatest(F.lit(1), 256 - F.coalesce("distinct", zero)))
+    left = left.drop("gone_total", "gone_distinct").join(F.broadcast(contexts[0].select(*keys, "distinct")), keys, "left") if by else left.withColumn("distinct", F.lit(levels[0].count()).cast("long"))
+    return seen.union(left.select(*keys, "code", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - never)))

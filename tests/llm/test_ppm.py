@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import id_remainder
 from tallyforge.llm.language_id import identify, learn
 from tallyforge.llm.lm_scoring import score_texts
-from tallyforge.llm.ppm import PART, GramCounter, Lookup, Scorer, Trie, grams
+from tallyforge.llm.ppm import PART, GramCounter, Lookup, gram_values, grams
 
 ORDER = 3
 
@@ -42,38 +42,20 @@ def slow_chance(seen, context, symbol, order=ORDER):
     return p / (256 - len(gone))
 
 
-def trie_of(texts, order=ORDER):
-    counter = GramCounter()
-    for codes, _, _ in grams(texts, order):
-        counter.add(codes)
-    codes, n = counter.merged()
-    levels = []
-    for k in range(order + 1):
-        own = Counter()
-        for c, x in zip(codes.tolist(), n.tolist()):
-            own[c & ((1 << 8 * (k + 1)) - 1)] += x
-        keys = sorted(own)
-        levels.append((np.array(keys, np.uint64), np.array([own[c] for c in keys])))
-    return Trie(levels)
-
-
-def test_scores_equal_the_definition():
-    rng = random.Random(5)
-    texts = ["".join(rng.choice("abcé ") for _ in range(rng.randrange(60))).encode() for _ in range(30)] + [b""]
-    new = [b"abc abc", b"", "été zzz".encode(), b"\x00\x01", texts[0]]
-    seen, scorer = slow_counts(texts), Scorer([trie_of(texts)], ORDER)
-    got = scorer.score(new)[:, 0]
-    for t, g in zip(new, got):
-        s = b"\xff" * ORDER + t + b"\xff"
-        assert g == pytest.approx(sum(math.log10(slow_chance(seen, s[i - ORDER : i], s[i])) for i in range(ORDER, len(s))), abs=1e-4)
-
-
-def test_chances_of_all_symbols_sum_to_one():
-    texts = [b"abracadabra", b"banana", b"cab"]
-    trie = trie_of(texts)
-    for context in (b"abr", b"zab", b"zzz", b"\xff\xff\xff"):
-        codes = np.array([int.from_bytes(context + bytes([s]), "big") for s in range(256)], np.uint64)
-        assert (10 ** trie.log10(codes)).sum() == pytest.approx(1)
+def test_chances_of_all_symbols_sum_to_one(spark):
+    texts = {"a": [b"abracadabra", b"banana", b"cab"], "b": [b"xyz"]}
+    rows = []
+    for name, own in texts.items():
+        counter = GramCounter()
+        for codes, _, _ in grams(own, ORDER):
+            counter.add(codes)
+        codes, n = counter.merged()
+        rows += [(name, int(c), int(x)) for c, x in zip(codes, n)]
+    learned = spark.createDataFrame(rows, "lang string, code long, n long")
+    wanted = spark.range(256).select(F.explode(F.array(*(F.lit(int.from_bytes(c, "big") << 8) for c in (b"abr", b"zab", b"zzz", b"\xff\xff\xff")))).alias("context"), "id")
+    wanted = wanted.select((F.col("context") + F.col("id")).alias("code"), F.explode(F.array(*map(F.lit, texts))).alias("lang")).join(learned, ["lang", "code"], "left")
+    got = gram_values(wanted, learned, ORDER, "lang").groupBy("lang", F.shiftright("code", 8)).agg(F.sum(F.pow(F.lit(10.0), "value")).alias("p"), F.count("*").alias("n")).collect()
+    assert len(got) == 8 and all(r["p"] == pytest.approx(1) and r["n"] == 256 for r in got)
 
 
 @pytest.mark.parametrize("order", [0, 2, 4])
@@ -127,7 +109,7 @@ def test_scoring_without_rare_tokens_shortcut(spark, monkeypatch):
     """With no token frequent enough to be broadcast, the join alone gives the same sums."""
     docs = spark.createDataFrame(ROWS, "doc_id long, text string, other string")
     a = sorted(map(repr, score_texts(docs, F.lit(True)).select("doc_id", "n_known", F.round("base_score", 6)).collect()))
-    monkeypatch.setattr("tallyforge.llm.lm_scoring.HOT_BYTES", -1)
+    monkeypatch.setattr("tallyforge.llm.lm_scoring.HOT_BITS", 0)
     assert a == sorted(map(repr, score_texts(docs, F.lit(True)).select("doc_id", "n_known", F.round("base_score", 6)).collect()))
 
 
@@ -145,15 +127,15 @@ def test_language_id_on_held_out_text(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(WORDS[k].split()) for _ in range(12)), k) for i, k in enumerate(list(WORDS) * 40)]
     rows += [(900, None, "en"), (901, "", "fr"), (902, "123 $$ 4", "de"), (903, "the und", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit("old"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("LANG_PRED", F.lit("old")).withColumn("rid", F.lit(1)).withColumn("keep", F.lit(2)).withColumn("pred", F.lit(3))
     learned = learn(docs.where(id_remainder("doc_id", 4) != 2))
-    assert learned[0] == ["de", "en", "fr"]
+    assert learned.names == ["de", "en", "fr"]
     got = {r["doc_id"]: r for r in identify(docs, learned).collect()}
     right = [got[i]["lang_pred"] == k for i, _, k in rows[:120]]
     assert sum(right) == 120
     assert all(got[i]["lang_pred"] == "und" and got[i]["lang_score"] == 0 for i in (900, 901, 902)) and got[903]["lang_pred"] in WORDS
     assert all(0 <= r["lang_score"] <= 1 for r in got.values())
-    assert learn(docs.where("false"))[0] == [] and identify(docs, ([], np.zeros(0), None)).where("lang_pred <> 'und'").count() == 0
+    assert learn(docs.where("false")).names == [] and identify(docs, learn(docs.where("false"))).where("lang_pred <> 'und'").count() == 0
     assert identify(docs.where("false"), learned).count() == 0
 
 
@@ -166,25 +148,46 @@ def test_scores_are_whole_however_few_grams_go_to_every_task(spark):
 
     def slow(t):
         s = b"\xff" * 4 + t.encode() + b"\xff"
-        return round(sum(math.log10(slow_chance(seen, s[i - 4 : i], s[i], 4)) for i in range(4, len(s))), 4)
+        return round(sum(math.log10(slow_chance(seen, s[i - 4 : i], s[i], 4)) for i in range(4, len(s))), 8)
 
     want = Counter((i, slow(t)) for i, t in rows)
     for bits in (21, 3):
         got = score_texts(docs, id_remainder("doc_id", 7) != 2, bits=bits).collect()
-        assert Counter((r["doc_id"], round(r["score"], 4) + 0.0) for r in got) == want
-
-
-def test_languages_of_few_rows_and_many_languages_are_learned(spark, monkeypatch):
-    rows = [(i, "the and of to that with", "en") for i in range(600)] + [(900, "żółć gęślą jaźń", "pl"), (901, "ñandú años niño", "es")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    monkeypatch.setattr("tallyforge.llm.language_id.GROUP", 2)
-    learned = learn(docs)
-    assert learned[0] == ["en", "es", "pl"] and len(learned[2]) == 2
-    got = {r["doc_id"]: r for r in identify(docs, learned).where("doc_id IN (0, 900, 901)").collect()}
-    assert [got[i]["lang_pred"] for i in (0, 900, 901)] == ["en", "pl", "es"]
-    monkeypatch.setattr("tallyforge.llm.language_id.GROUP", 32)
-    whole = {r["doc_id"]: r["lang_score"] for r in identify(docs, learn(docs)).collect()}
-    assert all(r["lang_score"] == pytest.approx(whole[i]) for i, r in got.items())
+        assert Counter((r["doc_id"], round(r["score"], 8) + 0.0) for r in got) == want
+
+
+def slow_languages(rows, learned_rows):
+    """Prediction and score of every text by the definition, all languages learned whole."""
+    low = lambda t: t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    names = sorted({k for _, _, k in learned_rows if k is not None})
+    seen = {k: slow_counts([low(t or "") for _, t, x in learned_rows if x == k]) for k in names}
+    share = Counter(k for _, _, k in learned_rows if k is not None)
+    out = {}
+    for i, t, _ in rows:
+        if not re.search(r"[^\W\d_]", t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        s = b"\xff" * ORDER + low(t) + b"\xff"
+        total = [math.log10(share[k] / share.total()) + sum(math.log10(slow_chance(seen[k], s[j - ORDER : j], s[j])) for j in range(ORDER, len(s))) for k in names]
+        best = max(range(len(names)), key=lambda k: (total[k], -k))
+        out[i] = (names[best], 1 / sum(10 ** max(x - total[best], -300) for x in total))
+    return out
+
+
+@pytest.mark.parametrize("bits,width", [(None, 64), (2, 64), (3, 2)])
+def test_languages_equal_the_definition(spark, bits, width, monkeypatch):
+    """Many languages, some of one row; with most grams in a join, and sums in several rows."""
+    monkeypatch.setattr("tallyforge.llm.language_id.WIDTH", width)
+    rng = random.Random(6)
+    words = WORDS | {"pl": "żółć gęślą jaźń", "es": "ñandú años niño", "xx": "aa bb", "x1": "aa bb"}
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(rng.randrange(6))), k) for i, k in enumerate(["en", "fr", "de"] * 8 + ["pl", "es", "xx", "x1"])]
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "12 $", "de"), (103, "Zażółć The \x01 ÿ", None), (104, "AA bb", None), (105, "niño " * 300, None), (106, "the le der", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    learned = docs.where("doc_id % 4 <> 1 OR doc_id BETWEEN 24 AND 30")
+    got = {r["doc_id"]: (r["lang_pred"], r["lang_score"]) for r in identify(docs, learn(learned), bits=bits).collect()}
+    want = slow_languages(rows, [r for r in rows if r[0] % 4 != 1 or 24 <= r[0] <= 30])
+    assert {i: p for i, (p, _) in got.items()} == {i: p for i, (p, _) in want.items()}
+    assert all(got[i][1] == pytest.approx(want[i][1], rel=1e-9) for i in want) and want[104][0] == "x1"
 
 
 def test_the_stage_keeps_documents_where_no_language_is_named(spark):
