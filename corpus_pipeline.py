@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm.common import materialize, table
-from tallyforge.llm.language_id import UNKNOWN, identify, learn
+from tallyforge.llm.common import materialize, row_id, table
+from tallyforge.llm.language_id import UNKNOWN, identify_rows, learn
 from tallyforge.llm.mixing import mixed_documents
 from tallyforge.llm.packing import pack_documents
 from tallyforge.llm.pii import replace_pii, session_key
@@ -18,27 +18,25 @@ from tallyforge.llm.simhash import one_per_group
 
 #: A language must be at least so likely among those learned.
 LEAST_SCORE = 0.5
+#: Exceptions that are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no clear language.  A null lang takes the prediction; others stay.
 
-    Where no row names a language, none can be told: then all documents with a letter stay as they are.
+    Where no row names a language, none can be told: then all documents with a letter stay as they are.  Rows meet only the exceptions, which are few.
     """
-    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
     learned = learn(docs)
-    if not learned[0]:
+    if not learned.names:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    found = identify(docs, learned, names=(pred, score)).where((F.col(pred) != UNKNOWN) & (F.col(score) >= LEAST_SCORE))
-    return found.withColumn("lang", F.coalesce("lang", pred)).drop(pred, score)
-
-
-def unused(docs: DataFrame, name: str) -> str:
-    """name, longer by as many underscores as keep it from docs' own."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
+    rows, found = identify_rows(docs.select(row_id().alias("rid"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("keep"), "text"), learned)
+    nameless = rows.where(F.col("keep.lang").isNull()).select("rid", F.lit(True).alias("nameless"))
+    clear = (F.col("pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    special = found.select("rid", "pred", clear.alias("clear")).join(nameless, "rid", "left").where("NOT clear OR nameless")
+    special = materialize(special.select("rid", "clear", "pred"))
+    met = rows.join(F.broadcast(special) if special.count() <= BROADCAST_ROWS else special, "rid", "left").where("clear IS NULL OR clear")
+    return met.select(*((F.coalesce("keep.lang", "pred") if c == "lang" else F.col("keep").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
