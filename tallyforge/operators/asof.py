@@ -15,11 +15,15 @@ def daily(df: DataFrame, keys: Sequence[str], day: str, measures: dict[str, Colu
     return df.groupBy(*keys, day).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
 
 
-def strict_prior(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], day: str = "day") -> DataFrame:
-    """df with the sum of each measure over the rows of equal keys and earlier days; 0 where there are none.  Null keys are a key."""
+def strict_prior_days(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], day: str = "day") -> DataFrame:
+    """keys, day and the sum of each measure over the rows of equal keys and earlier days, for each day of df; 0 where there are none."""
     w = Window.partitionBy(*keys).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    sums = daily(df, keys, day, measures).select(*keys, day, *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in measures))
-    return rejoin(df, sums, [*keys, day])
+    return daily(df, keys, day, measures).select(*keys, day, *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in measures))
+
+
+def strict_prior(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], day: str = "day") -> DataFrame:
+    """df with the sums of strict_prior_days.  Null keys are a key."""
+    return rejoin(df, strict_prior_days(df, keys, measures, day), [*keys, day])
 
 
 def rejoin(df: DataFrame, more: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -29,17 +33,26 @@ def rejoin(df: DataFrame, more: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.join(other, on).drop(*(f"_{n}" for n in names))
 
 
-def decayed_prior(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], half_life: float, day: str = "day") -> DataFrame:
-    """As strict_prior, with each earlier day's sum halved every half_life days.
+#: Half-lives that a history may span: a double holds 2 to the power of 1023.
+MOST_HALF_LIVES = 900
 
-    In closed form: weights grow with the day from the key's first day and are scaled back.  Good for spans of about 900 half-lives, beyond which a double overflows.
+
+def decayed_prior_days(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], half_life: float, day: str = "day") -> DataFrame:
+    """As strict_prior_days, with each earlier day's sum halved every half_life days.
+
+    In closed form: weights grow with the day from the key's first day and are scaled back.  A history of over MOST_HALF_LIVES raises an error.
     """
     w = Window.partitionBy(*keys).orderBy(day)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    per_day = daily(df, keys, day, measures).withColumn("_age", (F.col(day) - F.min(day).over(Window.partitionBy(*keys))) / half_life)
+    age = (F.col(day) - F.min(day).over(Window.partitionBy(*keys))) / half_life
+    per_day = daily(df, keys, day, measures).withColumn("_age", age).withColumn("_age", F.when(F.col("_age") > MOST_HALF_LIVES, F.raise_error(F.lit("a history spans too many half-lives")).cast("double")).otherwise(F.col("_age")))
     grown = F.pow(F.lit(2.0), F.col("_age"))
-    sums = per_day.select(*keys, day, *(F.coalesce(F.sum(F.col(n) * grown).over(before) / grown, F.lit(0.0)).alias(n) for n in measures))
-    return rejoin(df, sums, [*keys, day])
+    return per_day.select(*keys, day, *(F.coalesce(F.sum(F.col(n) * grown).over(before) / grown, F.lit(0.0)).alias(n) for n in measures))
+
+
+def decayed_prior(df: DataFrame, keys: Sequence[str], measures: dict[str, Column], half_life: float, day: str = "day") -> DataFrame:
+    """df with the sums of decayed_prior_days."""
+    return rejoin(df, decayed_prior_days(df, keys, measures, half_life, day), [*keys, day])
 
 
 def latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:

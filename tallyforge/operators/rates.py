@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
-from .asof import decayed_prior, strict_prior
+from ..sources.tables import written
+from .asof import decayed_prior_days, rejoin, strict_prior_days
 
 # Prior strengths, caps, bounds and least support of the member model.
 PARTY_PRIOR, MEMBER_PRIOR, ANALOGUE_CAP, LEAST_GLOBAL, FALLBACK, LOW, HIGH = 12, 3, 8, 20, 0.5, 0.005, 0.995
@@ -17,13 +18,17 @@ BINS, LEAST_BIN, SMOOTHING = 10, 25, 4
 def prior_counts(votes: DataFrame, within: tuple[str, ...] = (), half_life: float | None = None) -> DataFrame:
     """votes with strictly prior yes and n of all (g_), of the party (p_) and of the member (m_), each within the given columns.
 
-    half_life: of party's and member's history; the global one doesn't decay.
+    half_life: of party's and member's history; the global one doesn't decay.  Votes are read twice: for one row per member and day, which is written and from which all
+    three histories are summed, and to take these back.
     """
-    out = strict_prior(votes, within, {"g_yes": F.col("outcome"), "g_n": F.lit(1)})
-    for short, key in (("p", "party"), ("m", "member_id")):
-        measures = {f"{short}_yes": F.col("outcome"), f"{short}_n": F.lit(1)}
-        out = strict_prior(out, [*within, key], measures) if half_life is None else decayed_prior(out, [*within, key], measures, half_life)
-    return out
+    keys = [*within, "party", "member_id", "day"]
+    days = written(votes.groupBy(*keys).agg(F.sum("outcome").alias("yes"), F.count("*").alias("n")))
+    sums = days.drop("yes", "n")
+    for short, own, decay in (("m", ["member_id"], half_life), ("p", ["party"], half_life), ("g", [], None)):
+        measures = {f"{short}_yes": F.col("yes"), f"{short}_n": F.col("n")}
+        prior = strict_prior_days(days, [*within, *own], measures) if decay is None else decayed_prior_days(days, [*within, *own], measures, decay)
+        sums = rejoin(sums, prior, [*within, *own, "day"])
+    return rejoin(votes, sums, keys)
 
 
 def rate(yes: Column, n: Column) -> Column:

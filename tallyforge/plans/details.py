@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, half_life, logit, step_band
+from ..functions.numeric import clamp, half_life, logistic, logit, step_band
 from ..functions.text import person_key
 from ..operators import token_eb as E
 from ..operators.asof import active_on, asof_join, strict_prior
 from ..operators.distribution import SIGMA, count_pmf, smoothed_cdf
-from ..operators.learners import ridge_logistic, with_prediction
+from ..operators.learners import ridge_logistic
 from ..operators.metrics import ranking
-from ..sources.tables import MEMBERSHIPS_SQL, STAGES_SQL, VOTES_SQL, day_number, memberships, read, stages, votes
+from ..sources.tables import MEMBERSHIPS_SQL, STAGES_SQL, VOTES_SQL, day_number, memberships, read, stages, votes, written
 from .models import LABELLED_SQL, group_sql, labelled, with_base
 from .rates import FORECAST_SQL, forecasts
 from .registry import query
@@ -131,9 +131,11 @@ def agg07(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg19_merged_sources", "SELECT md5(lower(event_type) || ':' || user_id) AS key, count(*) AS n, array_to_string(list(event_id ORDER BY event_id)[1:3], ',') AS first_ids FROM events GROUP BY event_type, user_id")
 def agg19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by key, and the first three ids by a window whose groups Spark cuts short."""
     key = F.md5(F.concat_ws(":", F.lower("event_type"), "user_id").cast("binary"))
-    g = read(spark, sf_dir, "events").groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("event_id")).alias("ids"))
-    return g.select("key", "n", F.array_join(F.transform(F.slice("ids", 1, 3), lambda x: x.cast("string")), ",").alias("first_ids"))
+    e = read(spark, sf_dir, "events").select(key.alias("key"), "event_id")
+    first = e.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("event_id"))).where("k <= 3").groupBy("key").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    return e.groupBy("key").agg(F.count("*").alias("n")).join(first, "key").select("key", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("first_ids"))
 
 
 @query("agg21_cohort_summary", f"WITH {VOTES_SQL}, c AS (SELECT session, party, count(*) AS n FROM votes GROUP BY ALL) SELECT session, sum(n)::BIGINT AS n, string_agg(party || '=' || n, ',' ORDER BY party) AS by_party FROM c GROUP BY session")
@@ -180,12 +182,17 @@ def srt08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(*order).limit(20).select("member_id", F.row_number().over(Window.orderBy(*order)).alias("rank"), F.round("u", 6).alias("priority"))
 
 
-@query("srt09_batch_cursor", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, ((k - 17 + n) % n)::BIGINT AS place FROM r WHERE (k - 17 + n) % n < 25")
+@query("srt09_batch_cursor", "WITH r AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS n FROM supplier), p AS (SELECT s_suppkey, (((k - 17) % n + n) % n)::BIGINT AS place FROM r) SELECT s_suppkey, place FROM p WHERE place < 25")
 def srt09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 25 members from the 18th on, going round at the end."""
-    s = read(spark, sf_dir, "supplier").select("s_suppkey")
-    r = s.withColumn("k", F.row_number().over(Window.orderBy("s_suppkey")) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return r.select("s_suppkey", F.pmod(F.col("k") - 17, F.col("n")).cast("long").alias("place")).where("place < 25")
+    return batch_from(read(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 17, 25)
+
+
+def batch_from(rows: DataFrame, key: str, start: int, size: int) -> DataFrame:
+    """key and place of the size rows from place start on by key, going round at the end.  Only the first start + size rows are ever ordered in one task."""
+    n = rows.count()
+    start = start % n if n else 0
+    first = rows.orderBy(key).limit(min(start + size, n)).withColumn("k", F.row_number().over(Window.orderBy(key)) - 1)
+    return first.select(key, F.pmod(F.col("k") - start, F.lit(max(1, n))).cast("long").alias("place")).where(F.col("place") < size)
 
 
 @query("set03_distinct", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer")
@@ -387,16 +394,21 @@ def mdl23(spark: SparkSession, sf_dir: str) -> DataFrame:
 PENALTIES = (0.1, 1.0, 5.0, 20.0, 100.0)
 
 
-@query("mdl27_indicator_fit")
+@query(
+    "mdl27_indicator_fit",
+    f"""WITH RECURSIVE {FORECAST_SQL}, r AS (SELECT session, outcome AS y, p, ln(least(1 - 1e-6, greatest(1e-6, p)) / (1 - least(1 - 1e-6, greatest(1e-6, p)))) AS o, (weight >= 0.08)::INT::DOUBLE AS x FROM forecast),
+e AS (SELECT x, y, 1 / (1 + exp(-(o + 0))) AS p0, o FROM r WHERE session < 1999),
+fit AS (SELECT unnest([0.1, 1.0, 5.0, 20.0, 100.0])::DOUBLE AS penalty, 0 AS i, 0.0::DOUBLE AS beta
+  UNION ALL SELECT penalty, i + 1, beta - (sum(x * (1 / (1 + exp(-(o + beta * x))) - y)) + penalty * beta) / (sum(x * x / (1 + exp(-(o + beta * x))) * (1 - 1 / (1 + exp(-(o + beta * x))))) + penalty) FROM fit, e WHERE i < 12 GROUP BY penalty, i, beta),
+d AS (SELECT penalty, any_value(beta) AS beta, avg((1 / (1 + exp(-(o + beta * x))) - y) ** 2) - avg((p - y) ** 2) AS delta FROM (SELECT * FROM fit WHERE i = 12), r WHERE session >= 1999 GROUP BY penalty)
+SELECT penalty, round(beta, 6) AS beta, round(delta, 9) AS brier_delta, delta <= -0.0005 AS qualifies FROM d""",
+)
 def mdl27(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One coefficient for a deep-discount indicator on top of the forecast, for each penalty: fitted before 1999, scored from then on."""
-    rows = forecasts(spark, sf_dir).select("session", "outcome", "p", (F.col("weight") >= 0.08).cast("double").alias("deep"))
+    """One coefficient for a deep-discount indicator on top of the forecast, for each penalty: fitted before 1999, scored from then on; the rows are worked out once."""
+    rows = written(forecasts(spark, sf_dir).select("session", "outcome", "p", (F.col("weight") >= 0.08).cast("double").alias("deep")))
     offset = logit(F.col("p"), 1e-6)
-    out = None
-    for penalty in PENALTIES:
-        beta = ridge_logistic(rows.where("session < 1999"), ["deep"], "outcome", offset, penalty)
-        late = with_prediction(rows.where("session >= 1999").withColumnRenamed("p", "base"), ["deep"], beta, logit(F.col("base"), 1e-6))
-        score = late.agg(F.avg(F.pow(F.col("p") - F.col("outcome"), 2)).alias("brier"), F.avg(F.pow(F.col("base") - F.col("outcome"), 2)).alias("base_brier"))
-        score = score.select(F.lit(penalty).alias("penalty"), F.lit(float(beta[0])).alias("beta"), (F.col("brier") - F.col("base_brier")).alias("brier_delta"), (F.col("brier") - F.col("base_brier") <= -0.0005).alias("qualifies"))
-        out = score if out is None else out.union(score)
-    return out
+    betas = [(x, float(ridge_logistic(rows.where("session < 1999"), ["deep"], "outcome", offset, x)[0])) for x in PENALTIES]
+    late = rows.where("session >= 1999").select("outcome", "deep", F.col("p").alias("base")).withColumn("f", F.explode(F.array(*(F.struct(F.lit(x).alias("penalty"), F.lit(b).alias("beta")) for x, b in betas))))
+    p = logistic(logit(F.col("base"), 1e-6) + F.col("f.beta") * F.col("deep"))
+    delta = F.avg(F.pow(p - F.col("outcome"), 2)) - F.avg(F.pow(F.col("base") - F.col("outcome"), 2))
+    return late.groupBy("f.penalty", "f.beta").agg(delta.alias("d")).select("penalty", F.round("beta", 6).alias("beta"), F.round("d", 9).alias("brier_delta"), (F.col("d") <= -0.0005).alias("qualifies"))

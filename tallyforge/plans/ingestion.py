@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evidence as E
 from ..operators.asof import not_superseded, strict_prior
 from ..operators.rates import rate
-from ..sources.tables import STAGES_SQL, day_number, money, read, stages
+from ..sources.tables import STAGES_SQL, day_number, money, read, scratch, stages
 from ..streaming.jobs import decayed_rates, deduplicated, due, run_once
 from .registry import query
 
@@ -60,15 +57,15 @@ def prj21(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mdl15_evidence_impact",
     f"""WITH {SIGNALS_SQL}, {ADMITTED_SQL},
-d AS (SELECT user_id, sum(CASE stance WHEN 'supports' THEN 1 WHEN 'opposes' THEN -1 ELSE 0 END * CASE kind WHEN 'direct_statement' THEN 4.0 WHEN 'fact' THEN 0.65 WHEN 'context' THEN 0.35 ELSE 0.25 END
-      * CASE quality WHEN 'official' THEN 1.0 WHEN 'reputable_secondary' THEN 0.8 WHEN 'other' THEN 0.55 ELSE 0.35 END * CASE relevance WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.55 ELSE 0.3 END * 0.85 * coalesce(confidence, 0.5)) AS delta
+d AS (SELECT user_id, sum((CASE stance WHEN 'supports' THEN 1 WHEN 'opposes' THEN -1 ELSE 0 END * CASE kind WHEN 'direct_statement' THEN 4.0 WHEN 'fact' THEN 0.65 WHEN 'context' THEN 0.35 ELSE 0.25 END
+      * CASE quality WHEN 'official' THEN 1.0 WHEN 'reputable_secondary' THEN 0.8 WHEN 'other' THEN 0.55 ELSE 0.35 END * CASE relevance WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.55 ELSE 0.3 END * 0.85 * coalesce(confidence, 0.5))::DECIMAL(38, 12))::DOUBLE AS delta
       FROM admitted WHERE reason = 'admitted' GROUP BY user_id)
 SELECT user_id, round(delta, 6) AS delta, round(least(0.995, greatest(0.005, 1 / (1 + exp(-(ln(0.4 / 0.6) + delta))))), 6) AS p FROM d""",
 )
 def mdl15(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     d = E.logit_delta(c("kind"), c("stance"), c("quality"), c("relevance"), F.lit("recent"), c("confidence"))
-    g = admitted(spark, sf_dir).where("a.allowed").groupBy("user_id").agg(F.sum(d).alias("delta"))
+    g = admitted(spark, sf_dir).where("a.allowed").groupBy("user_id").agg(F.sum(d.cast("decimal(28,12)")).cast("double").alias("delta"))  # whole units of 1e-12: any order gives the same sum
     return g.select("user_id", F.round("delta", 6).alias("delta"), F.round(E.shifted(F.lit(0.4), c("delta")), 6).alias("p"))
 
 
@@ -161,16 +158,6 @@ def str09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span.select("event_type", F.explode(F.sequence("a", "b")).alias("day")).join(d, ["event_type", "day"], "left_anti")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's state and output, in the shared folder that the session names; a temporary one in local mode only."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.partition("[")[0] == "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tallyforge-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, in the order of its files."""
     schema = read(spark, sf_dir, "events").schema
@@ -181,7 +168,7 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def str07(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("event_type")
     e = event_stream(spark, sf_dir).select((F.col("user_id") * 10 + F.when(t == "view", 1).when(t == "click", 2).when(t == "purchase", 3).otherwise(4)).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return run_once(deduplicated(e, "key", "ts", "3650 days"), scratch(spark)).select("key")
+    return run_once(deduplicated(e, "key", "ts", "3650 days"), scratch(spark, "stream")).select("key")
 
 
 @query(
@@ -193,7 +180,7 @@ SELECT event_id AS id, round(yes, 6) AS yes, round(total, 6) AS total FROM stage
 def str05(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = event_stream(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), day_number("ts").cast("long").alias("day"), (F.col("value") >= 50).cast("long").alias("outcome"))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    found = run_once(decayed_rates(e, 30.0), scratch(spark))
+    found = run_once(decayed_rates(e, 30.0), scratch(spark, "stream"))
     return found.select("id", F.round("yes", 6).alias("yes"), F.round("total", 6).alias("total"))
 
 

@@ -10,7 +10,7 @@ from ..functions.numeric import entropy_bits, laplace_cdf, logistic_cdf, logit,
 from ..operators import token_eb as E
 from ..operators.distribution import chamber, count_pmf, quantile, simulated
 from ..operators.learners import ridge_logistic, standardized, with_prediction
-from ..sources.tables import read
+from ..sources.tables import read, written
 from .rates import FORECAST_SQL, forecasts
 from .registry import query
 from .scoring import PMF_SQL
@@ -120,10 +120,21 @@ def mdl11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardized(read(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).select("s_suppkey", F.round("s_acctbal", 6).alias("z"))
 
 
-@query("mdl12_offset_ridge")
+@query(
+    "mdl12_offset_ridge",
+    f"""WITH RECURSIVE {FORECAST_SQL},
+s AS (SELECT avg(weight) AS wm, stddev_samp(weight) AS ws, avg(party) AS pm, stddev_samp(party) AS ps FROM forecast),
+r AS (SELECT observation_id, outcome AS y, ln(least(1 - 1e-6, greatest(1e-6, p)) / (1 - least(1 - 1e-6, greatest(1e-6, p)))) AS o, (weight - wm) / CASE WHEN ws > 1e-9 THEN ws ELSE 1 END AS x1, (party - pm) / CASE WHEN ps > 1e-9 THEN ps ELSE 1 END AS x2 FROM forecast, s),
+fit AS (SELECT 0 AS i, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 UNION ALL
+  SELECT i + 1, b1 - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b2 - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) FROM (
+    SELECT i, b1, b2, sum(x1 * (q - y)) + 5 * b1 AS g1, sum(x2 * (q - y)) + 5 * b2 AS g2, sum(x1 * x1 * q * (1 - q)) + 5 AS h11, sum(x1 * x2 * q * (1 - q)) AS h12, sum(x2 * x2 * q * (1 - q)) + 5 AS h22
+    FROM (SELECT i, b1, b2, y, x1, x2, 1 / (1 + exp(-(o + b1 * x1 + b2 * x2))) AS q FROM fit, r WHERE i < 12) GROUP BY i, b1, b2))
+SELECT observation_id, round(1 / (1 + exp(-(o + b1 * x1 + b2 * x2))), 6) AS p FROM r, (SELECT * FROM fit WHERE i = 12)""",
+)
 def mdl12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances of votes by ridge logistic regression on weight and party, offset by the baseline forecast."""
-    rows = standardized(forecasts(spark, sf_dir).select("observation_id", "outcome", "p", "weight", F.col("party").cast("double").alias("party")), ["weight", "party"])
+    rows = written(forecasts(spark, sf_dir).select("observation_id", "outcome", "p", "weight", F.col("party").cast("double").alias("party")))
+    rows = standardized(rows, ["weight", "party"])
     offset = logit(F.col("p"), 1e-6)
     beta = ridge_logistic(rows, ["weight", "party"], "outcome", offset, penalty=5.0)
     return with_prediction(rows, ["weight", "party"], beta, offset).select("observation_id", F.round("p", 6).alias("p"))

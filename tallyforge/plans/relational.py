@@ -247,7 +247,9 @@ SELECT o_custkey, any_value(n) AS candidates, round(max(v) FILTER (WHERE k = 1)
 )
 def agg23(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.sum("l_quantity").alias("v"))
-    g = t.groupBy("o_custkey").agg(F.count("*").alias("candidates"), F.sort_array(F.collect_list("v"), asc=False).alias("v"))
+    two = t.withColumn("k", F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("v"), "l_suppkey"))).where("k <= 2")  # groups are cut short by the plan
+    two = two.groupBy("o_custkey").agg(F.sort_array(F.collect_list("v"), asc=False).alias("v"))
+    g = t.groupBy("o_custkey").agg(F.count("*").alias("candidates")).join(two, "o_custkey")
     return g.select("o_custkey", "candidates", F.round(F.col("v")[0] - F.coalesce(F.get("v", F.lit(1)), F.lit(0.0)), 4).alias("margin"), (F.col("candidates") == 1).alias("uncontested"))
 
 

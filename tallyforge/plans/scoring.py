@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.distribution import count_pmf
 from ..operators.metrics import accuracy, brier, calibration_bins, log_loss, ranked_probability_score, ranking
-from ..sources.tables import VOTES_SQL
+from ..sources.tables import VOTES_SQL, written
 from .rates import FORECAST_SQL, SHRUNK_SQL, counts_sql, forecasts, shrunk_forecasts
 from .registry import query
 
@@ -192,16 +192,32 @@ r AS (SELECT *, row_number() OVER (ORDER BY abs(p - 0.5), observation_id) AS k,
 SELECT round(sum(wrong) FILTER (WHERE 5 * k <= n) / sum(wrong), 6) AS error_share, round(sum((p - outcome) ** 2) FILTER (WHERE 5 * k <= n) / sum((p - outcome) ** 2), 6) AS brier_share, round(count(*) FILTER (WHERE 5 * k <= n) / count(*), 6) AS uniform_share FROM r""",
 )
 def sco20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifth of the forecasts nearest to one half, by an exact cut: counts by distance first, ties broken only within the distance at the cut."""
-    from pyspark.sql import Window
-
+    """The fifth of the forecasts nearest to one half, by an exact cut."""
     f = forecasts(spark, sf_dir).select("observation_id", F.abs(F.col("p") - 0.5).alias("d"), F.pow(F.col("p") - F.col("outcome"), 2).alias("sq"), ((F.col("p") >= 0.5).cast("int") != F.col("outcome")).cast("int").alias("wrong"))
-    steps = f.groupBy("d").agg(F.count("*").alias("n"))
-    steps = steps.withColumn("before", F.sum("n").over(Window.orderBy("d")) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy())).drop("n")
-    met = f.join(steps, "d").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("d").orderBy("observation_id")))
-    taken = 5 * F.col("k") <= F.col("all")
-    share = lambda x: F.round(F.sum(F.when(taken, x)) / F.sum(x), 6)
-    return met.agg(share(F.col("wrong")).alias("error_share"), share(F.col("sq")).alias("brier_share"), share(F.lit(1)).alias("uniform_share"))
+    f = written(f)
+    whole = f.agg(F.count("*").alias("n"), F.sum("wrong").alias("wrong"), F.sum("sq").alias("sq"))
+    taken = nearest(f, "d", "observation_id", f.count() // 5).agg(F.count("*").alias("own_n"), F.sum("wrong").alias("own_wrong"), F.sum("sq").alias("own_sq"))
+    share = lambda x: F.round(F.col(f"own_{x}") / F.col(x), 6)
+    return whole.crossJoin(taken).select(share("wrong").alias("error_share"), share("sq").alias("brier_share"), share("n").alias("uniform_share"))
+
+
+def nearest(rows: DataFrame, distance: str, tie: str, n: int, steps: int = 4096) -> DataFrame:
+    """The n rows of the least distance (0 to 1), ties by tie.
+
+    Counts by step of the distance, steps at most, find the step of the cut, and counts by distance within it the distance; only rows at that very distance are ordered by tie.
+    """
+
+    def cut(counts: DataFrame, by: str, most: int) -> tuple:
+        upto = F.sum("n").over(Window.orderBy(by))
+        found = counts.withColumn("before", upto - F.col("n")).where((F.col("before") < most) & (F.col("before") + F.col("n") >= most)).first()
+        return (found[by], found["before"]) if found else (None, 0)
+
+    stepped = rows.withColumn("_step", F.floor(F.col(distance) * steps))
+    step, before = cut(stepped.groupBy("_step").agg(F.count("*").alias("n")), "_step", n)
+    at, inside = cut(stepped.where(F.col("_step") == F.lit(step)).groupBy(distance).agg(F.count("*").alias("n")), distance, n - before) if step is not None else (None, 0)
+    if at is None:
+        return rows.where("false") if n < 1 else rows
+    return rows.where(F.col(distance) < at).unionByName(rows.where(F.col(distance) == at).orderBy(tie).limit(n - before - inside))
 
 
 @query(

@@ -205,3 +205,44 @@ def test_the_registered_simulation_draws_all_runs(monkeypatch):
     monkeypatch.setattr(models, "forecasts", lambda spark, sf_dir: None)
     monkeypatch.setattr(models, "simulated", lambda rows, by, **own: own)
     assert models.dst05(None, "") == {}
+
+
+def test_the_flagship_reads_votes_once_more_than_its_daily_sums(spark):
+    from tallyforge import catalog
+
+    from .conftest import SF
+
+    plan = catalog.QUERIES[catalog.FLAGSHIP](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") <= 2 and "NestedLoop" not in plan and "CartesianProduct" not in plan
+    plan = catalog.QUERIES["join18_analogues"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_the_nearest_rows_are_cut_exactly(spark):
+    import random
+
+    from tallyforge.plans.scoring import nearest
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0.0, 0.1, 0.10001, 0.25, 1.0, round(rng.random(), 2)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, d double")
+    for n in (0, 1, 17, 60, 150, 299, 300):
+        assert {r["i"] for r in nearest(df, "d", "i", n).collect()} == {i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))[:n]}
+    assert nearest(df.where("false"), "d", "i", 0).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 10, 17, 100])
+def test_a_batch_goes_round_at_the_end(spark, n):
+    from tallyforge.plans.details import batch_from
+
+    got = {r["i"]: r["place"] for r in batch_from(spark.range(n).select(F.col("id").alias("i")), "i", 17, 25).collect()}
+    want = {i: (i - 17) % n for i in range(n)}
+    assert got == {i: p for i, p in want.items() if p < 25}
+
+
+def test_a_history_of_too_many_half_lives_is_refused(spark):
+    from tallyforge.operators.asof import decayed_prior
+
+    df = spark.createDataFrame([(1, 0, 1), (1, 2000, 1)], "k long, day int, y int")
+    with pytest.raises(Exception, match="half-lives"):
+        decayed_prior(df, ["k"], {"s": F.col("y")}, 1.0).collect()
