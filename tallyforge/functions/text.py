@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 from operator import or_
 
@@ -187,14 +188,28 @@ def preamble(text: Column, most: int = 8000) -> Column:
     return F.regexp_replace(head, r"^\s+|\s+$", "")
 
 
+def body_tokens(text: Column, most: int) -> Column:
+    """Words of 4 to 24 letters from the enacting clause on, else from the first WHEREAS, else of the whole text, most characters at most; tags and entities left out."""
+    enacted, whereas = (F.regexp_instr(text, F.lit(p)) for p in (ENACTED, WHEREAS))
+    start = F.when(enacted > 0, enacted).when(whereas > 0, whereas).otherwise(1)
+    body = F.lower(F.substr(text, start, F.lit(most)))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"<[^>]+>", " "), r"&[a-z0-9#]+;", " "), r"[^a-z]+", " ")
+    return F.filter(F.split(plain, " "), lambda w: F.length(w).between(4, 24))
+
+
 def language_counts(text: Column) -> Column:
     """log1p of the counts of LANGUAGE_PATTERNS in lower case."""
     return F.array(*(F.log1p(F.regexp_count(F.lower(text), F.lit(p)).cast("double")) for p in LANGUAGE_PATTERNS))
 
 
+#: Letters of the Latin blocks without their marks, by decomposition; worked out once from the Unicode tables that come with Python.
+MARKED = "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if unicodedata.normalize("NFKD", c)[0].isascii() and unicodedata.normalize("NFKD", c) != c and all(unicodedata.combining(x) for x in unicodedata.normalize("NFKD", c)[1:]))
+PLAIN = "".join(unicodedata.normalize("NFKD", c)[0] for c in MARKED)
+
+
 def plain_ascii(text: Column) -> Column:
-    """Latin letters without their marks."""
-    return F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+    """Lower case, Latin letters without their marks, combining marks dropped."""
+    return F.lower(F.translate(F.regexp_replace(text, r"\p{M}+", ""), MARKED, PLAIN))
 
 
 def person_key(name: Column) -> Column:

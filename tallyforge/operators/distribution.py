@@ -30,6 +30,14 @@ def count_pmf(chances: Column) -> Column:
     return F.aggregate(F.array_sort(chances), F.array(F.lit(1.0)), step)
 
 
+def without_one(pmf: Column, p: Column, at: Column) -> Column:
+    """The chance of a count at of the others: the member of chance p divided out of pmf, from the end that is stable; 0 outside 0..n-1."""
+    up = F.aggregate(F.slice(pmf, F.lit(1), at + 1), F.lit(0.0), lambda f, g: (g - p * f) / (1 - p))
+    n = F.size(pmf)
+    down = F.aggregate(F.reverse(F.slice(pmf, at + 2, n)), F.lit(0.0), lambda f, g: (g - (1 - p) * f) / p)
+    return F.when((at < 0) | (at > n - 2), 0.0).when(p <= 0.5, up).otherwise(down)
+
+
 def quantile(pmf: Column, q: float) -> Column:
     """The least count whose cumulative chance reaches q; the last if none does."""
     sums = F.aggregate(pmf, F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("below")), lambda s, x: F.struct((s["cum"] + x).alias("cum"), (s["below"] + F.when(s["cum"] + x < q, 1).otherwise(0)).alias("below")))
@@ -87,3 +95,34 @@ def simulated(forecasts: DataFrame, by: str, coalition: str = "party", runs: int
             yield pd.DataFrame(out, columns=[by, "members", "expected_yes", "yes_low", "yes_high", "passage_p"])
 
     return rows.mapInPandas(run, f"{by} long, members long, expected_yes double, yes_low long, yes_high long, passage_p double")
+
+
+def xorshift(seed: int) -> Iterator[float]:
+    """Numbers in [0, 1) of the 32-bit xorshift generator with shifts 13, 17 and 5."""
+    state = seed & 0xFFFFFFFF or 0x6D2B79F5
+    while True:
+        state ^= state << 13 & 0xFFFFFFFF
+        state ^= state >> 17
+        state ^= state << 5 & 0xFFFFFFFF
+        yield state / 0x100000000
+
+
+def xorshift_simulated(forecasts: DataFrame, by: str, member: str, runs: int = 10_000, seed: int = 1, interval: float = 0.9) -> DataFrame:
+    """by, members, expected_yes, passage_p, yes_low and yes_high from runs draws of every member in order of member; each group draws the same numbers from the start."""
+    rows = forecasts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(member, "p"))).alias("m")).select(F.col(by).cast("long").alias(by), F.col("m.p").alias("p"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drawn, source = np.zeros(0), xorshift(seed)
+        for f in frames:
+            out = []
+            for key, p in zip(f[by], f["p"], strict=True):
+                p = np.asarray(p, float)
+                if len(drawn) < runs * len(p):
+                    drawn = np.concatenate([drawn, np.fromiter(source, float, runs * len(p) - len(drawn))])
+                yes = np.sort((drawn[: runs * len(p)].reshape(runs, len(p)) < p).sum(axis=1))
+                tail = (1 - interval) / 2
+                low, high = (int(yes[min(runs - 1, int(np.floor(q * runs)))]) for q in (tail, 1 - tail))
+                out.append((key, len(p), p.sum(), (yes >= len(p) // 2 + 1).mean(), low, high))
+            yield pd.DataFrame(out, columns=[by, "members", "expected_yes", "passage_p", "yes_low", "yes_high"])
+
+    return rows.mapInPandas(run, f"{by} long, members long, expected_yes double, passage_p double, yes_low long, yes_high long")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +105,32 @@ def chain_breaks(ledger: DataFrame, keys: Sequence[str], day: str, seal: str, pr
     """Rows whose prior seal isn't the seal of the row before."""
     w = Window.partitionBy(*keys).orderBy(day)
     return ledger.withColumn("_last", F.lag(seal).over(w)).where(~F.col(prior).eqNullSafe(F.col("_last"))).drop("_last")
+
+
+def sealed(content: Column) -> Column:
+    """The seal of a day's content."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def admitted_within(requests: DataFrame, key: str, at: str, tie: str, most: int, span: int) -> DataFrame:
+    """requests with admitted: whether fewer than most admitted ones of the key lie less than span before.
+
+    Decisions depend on those before, so a key's requests are taken in order by one task, in batches of which only the last most times are kept.
+    """
+    schema = f"{key} long, {at} long, {tie} long, admitted boolean"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, []
+        for f in frames:
+            out = []
+            for k, t in zip(f[key], f[at], strict=True):
+                if k != last:
+                    last, kept = k, []
+                kept = [x for x in kept if x > t - span]
+                out.append(len(kept) < most)
+                if out[-1]:
+                    kept.append(t)
+            yield f.assign(admitted=out)
+
+    # Sorted within partitions by key: a key's rows are never gathered as a group, they stream by.
+    return requests.select(key, at, tie).repartition(key).sortWithinPartitions(key, at, tie).mapInPandas(run, schema)

@@ -153,18 +153,6 @@ def agg22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.crossJoin(s).select("cells", (F.col("members") * F.col("sessions") - F.col("cells")).alias("missing"), "broken")
 
 
-@query("win13_reference_percentile", "WITH r AS (SELECT p_size AS v FROM part WHERE p_brand = 'Brand#11') SELECT p_partkey, round((SELECT count(*) FROM r WHERE v <= p_size) / (SELECT count(*) FROM r), 6) AS percentile FROM part")
-def win13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place within a frozen reference: its cumulative counts by value, looked up as of the value."""
-    p = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("int").alias("day"), F.lit(0).alias("k"))
-    r = read(spark, sf_dir, "part").where("p_brand = 'Brand#11'").groupBy(F.col("p_size").cast("int").alias("v")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy()
-    r = r.select(F.lit(0).alias("k"), "v", (F.sum("n").over(Window.orderBy("v")) / F.sum("n").over(w)).alias("percentile"))
-    table = r.agg(F.array_sort(F.collect_list(F.struct("v", "percentile"))).alias("t"))  # a row for each distinct size
-    at = F.filter("t", lambda x: x["v"] <= F.col("day"))
-    return p.crossJoin(F.broadcast(table)).select("p_partkey", F.round(F.coalesce(F.get(at, F.size(at) - 1)["percentile"], F.lit(0.0)), 6).alias("percentile"))
-
-
 @query("win20_partition_count", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders")
 def win20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
@@ -258,25 +246,6 @@ def mdl09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.agg(F.count("*").alias("tokens"), F.sum("total").alias("support"), F.round(F.sum("pos") / F.sum("total"), 6).alias("rate"))
 
 
-@query(
-    "mdl16_pivotality",
-    f"""WITH {FORECAST_SQL}, e AS (SELECT event_id, count(*) AS n, sum(p) AS ey, sum(p * (1 - p)) AS var FROM forecast GROUP BY event_id)
-SELECT observation_id, round((1 - abs(2 * p - 1)) * exp(-1 * (((ey - p) - (n // 2)) ** 2) / (2 * (var - p * (1 - p) + 0.25))), 6) AS priority FROM forecast JOIN e USING (event_id)""",
-)
-def mdl16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How likely a vote decides: by the normal shape of the others' count at one short of a majority, times its uncertainty."""
-    f = forecasts(spark, sf_dir)
-    v = F.col("p") * (1 - F.col("p"))
-    e = f.groupBy("event_id").agg(F.count("*").alias("n"), F.sum("p").alias("ey"), F.sum(v).alias("var"))
-    shape = F.exp(-F.pow((F.col("ey") - F.col("p")) - F.floor(F.col("n") / 2), 2) / (2 * (F.col("var") - v + 0.25)))
-    return f.join(e, "event_id").select("observation_id", F.round((1 - F.abs(2 * F.col("p") - 1)) * shape, 6).alias("priority"))
-
-
-@query("mdl17_quality_tiers", "SELECT doc_id, CASE WHEN n_chars >= 4000 THEN 0.9 WHEN n_chars >= 1000 THEN 0.6 ELSE 0.3 END::DOUBLE AS weight FROM documents")
-def mdl17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 4000, 0.9).when(F.col("n_chars") >= 1000, 0.6).otherwise(0.3).alias("weight"))
-
-
 @query("mdl22_prior_log_counts", f"WITH {STAGES_SQL}, d AS (SELECT bill_id, stage, day, count(*) AS n FROM stages GROUP BY ALL), p AS (SELECT bill_id, stage, day, coalesce(sum(n) OVER (PARTITION BY bill_id, stage ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM d) SELECT event_id, round(ln(1 + n), 6) AS log_count FROM stages JOIN p USING (bill_id, stage, day)")
 def mdl22(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = strict_prior(stages(spark, sf_dir), ["bill_id", "stage"], {"n": F.lit(1)})

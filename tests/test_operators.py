@@ -246,3 +246,82 @@ def test_a_history_of_too_many_half_lives_is_refused(spark):
     df = spark.createDataFrame([(1, 0, 1), (1, 2000, 1)], "k long, day int, y int")
     with pytest.raises(Exception, match="half-lives"):
         decayed_prior(df, ["k"], {"s": F.col("y")}, 1.0).collect()
+
+
+def test_members_divided_out_equal_the_others_counted(spark):
+    from tallyforge.operators.distribution import without_one
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 60):
+        chances = [rng.choice([0.0, 1.0, 0.5, rng.random()]) if n < 60 else rng.random() for _ in range(n)]
+        at = n // 2
+        df = spark.createDataFrame([(i, chances, chances[i]) for i in range(n)], "i int, chances array<double>, p double")
+        got = {r["i"]: r["x"] for r in df.select("i", without_one(count_pmf(F.col("chances")), F.col("p"), F.lit(at)).alias("x")).collect()}
+        for i in range(n):
+            pmf = [1.0]
+            for q in chances[:i] + chances[i + 1 :]:
+                pmf = [(pmf[k] if k < len(pmf) else 0) * (1 - q) + (pmf[k - 1] * q if k else 0) for k in range(len(pmf) + 1)]
+            assert got[i] == pytest.approx(pmf[at] if at < len(pmf) else 0, abs=1e-9)
+
+
+def test_xorshift_simulation_by_a_plain_loop(spark):
+    from tallyforge.operators.distribution import xorshift_simulated
+
+    rows = [(1, "b", 0.7), (1, "a", 0.2), (1, "c", 0.9), (2, "a", 0.5)]
+    got = {r["e"]: r for r in xorshift_simulated(spark.createDataFrame(rows, "e long, m string, p double"), "e", "m", runs=500).collect()}
+    for e in (1, 2):
+        p = [q for _, q in sorted((m, q) for k, m, q in rows if k == e)]
+        state, totals = 1, []
+        for _ in range(500):
+            yes = 0
+            for q in p:
+                state ^= (state << 13) & 0xFFFFFFFF
+                state ^= state >> 17
+                state ^= (state << 5) & 0xFFFFFFFF
+                yes += state / 2**32 < q
+            totals.append(yes)
+        totals.sort()
+        assert got[e]["passage_p"] == pytest.approx(sum(t >= len(p) // 2 + 1 for t in totals) / 500) and got[e]["expected_yes"] == pytest.approx(sum(p))
+        assert (got[e]["yes_low"], got[e]["yes_high"]) == (totals[25], totals[475])
+
+
+def test_csv_keeps_quotes_breaks_and_refuses_broken_rows(spark, tmp_path):
+    from tallyforge.sources.tables import read_csv
+
+    (tmp_path / "a.csv").write_bytes(b'k,note\r\n1,"say ""hi"", twice"\r\n2,"two\r\nlines"\r\n3,\r\n')
+    got = {r["k"]: r["note"] for r in read_csv(spark, str(tmp_path / "a.csv"), "k int, note string").collect()}
+    assert got == {1: 'say "hi", twice', 2: "two\r\nlines", 3: None}
+    (tmp_path / "b.csv").write_text("k;note\n1;a\nx;b\n")
+    assert read_csv(spark, str(tmp_path / "b.csv"), "k string, note string", ";").count() == 2
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path / "b.csv"), "k int, note string", ";").collect()
+
+
+def test_authors_are_resolved_by_the_first_rung_with_a_match(spark):
+    from tallyforge.plans.parsers import resolved_authors
+
+    roster = spark.createDataFrame([(1, "Ann Lee"), (2, "Ann Marie Lee"), (3, "Bo Šimůnek"), (4, "Cy Poe"), (5, "Di Poe"), (6, "Ed Van Dam")], "member long, name string")
+    raw = spark.createDataFrame([(1, "Ann Lee"), (2, "Simunek"), (3, "Poe"), (4, "D. Poe"), (5, "Nobody"), (6, "Marie Lee"), (7, "X. Poe"), (8, ""), (9, "Lee, Ann")], "id long, name string")
+    got = {r["id"]: (r["status"], r["member"], r["method"]) for r in resolved_authors(raw, roster).collect()}
+    assert got[1] == ("resolved", 1, "exact") and got[2] == ("resolved", 3, "unique_surname") and got[3][0] == "ambiguous" and got[4] == ("resolved", 5, "surname_initials")
+    assert got[5][0] == got[7][0] == got[8][0] == "unresolved" and got[6] == ("resolved", 2, "token_subset")
+
+
+def test_statements_need_attribution_distance_and_one_sentence(spark):
+    from tallyforge.functions.parsing import statement
+
+    texts = [
+        ("Sen. Doe supports HF12 today.", "supports"), ("I oppose HF12.", "opposes"), ("Doe cannot support HF12.", "opposes"), ("Doe supports HF12 and opposes nothing else.", None), ("Doe spoke. Others support HF12.", None),
+        ("Doe supports this. " + "x " * 100 + "HF12", None), ("Nobody supports HF12.", None), ("Doe mentioned HF12.", None),
+    ]
+    got = [r["s"] for r in spark.createDataFrame(list(enumerate(t for t, _ in texts)), "i int, t string").orderBy("i").select(statement(F.col("t"), F.lit("HF12"), F.lit("Doe")).alias("s")).collect()]
+    assert got == [s for _, s in texts]
+
+
+def test_budget_and_locale_and_folding(spark):
+    from tallyforge.operators.evidence import admitted_within
+
+    rows = [(1, 0, 1), (1, 5, 2), (1, 6, 3), (1, 10, 4), (1, 11, 5), (2, 6, 6)]
+    got = {r["i"]: r["admitted"] for r in admitted_within(spark.createDataFrame(rows, "k long, t long, i long"), "k", "t", "i", most=2, span=10).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
+    assert value(spark, T.person_key(F.lit("Łukasz Šimůnek-Ő"))) is not None and value(spark, T.plain_ascii(F.lit("Šimůnek Őry Ştefan é"))) == "simunek ory stefan e"
