@@ -260,12 +260,12 @@ def resolved_authors(raw: DataFrame, roster: DataFrame) -> DataFrame:
     Each rung needs exactly one match; the first rung with several makes the author ambiguous.  Rungs are equality joins on words of the name.
     """
     tokens = lambda c: F.filter(F.split(F.regexp_replace(plain_ascii(F.col(c)), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    a = raw.select("id", tokens("name").alias("a")).withColumn("surname", F.element_at("a", -1))
-    r = roster.select("member", tokens("name").alias("r")).withColumn("surname", F.element_at("r", -1))
+    a = raw.select("id", tokens("name").alias("a")).withColumn("surname", F.try_element_at("a", F.lit(-1)))
+    r = roster.select("member", tokens("name").alias("r")).withColumn("surname", F.try_element_at("r", F.lit(-1)))
     met = a.join(r, "surname", "left")
-    firsts = F.slice("a", F.lit(1), F.size("a") - 1)
+    firsts = F.slice("a", F.lit(1), F.greatest(F.size("a") - 1, F.lit(0)))
     initials = F.transform(firsts, lambda x: F.left(x, F.lit(1)))
-    own = F.transform(F.slice("r", F.lit(1), F.size("a") - 1), lambda x: F.left(x, F.lit(1)))
+    own = F.transform(F.slice("r", F.lit(1), F.greatest(F.size("a") - 1, F.lit(0))), lambda x: F.left(x, F.lit(1)))
     rungs = {
         "exact": F.array_join("a", " ") == F.array_join("r", " "),
         "surname_initials": (F.size("a") > 1) & F.forall(firsts, lambda x: F.length(x) == 1) & (initials == own),

@@ -93,7 +93,7 @@ def money(text: Column | str) -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """Quoted CSV with a header, line breaks inside quotes, doubled quotes; broken rows fail."""
+    """Quoted CSV with a header, line breaks inside quotes (which come back as \\n), doubled quotes; broken rows fail."""
     return spark.read.schema(schema).option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "FAILFAST").option("sep", sep).csv(path)
 
 

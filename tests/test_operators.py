@@ -290,7 +290,7 @@ def test_csv_keeps_quotes_breaks_and_refuses_broken_rows(spark, tmp_path):
 
     (tmp_path / "a.csv").write_bytes(b'k,note\r\n1,"say ""hi"", twice"\r\n2,"two\r\nlines"\r\n3,\r\n')
     got = {r["k"]: r["note"] for r in read_csv(spark, str(tmp_path / "a.csv"), "k int, note string").collect()}
-    assert got == {1: 'say "hi", twice', 2: "two\r\nlines", 3: None}
+    assert got == {1: 'say "hi", twice', 2: "two\nlines", 3: None}
     (tmp_path / "b.csv").write_text("k;note\n1;a\nx;b\n")
     assert read_csv(spark, str(tmp_path / "b.csv"), "k string, note string", ";").count() == 2
     with pytest.raises(Exception):
