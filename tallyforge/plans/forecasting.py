@@ -52,14 +52,14 @@ t AS (SELECT f.event_id, f.observation_id, r.pmf[(n // 2 + 1)::INT] AS pivotalit
       FROM forecast f JOIN n USING (event_id) JOIN r ON r.id = f.rid AND r.i = n.n - 1),
 s AS (SELECT *, pivotality * (0.7 * uncertainty + 0.3 * gap) AS priority FROM t),
 k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY round(priority, 9) DESC, round(pivotality, 9) DESC, round(uncertainty, 9) DESC, observation_id) AS rank FROM s)
-SELECT event_id, observation_id, rank::INTEGER AS rank, round(pivotality, 6) AS pivotality, round(priority, 6) AS priority FROM k WHERE rank <= 12""",
+SELECT event_id, observation_id, rank::INTEGER AS rank, round(pivotality::DECIMAL(18, 9), 6)::DOUBLE AS pivotality, round(priority::DECIMAL(18, 9), 6)::DOUBLE AS priority FROM k WHERE rank <= 12""",
 )
 def mdl16(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of each event whom research would serve best."""
     f = forecasts(spark, sf_dir).select("event_id", "observation_id", "p", (F.col("weight") * 10).alias("quality"), (F.col("member_id") % 200).cast("double").alias("age"))
     t = targeted(f, "event_id", "observation_id")
     order = Window.partitionBy("event_id").orderBy(F.desc(F.round("priority", 9)), F.desc(F.round("pivotality", 9)), F.desc(F.round("uncertainty", 9)), "observation_id")
-    return t.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_TARGETS).select("event_id", "observation_id", "rank", F.round("pivotality", 6).alias("pivotality"), F.round("priority", 6).alias("priority"))
+    return t.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MOST_TARGETS).select("event_id", "observation_id", "rank", *(F.round(F.col(c).cast("decimal(18,9)"), 6).cast("double").alias(c) for c in ("pivotality", "priority")))
 
 
 @query("mdl17_evidence_tiers", f"WITH {FORECAST_SQL}, t AS (SELECT observation_id, CASE WHEN m_n >= 20 AND weight * 20 >= 1 THEN 'strong' WHEN m_n >= 5 OR weight * 20 >= 0.5 THEN 'moderate' ELSE 'limited' END AS tier FROM forecast) SELECT observation_id, tier, CASE tier WHEN 'strong' THEN 0.9 WHEN 'moderate' THEN 0.6 ELSE 0.3 END::DOUBLE AS quality FROM t")

@@ -58,15 +58,15 @@ def prj21(spark: SparkSession, sf_dir: str) -> DataFrame:
     "mdl15_evidence_impact",
     f"""WITH {SIGNALS_SQL}, {ADMITTED_SQL},
 d AS (SELECT user_id, sum((CASE stance WHEN 'supports' THEN 1 WHEN 'opposes' THEN -1 ELSE 0 END * CASE kind WHEN 'direct_statement' THEN 4.0 WHEN 'fact' THEN 0.65 WHEN 'context' THEN 0.35 ELSE 0.25 END
-      * CASE quality WHEN 'official' THEN 1.0 WHEN 'reputable_secondary' THEN 0.8 WHEN 'other' THEN 0.55 ELSE 0.35 END * CASE relevance WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.55 ELSE 0.3 END * 0.85 * coalesce(confidence, 0.5))::DECIMAL(38, 12))::DOUBLE AS delta
+      * CASE quality WHEN 'official' THEN 1.0 WHEN 'reputable_secondary' THEN 0.8 WHEN 'other' THEN 0.55 ELSE 0.35 END * CASE relevance WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.55 ELSE 0.3 END * 0.85 * coalesce(confidence, 0.5))::DECIMAL(38, 12)) AS delta
       FROM admitted WHERE reason = 'admitted' GROUP BY user_id)
-SELECT user_id, round(delta, 6) AS delta, round(least(0.995, greatest(0.005, 1 / (1 + exp(-(ln(0.4 / 0.6) + delta))))), 6) AS p FROM d""",
+SELECT user_id, round(delta, 6)::DOUBLE AS delta, round(least(0.995, greatest(0.005, 1 / (1 + exp(-(ln(0.4 / 0.6) + delta::DOUBLE))))), 6) AS p FROM d""",
 )
 def mdl15(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     d = E.logit_delta(c("kind"), c("stance"), c("quality"), c("relevance"), F.lit("recent"), c("confidence"))
-    g = admitted(spark, sf_dir).where("a.allowed").groupBy("user_id").agg(F.sum(d.cast("decimal(28,12)")).cast("double").alias("delta"))  # whole units of 1e-12: any order gives the same sum
-    return g.select("user_id", F.round("delta", 6).alias("delta"), F.round(E.shifted(F.lit(0.4), c("delta")), 6).alias("p"))
+    g = admitted(spark, sf_dir).where("a.allowed").groupBy("user_id").agg(F.sum(d.cast("decimal(28,12)")).alias("delta"))  # whole units of 1e-12: any order gives the same sum
+    return g.select("user_id", F.round("delta", 6).cast("double").alias("delta"), F.round(E.shifted(F.lit(0.4), c("delta").cast("double")), 6).alias("p"))
 
 
 @query("src04_money", "SELECT c_custkey, coalesce(try_cast(regexp_replace('$' || printf('%,.2f', c_acctbal), '[$,]', '', 'g') AS DOUBLE), 0) AS amount FROM customer")

@@ -93,10 +93,10 @@ def actions(docs: DataFrame) -> DataFrame:
 DESCRIPTION_SQL = "CASE event_type WHEN 'view' THEN 'Introduction & first reading' WHEN 'click' THEN 'Bill was not passed' WHEN 'purchase' THEN 'Third reading passed as amended' ELSE 'Referred to Taxes' END"
 
 
-@query("src07_xml_actions", f"SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'house' ELSE 'senate' END AS chamber, strftime(ts, '%Y-%m-%d') AS occurred_on, {DESCRIPTION_SQL} AS description, CASE event_type WHEN 'click' THEN false WHEN 'purchase' THEN true END AS passed FROM events")
+@query("src07_xml_actions", f"SELECT event_id, user_id, CASE WHEN event_id % 2 = 0 THEN 'house' ELSE 'senate' END AS chamber, strftime(ts, '%Y-%m-%d') AS occurred_on, {DESCRIPTION_SQL} AS description, CASE event_type WHEN 'click' THEN 'failed' WHEN 'purchase' THEN 'passed' ELSE '' END AS passed FROM events")
 def src07_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(action_documents(spark, sf_dir))
-    return a.select("event_id", "user_id", "chamber", F.col("occurred_on").cast("string").alias("occurred_on"), "description", P.passage(F.col("description")).alias("passed"))
+    return a.select("event_id", "user_id", "chamber", F.col("occurred_on").cast("string").alias("occurred_on"), "description", F.when(P.passage(F.col("description")), "passed").when(~P.passage(F.col("description")), "failed").otherwise("").alias("passed"))
 
 
 @query("src10_process_events", "SELECT event_id, CASE event_type WHEN 'view' THEN 'introduction' WHEN 'click' THEN 'passage' WHEN 'purchase' THEN 'passage' ELSE 'referral' END AS stage FROM events")
