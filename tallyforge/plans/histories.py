@@ -286,3 +286,90 @@ def prj18(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.count_if(F.coalesce(F.col(name) < F.lit("1998-06-01").cast("date"), F.lit(False)))
 
     return r.groupBy("member_id").agg(clock("activity_on").alias("by_activity"), clock("available_on").alias("by_availability"))
+
+
+@query(
+    "mdl26_snapshot_evidence",
+    f"""WITH s AS (SELECT o_orderkey AS snapshot, o_custkey AS bill, (19723 + o_orderkey % 30)::INTEGER AS cutoff FROM orders), e AS (SELECT user_id, event_type, {DAY_SQL} AS day FROM events),
+a AS (SELECT DISTINCT l_orderkey AS snapshot, l_suppkey AS author FROM lineitem),
+b AS (SELECT snapshot, count(user_id) AS n FROM s LEFT JOIN e ON user_id = bill AND event_type IN ('view', 'click') AND day < cutoff GROUP BY snapshot),
+m AS (SELECT s.snapshot, count(user_id) AS n, count(DISTINCT author) AS authors FROM s JOIN a USING (snapshot) LEFT JOIN e ON user_id = author AND event_type = 'purchase' AND day < cutoff GROUP BY s.snapshot)
+SELECT b.snapshot, b.n AS bill_items, m.n AS author_items, m.authors FROM b LEFT JOIN m USING (snapshot)""",
+)
+def mdl26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence known before each snapshot, by its bill and by each of its authors once: running counts by day, looked up as of the cutoff."""
+    from ..operators.asof import asof_join
+
+    s = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("snapshot"), F.col("o_custkey").alias("bill"), (19723 + F.col("o_orderkey") % 30).cast("int").alias("cutoff"))
+    e = read(spark, sf_dir, "events").select("user_id", "event_type", day_number("ts").alias("day"))
+
+    def running(rows: DataFrame, key: str) -> DataFrame:
+        d = rows.groupBy(F.col("user_id").alias(key), F.col("day").alias("known")).agg(F.count("*").alias("n"))
+        return d.withColumn("n", F.sum("n").over(Window.partitionBy(key).orderBy("known").rowsBetween(Window.unboundedPreceding, 0)))
+
+    bills = asof_join(s, running(e.where("event_type IN ('view', 'click')"), "bill"), ["bill"], "cutoff", "known", ["n"]).select("snapshot", F.coalesce("n", F.lit(0)).alias("bill_items"))
+    authors = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("snapshot"), F.col("l_suppkey").alias("author")).distinct().join(s.select("snapshot", "cutoff"), "snapshot")
+    own = asof_join(authors, running(e.where("event_type = 'purchase'"), "author"), ["author"], "cutoff", "known", ["n"]).groupBy("snapshot").agg(F.sum(F.coalesce("n", F.lit(0))).alias("author_items"), F.count("*").alias("authors"))
+    return bills.join(own, "snapshot", "left").select("snapshot", "bill_items", "author_items", "authors")
+
+
+@query(
+    "api_forecast_list",
+    """WITH f AS (SELECT o_orderkey, o_orderdate, o_orderstatus, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 AND o_orderstatus <> 'P'),
+r AS (SELECT l_orderkey, count(*) AS n, max(l_linenumber) AS latest, arg_max(l_discount, (l_linenumber, l_suppkey, l_partkey)) AS p FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderkey AS id, c_name || ' · ' || o_orderkey AS label, o_orderstatus AS status, coalesce(n, 0) AS revisions, latest::INTEGER AS latest, p AS latest_p FROM f LEFT JOIN r ON l_orderkey = o_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 20""",
+)
+def api_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An owner's newest forecasts with the number of their revisions and the latest one."""
+    f = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").where("c_nationkey = 3").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus <> 'P'")
+    top = f.orderBy(F.desc("o_orderdate"), "o_orderkey").limit(max(1, min(100, 20)))
+    met = top.join(read(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("o_orderkey", "c_name", "o_orderstatus")
+    last = F.max(F.struct("l_linenumber", "l_suppkey", "l_partkey", "l_discount"))
+    g = met.agg(F.count("l_orderkey").alias("revisions"), last.alias("last"))
+    return g.select(F.col("o_orderkey").alias("id"), F.concat("c_name", F.lit(" · "), "o_orderkey").alias("label"), F.col("o_orderstatus").alias("status"), "revisions", F.col("last.l_linenumber").cast("int").alias("latest"), F.col("last.l_discount").alias("latest_p"))
+
+
+RANK_SQL = "CASE stage WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END"
+
+
+@query(
+    "win17_state_changes",
+    f"""WITH {STAGES_SQL}, d AS (SELECT bill_id, day, max({RANK_SQL}) AS top FROM stages WHERE outcome = 1 GROUP BY bill_id, day),
+s AS (SELECT bill_id, day, coalesce(max(top) OVER (PARTITION BY bill_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before, max(top) OVER (PARTITION BY bill_id ORDER BY day ROWS UNBOUNDED PRECEDING) AS after FROM d)
+SELECT bill_id, (day + 1)::INTEGER AS cutoff, before::INTEGER AS state_before, after::INTEGER AS state FROM s WHERE after > before""",
+)
+def win17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A snapshot of each bill on the day after its state rose; what happens on one day is one change."""
+    t = F.col("stage")
+    rank = F.when(t == "view", 1).when(t == "click", 2).when(t == "purchase", 3).otherwise(0)
+    d = stages(spark, sf_dir).where("outcome = 1").groupBy("bill_id", "day").agg(F.max(rank).alias("top"))
+    w = Window.partitionBy("bill_id").orderBy("day")
+    s = d.select("bill_id", "day", F.coalesce(F.max("top").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1)).alias("before"), F.max("top").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("after"))
+    return s.where("after > before").select("bill_id", (F.col("day") + 1).cast("int").alias("cutoff"), F.col("before").alias("state_before"), F.col("after").alias("state"))
+
+
+@query("prj05_json_set", """SELECT event_id, '{"a":"' || event_id || '","b":"' || CASE WHEN event_id % 2 = 0 THEN 'new' ELSE 'old' END || '"}' AS j FROM events""")
+def prj05_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One field of a JSON object set, the others kept."""
+    i = F.col("event_id")
+    old = F.from_json(F.to_json(F.struct(i.cast("string").alias("a"), F.lit("old").alias("b"))), "a string, b string")
+    return read(spark, sf_dir, "events").select("event_id", old.alias("o")).select("event_id", F.to_json(F.when(i % 2 == 0, F.col("o").withField("b", F.lit("new"))).otherwise(F.col("o"))).alias("j"))
+
+
+@query(
+    "mdl03_chained_calibration",
+    f"""WITH {FORECAST_SQL}, b AS (SELECT least(9, floor(p * 10))::INT AS bin, session, count(*) AS n, sum(p) AS sp, sum(outcome) AS yes FROM forecast GROUP BY ALL),
+c AS (SELECT bin, session, coalesce(sum(n) OVER w, 0) AS n, sum(sp) OVER w AS sp, sum(yes) OVER w AS yes FROM b WINDOW w AS (PARTITION BY bin ORDER BY session ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT session, count(*) AS n, count(*) FILTER (WHERE c.n >= 25) AS calibrated, round(avg((CASE WHEN c.n >= 25 THEN least(0.995, greatest(0.005, (yes + 4 * sp / c.n) / (c.n + 4))) ELSE p END - outcome) ** 2), 6) AS brier
+FROM forecast f JOIN c ON least(9, floor(p * 10))::INT = c.bin AND f.session = c.session GROUP BY f.session""".replace("SELECT session, count(*) AS n, count(*) FILTER", "SELECT f.session, count(*) AS n, count(*) FILTER"),
+)
+def mdl03(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forecasts calibrated by what their bins came to in earlier sessions; bins without enough of those pass through."""
+    from ..functions.numeric import clamp
+    from ..operators.rates import HIGH, LEAST_BIN, LOW, SMOOTHING, bin_of
+
+    f = forecasts(spark, sf_dir).select("session", "outcome", "p", bin_of(F.col("p")).alias("bin"))
+    past = strict_prior_days(f, ["bin"], {"bn": F.lit(1), "sp": F.col("p"), "yes": F.col("outcome")}, "session")
+    enough = F.col("bn") >= LEAST_BIN
+    q = F.when(enough, clamp((F.col("yes") + SMOOTHING * F.col("sp") / F.col("bn")) / (F.col("bn") + SMOOTHING), LOW, HIGH)).otherwise(F.col("p"))
+    return rejoin(f, past, ["bin", "session"]).groupBy("session").agg(F.count("*").alias("n"), F.count_if(enough).alias("calibrated"), F.round(F.avg(F.pow(q - F.col("outcome"), 2)), 6).alias("brier"))

@@ -17,7 +17,7 @@ def test_query(name, spark, duck, same):
 
 
 def test_only_simulation_and_iteration_lack_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"mdl12_offset_ridge", "mdl27_indicator_fit", "dst05_coalition_simulation"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"dst05_coalition_simulation", "dst06_baseline_simulation"}
 
 
 def test_entry_gives_the_flagship(spark):
