@@ -29,22 +29,33 @@ def mix_key(doc_id: Column | str, seed: int = SEED) -> Column:
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
 
 
+def placed(rows: DataFrame, name: str) -> DataFrame:
+    """rows with place: from 0 by name in code-point order, null last.  No task takes more than its range of names and a count for each range."""
+    low = F.lit((1 << 33) - 1).cast("long")
+    ordered = rows.orderBy(F.col(name).asc_nulls_last()).withColumn("_at", F.monotonically_increasing_id())
+    ordered = materialize(ordered.withColumn("_range", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(low)))
+    ranges = ordered.groupBy("_range").agg(F.count("*").alias("_n"))
+    ranges = ranges.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return ordered.join(F.broadcast(ranges), "_range").withColumn("place", F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """sizes (source, source_size, n: a row per source) with target.
 
-    Sources in code-point order, null last, weigh weights in turn.  A target stops at most times its source's size; the others share what is left by weight.
-    So target = min(most * size, level * weight), where the targets sum to all sizes.
+    Sources in code-point order, null last, weigh weights in turn.  A target stops at most times its source's size; the others share what is left by weight, again and again until
+    none is above: target = min(most * size, level * weight), where the targets sum to all sizes.  Each sharing is one aggregate over the sources.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("weight", F.get(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))))
-    rows = weighed.withColumn("cap", most * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    filled = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    room = F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(filled), F.lit(0))
-    share = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(filled), F.lit(0))
-    rows = rows.withColumn("level", room / share)
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level"))).over(everything)["level"]
-    return rows.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(level, F.lit(0.0)) * F.col("weight"))).drop("weight", "cap", "ratio", "level")
+    weight = F.get(F.array(*map(F.lit, weights)), (F.col("place") % len(weights)).cast("int"))
+    rows = materialize(placed(sizes, "source").withColumn("weight", weight).drop("place")).withColumn("cap", most * F.col("source_size"))
+    level, full = 0.0, None
+    whole, shares = rows.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    while True:
+        above = F.col("cap") / F.col("weight") < F.lit(level)
+        capped, taken = rows.where(above).agg(F.coalesce(F.sum("cap"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+        if (capped, taken) == full or taken == shares:
+            break
+        level, full = (whole - capped) / (shares - taken), (capped, taken)
+    return rows.withColumn("target", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight"))).drop("weight", "cap")
 
 
 def beside(left: DataFrame, right: DataFrame, n_right: int, *names: str) -> DataFrame:
