@@ -30,12 +30,16 @@ def https(url: Column) -> Column:
     return F.when(url.rlike(r"^https?://\S+$"), F.regexp_replace(url, "^http:", "https:"))
 
 
+#: Words of actions that say how a bill fared.
+FAILED = r"\bbill was not passed\b|\bthird reading (?:failed|not passed)\b|\bfailed (?:final )?passage\b|\bfailed to pass\b"
+PASSED = r"\bbill was (?:re)?passed\b|\bthird reading (?:was )?(?:passed|repassed)\b|\b(?:house|senate) concurred and repassed bill\b"
+DENIED = r"\b(?:not|never) passed\b"
+
+
 def passage(description: Column) -> Column:
     """Whether the words of an action say that a bill passed (true), failed (false) or neither (null)."""
     text = F.lower(description)
-    failed = text.rlike(r"\bbill was not passed\b|\bthird reading (?:failed|not passed)\b|\bfailed (?:final )?passage\b|\bfailed to pass\b")
-    passed = ~text.rlike(r"\b(?:not|never) passed\b") & text.rlike(r"\bbill was (?:re)?passed\b|\bthird reading (?:was )?(?:passed|repassed)\b|\b(?:house|senate) concurred and repassed bill\b")
-    return F.when(failed, False).when(passed, True)
+    return F.when(text.rlike(FAILED), False).when(~text.rlike(DENIED) & text.rlike(PASSED), True)
 
 
 def bill_numbers(text: Column) -> Column:
