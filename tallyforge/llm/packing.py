@@ -31,7 +31,8 @@ class WordIds:
     Trailing ASCII punctuation is encoded apart, which such a tokenizer does too after an ASCII or Latin-1 letter or a digit.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int | None = None):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,7 +53,7 @@ class WordIds:
         for own in parts:
             for s in own:
                 unknown.update(w for w in set(s.split()) if w not in self.known)
-        if len(self.known) + len(unknown) > REMEMBERED:
+        if len(self.known) + len(unknown) > (self.remembered or REMEMBERED):
             self.known, unknown = {}, {w for own in parts for s in own for w in s.split()}
         self.learn(unknown)
         return [b"".join([b"".join(map(self.known.__getitem__, s.split())) for s in own]) for own in parts]
@@ -67,10 +68,10 @@ def core(word: bytes) -> bytes:
     return c if plain else word
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple, WordIds] = {}
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, remembered: int | None = None) -> DataFrame:
     """Per piece: doc_id, piece (from 0), start, length and ids_crc32.
 
     A document is its text's ids and end_id; null and empty texts are end_id alone.  Only documents over the capacity are cut.
@@ -79,7 +80,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: st
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
+        own = (tokenizer, remembered)
+        ids = _loaded.get(own) or _loaded.setdefault(own, WordIds(*own))
         end = np.array([end_id], "<u4").tobytes()
         for batch in slices(gathered(batches, "_text"), "_text", 16 << 20):
             rows, texts = [], [t or b"" for t in column_bytes(batch, "_text")]
@@ -190,8 +192,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInPandas(place, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    return pack(materialize(token_pieces(docs, tokenizer, text, doc_id, capacity)), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
+    """Pieces of all documents with their places; remembered: words whose ids a Python worker keeps (REMEMBERED if not given)."""
+    return pack(materialize(token_pieces(docs, tokenizer, text, doc_id, capacity, remembered=remembered)), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
