@@ -18,6 +18,8 @@ from tallyforge.llm.simhash import one_per_group
 
 #: A language must be at least so likely among those learned.
 LEAST_SCORE = 0.5
+#: Words that a worker remembers while packing: few, since workers live on and other stages need the memory.
+REMEMBERED = 300_000
 #: Exceptions that are broadcast at most.
 BROADCAST_ROWS = 100_000
 
@@ -56,7 +58,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 def counted(docs: DataFrame) -> DataFrame:
