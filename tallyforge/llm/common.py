@@ -68,6 +68,19 @@ def map_texts(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def rows_together(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they hold that many rows."""
+    kept, held = [], 0
+    for batch in batches:
+        kept.append(batch)
+        held += batch.num_rows
+        if held >= rows:
+            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+            kept, held = [], 0
+    if kept:
+        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """docs as one struct column, row: so that columns added beside it can't clash with its own, whatever their names."""
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .divergence import OP13_SQL, op13_source_divergence
+from .fill_middle import OP12_SQL, op12_fill_middle
 from .language_id import op3_language_id
 from .license_scan import op9_license_scan
 from .lm_scoring import op1_ppm_scoring
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_warc_revisits": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_bit_sliced_topk": OP2_SQL, "op7_mix_sources": OP7_SQL, "op8_warc_revisits": OP8_SQL, "op12_fill_middle": OP12_SQL, "op13_source_divergence": OP13_SQL}
