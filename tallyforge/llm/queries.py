@@ -16,6 +16,7 @@ from .packing import op10_best_fit_packing
 from .pii import op6_pii_surrogates
 from .quality import op5_compression_bands
 from .simhash import op4_simhash
+from .token_store import op11_token_store
 from .topk import OP2_SQL, op2_bit_sliced_topk
 from .warc import OP8_SQL, op8_warc_revisits
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_license_scan": op9_license_scan,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_token_store": op11_token_store,
     "op12_fill_middle": op12_fill_middle,
     "op13_source_divergence": op13_source_divergence,
 }
