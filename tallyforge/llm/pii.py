@@ -3,12 +3,13 @@
 Entities are found by one pattern.  Each gets a surrogate of its kind and form, drawn from a keyed hash of its canonical spelling, so that it is the same wherever it
 stands and however it is spelled.  Names are taken apart: family names and given names have surrogates of their own, so that Mr Smith and Dr John Smith share a family name.
 All distinct entities are then checked: a surrogate that another entity has, or that is itself an entity of the corpus, is drawn again with the next attempt.
-Texts are rewritten in place; only entities and the rare exceptions (second attempts, given names under titles of several genders) are shuffled.
+Bare mentions of a text's names are found in the text between its entities as it was, by a search in a sorted array for each capitalised word.  Texts are rewritten in place; only entities and the rare exceptions (second attempts, given names under titles of several genders) are shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,6 +50,8 @@ ALL_TITLES = "|".join(t for own in TITLES.values() for t in own)
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: A part of a name, up to where its word ends; initials stand before or after the first part.
 NAME_PART, INITIALS = r"\p{Lu}[\p{L}\p{M}'’-]++", r"\p{Lu}\.(?: ?\p{Lu}\.)*"
+#: A word with a capital at its front, between characters that are in no name.
+CAPITAL_WORD = r"(?<![\p{L}\p{M}'’-])\p{Lu}[\p{L}\p{M}'’-]*+"
 CUE = rf"(?<=\b(?:{'|'.join(CUES)})[ \n])"
 #: Kinds in order of preference; what is of no other kind is a name.
 PATTERNS = {
@@ -272,56 +275,113 @@ def entities(text: str) -> Column:
 def exceptions(docs: DataFrame, text: str, key: str) -> DataFrame:
     """kind, canon, attempt and gender of the distinct atoms whose first draws collide or whose titles don't agree.
 
-    A draw collides if it spells an entity of the corpus (given names, of which all have surrogates, may), or one drawn earlier or, in one round, by an entity that sorts
-    before.  Under titles of one gender and of none, a given name has that gender; of both, none.
+    A draw collides if it spells an entity of the corpus (a name part: a given or a family name), or one drawn in an earlier round or, in one round, by an entity that sorts
+    before.  Under titles of one gender and of none, a given name has that gender; of both, none.  Only what collides goes on to the next round.
     """
     found = docs.where(hinted(text)).select(F.explode(entities(text)).alias("entity")).select(F.inline(atoms(F.col("entity")))).where("kind <> 'initial'")
     seen = lambda g: F.max(F.col("gender") == g)
     gender = F.when(seen("m") & ~seen("f"), "m").when(seen("f") & ~seen("m"), "f").otherwise("n")
     known = materialize(found.groupBy("kind", "canon").agg(F.min("entity").alias("entity"), gender.alias("gender"), (F.min("gender") != F.max("gender")).alias("mixed")))
-    real = known.where("kind <> 'given'").select("kind", F.col("canon").alias("drawn"), F.lit(True).alias("real"))
-    state = known.withColumn("attempt", F.lit(0))
+    realm = F.when(F.col("kind").isin("given", "family"), "name").otherwise(F.col("kind"))
+    real = known.select(realm.alias("realm"), F.col("canon").alias("drawn"), F.lit(True).alias("real")).distinct()
+    active, settled, special = known.withColumn("attempt", F.lit(0)), [], []
     for _ in range(MOST_ATTEMPTS):
         made = surrogate(F.struct("kind", "canon", "entity"), key, F.col("attempt"), F.col("gender"))
-        drawn = state.withColumn("drawn", canonical(made, F.col("kind")))
-        first = F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("attempt", "canon"))
-        again = (F.col("place") > 1) | F.col("real").isNotNull()
-        state = materialize(drawn.withColumn("place", first).join(real, ["kind", "drawn"], "left").select(*known.columns, "attempt", again.alias("again")))
-        if not state.where("again").limit(1).count():
-            return state.where("attempt > 0 OR mixed").select("kind", "canon", "attempt", "gender")
-        state = state.withColumn("attempt", F.col("attempt") + F.col("again").cast("int")).drop("again")
+        drawn = active.withColumn("realm", realm).withColumn("drawn", canonical(made, F.col("kind")))
+        drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("kind", "drawn").orderBy("canon"))).join(real, ["realm", "drawn"], "left")
+        for earlier in settled[:1]:
+            drawn = drawn.join(earlier.withColumn("taken", F.lit(True)), ["kind", "drawn"], "left")
+        again = (F.col("place") > 1) | F.col("real").isNotNull() | (F.col("taken").isNotNull() if settled else F.lit(False))
+        told = materialize(drawn.select(*known.columns, "attempt", "drawn", again.alias("again")))
+        fine = told.where("NOT again")
+        settled = [e.unionByName(fine.select("kind", "drawn")) for e in settled] or [fine.select("kind", "drawn")]
+        special.append(fine.where("attempt > 0 OR mixed").select("kind", "canon", "attempt", "gender"))
+        active = told.where("again").drop("drawn", "again").withColumn("attempt", F.col("attempt") + 1)
+        if not active.limit(1).count():
+            return reduce(DataFrame.unionByName, special)
     raise RuntimeError("surrogates still collide after the last attempt")
 
 
+def sought(entries: Column, steps: Column, key: Column, of: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The entry of a sorted array whose key, of(entry), is key; null if there is none.  steps: halving_steps(entries)."""
+    last = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(of(F.get(entries, at + step)) <= key, at + step).otherwise(at))
+    return let(F.get(entries, last), lambda x: F.when(of(x) == key, x))
+
+
+def halving_steps(entries: Column) -> Column:
+    """Powers of two, falling to 1, that sum to the array's size at least."""
+    n = F.ceil(F.log2(F.size(entries) + F.lit(1.0))).cast("int")
+    return F.transform(F.sequence(F.greatest(n, F.lit(1)) - 1, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+
+
+def linked(between: Column, told: Column) -> Column:
+    """The texts between entities, in which names that a title or cue told (told: title, atoms and made of every entity) stand for themselves.
+
+    A whole name (given names and family name, at most three parts, a blank between them) and a family name alone are rewritten, each part with its own surrogate.  Where whole
+    names overlap, a part belongs to the one that begins first, of these the longest.  All are found in the text as it was, so no surrogate is ever rewritten.
+    """
+    parts = lambda t, *kinds: F.filter(F.arrays_zip(t.getField("atoms"), t.getField("made")), lambda z: z.getField("atoms").getField("kind").isin(*kinds))
+    names = F.filter(told, lambda t: F.exists(t.getField("atoms"), lambda a: a.getField("kind") == "family"))
+    whole = lambda t: F.array_join(F.transform(parts(t, "given", "family"), lambda z: z.getField("atoms").getField("entity")), " ")
+    entry = lambda z: F.struct(z.getField("atoms").getField("entity").alias("entity"), z.getField("made").alias("made"))
+    listed = lambda own, kind: F.array_sort(F.flatten(F.transform(own, lambda t: F.transform(parts(t, kind), entry))))
+    tables = let(names, lambda own: F.struct(F.array_sort(F.transform(own, whole)).alias("wholes"), listed(own, "given").alias("given"), listed(own, "family").alias("family")))
+    tables = let(tables, lambda t: F.struct(t.alias("of"), *(halving_steps(t.getField(n)).alias(n) for n in ("wholes", "given", "family"))))
+
+    def rewritten_piece(piece: Column, tb: Column) -> Column:
+        table, steps = lambda n: tb.getField("of").getField(n), tb.getField
+        seek = lambda n, key: sought(table(n), steps(n), key, lambda x: x if n == "wholes" else x.getField("entity"))
+
+        def of(p: Column) -> Column:
+            word = lambda i: F.get(p.getField("words"), i)
+            near = lambda i: F.get(p.getField("gaps"), i) == " "
+            two = lambda i: F.when(near(i + 1), F.concat_ws(" ", word(i), word(i + 1)))
+            three = lambda i: F.when(near(i + 1) & near(i + 2), F.concat_ws(" ", word(i), word(i + 1), word(i + 2)))
+            longest = lambda w, i: F.when(seek("wholes", three(i)).isNotNull(), 3).when(seek("wholes", two(i)).isNotNull(), 2).when(seek("family", w).isNotNull(), 1).otherwise(0)
+
+            def placed(long: Column) -> Column:
+                at = lambda i: F.when(i >= 0, F.get(long, i)).otherwise(0)
+                family = lambda i: (at(i - 2) == 3) | (at(i - 1) == 2) | ((at(i - 1) < 2) & (at(i) == 1))
+                given = lambda i: (at(i - 1) == 3) | (at(i) >= 2)
+                out = lambda w, i: F.when(family(i), seek("family", w).getField("made")).when(given(i), seek("given", w).getField("made")).otherwise(w)
+                return F.transform(p.getField("words"), out)
+
+            made = let(F.transform(p.getField("words"), longest), placed)
+            return F.array_join(F.zip_with(p.getField("gaps"), made, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
+
+        return let(F.struct(F.regexp_extract_all(piece, F.lit(CAPITAL_WORD), F.lit(0)).alias("words"), F.split(piece, CAPITAL_WORD, -1).alias("gaps")), of)
+
+    return let(tables, lambda tb: F.when(F.size(tb.getField("of").getField("family")) == 0, between).otherwise(F.transform(between, lambda piece: rewritten_piece(piece, tb))))
+
+
 def rewritten(rows: DataFrame, key: str, again: bool) -> DataFrame:
-    """rows with text rewritten; again: whether they have a column again, a map from kind:canon to attempt and gender."""
+    """rows with text rewritten; again: whether they have a column again, a sorted array of structs of kind:canon, attempt and gender."""
     text = F.col("text")
     pairs = F.zip_with(F.split(text, PATTERN, -1), entities("text"), lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b)))
     pieces = F.when(text.contains(MARK), F.flatten(pairs)).otherwise(F.split(F.regexp_replace(text, PATTERN, f"{MARK}$0{MARK}"), MARK))
-    own = rows.withColumn("pieces", F.when(hinted("text"), pieces))
-    own = own.withColumn("found", F.when(F.size("pieces") > 1, F.filter("pieces", lambda _, i: i % 2 == 1)))
 
-    def made(atom: Column) -> Column:
-        if not again:
+    def made(atom: Column, special: Column | None) -> Column:
+        if special is None:
             return surrogate(atom, key, F.lit(0), atom.getField("gender"))
-        special = F.try_element_at("again", F.concat(atom.getField("kind"), F.lit(":"), atom.getField("canon")))
-        return let(special, lambda x: surrogate(atom, key, F.coalesce(x.getField("attempt"), F.lit(0)), F.coalesce(x.getField("gender"), atom.getField("gender"))))
+        own = sought(special.getField("of"), special.getField("steps"), F.concat(atom.getField("kind"), F.lit(":"), atom.getField("canon")), lambda x: x.getField("k"))
+        return let(own, lambda x: surrogate(atom, key, F.coalesce(x.getField("attempt"), F.lit(0)), F.coalesce(x.getField("gender"), atom.getField("gender"))))
 
-    told = lambda e: let(atoms(e), lambda a: F.struct(title_of(e).alias("title"), a.alias("atoms"), F.transform(a, made).alias("made")))
-    own = own.withColumn("told", F.transform("found", told))
-    # Names that a title or cue told stand for themselves elsewhere in the text, whole or as the family name.
-    names = F.filter("told", lambda t: F.exists(t.getField("atoms"), lambda a: a.getField("kind") == "family"))
+    def told(e: Column, special: Column | None) -> Column:
+        return let(atoms(e), lambda a: F.struct(title_of(e).alias("title"), a.alias("atoms"), F.transform(a, lambda x: made(x, special)).alias("made")))
 
-    def bare(t: Column, whole: bool) -> Column:
-        both = F.filter(F.arrays_zip(t.getField("atoms"), t.getField("made")), lambda z: z.getField("atoms").getField("kind").isin(*(("given", "family") if whole else ("family",))))
-        return F.struct(F.array_join(F.transform(both, lambda z: z.getField("atoms").getField("entity")), " ").alias("name"), F.array_join(F.transform(both, lambda z: z.getField("made")), " ").alias("made"))
+    def new(p: Column, special: Column | None) -> Column:
+        """The text from its pieces: entities at odd places, the text between them at even ones."""
+        found = F.transform(F.filter(p, lambda _, i: i % 2 == 1), lambda e: told(e, special))
+        joined = lambda own: F.zip_with(linked(F.filter(p, lambda _, i: i % 2 == 0), own), F.transform(own, lambda t: F.concat(t.getField("title"), F.array_join(t.getField("made"), " "))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+        return F.array_join(let(found, joined), "")
+
+    def of(p: Column) -> Column:
+        if not again:
+            return new(p, None)
+        return let(F.struct(F.col("again").alias("of"), halving_steps(F.col("again")).alias("steps")), lambda special: new(p, special))
 
-    own = own.withColumn("names", F.array_distinct(F.concat(F.transform(names, lambda t: bare(t, True)), F.transform(names, lambda t: bare(t, False)))))
-    between = F.filter("pieces", lambda _, i: i % 2 == 0)
-    joined = F.zip_with(between, F.transform("told", lambda t: F.concat(t.getField("title"), F.array_join(t.getField("made"), " "))), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    own = own.withColumn("new", F.array_join(joined, ""))
-    linked = F.aggregate("names", F.col("new"), lambda t, n: F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{M}'’-])"), n.getField("name"), F.lit(r"(?![\p{L}\p{M}'’-])")), n.getField("made")))
-    return own.withColumn("text", F.when(F.size("names") > 0, linked).when(F.col("found").isNotNull(), F.col("new")).otherwise(text))
+    own = let(F.when(hinted("text"), pieces), lambda p: F.when(F.size(p) > 1, of(p)))
+    return rows.withColumn("text", F.coalesce(own, text))
 
 
 def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -337,11 +397,11 @@ def replace_pii(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     if n:
         held = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
         found = own.where(hinted("text")).select(held.alias("held"), F.explode(F.array_distinct(entities("text"))).alias("entity")).select("held", F.inline(atoms(F.col("entity"))))
-        special = again.select("kind", "canon", F.struct("attempt", "gender").alias("special"))
-        met = found.select("held", "kind", "canon").join(F.broadcast(special) if n <= BROADCAST_ROWS else special, ["kind", "canon"]).select("held", F.concat("kind", F.lit(":"), "canon").alias("k"), "special").distinct()
-        maps = materialize(met.groupBy("held").agg(F.map_from_entries(F.collect_list(F.struct("k", "special"))).alias("again")))
-        rows = rows.withColumn("held", held).join(F.broadcast(maps) if maps.count() <= BROADCAST_ROWS else maps, "held", "left")
-        rows = rows.withColumn("again", F.coalesce("again", F.create_map().cast(maps.schema["again"].dataType)))
+        special = again.select("kind", "canon", "attempt", "gender")
+        met = found.select("held", "kind", "canon").join(F.broadcast(special) if n <= BROADCAST_ROWS else special, ["kind", "canon"]).select("held", F.concat("kind", F.lit(":"), "canon").alias("k"), "attempt", "gender").distinct()
+        lists = materialize(met.groupBy("held").agg(F.array_sort(F.collect_list(F.struct("k", "attempt", "gender"))).alias("again")))
+        rows = rows.withColumn("held", held).join(F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists, "held", "left")
+        rows = rows.withColumn("again", F.coalesce("again", F.array().cast(lists.schema["again"].dataType)))
     return unpacked(rewritten(rows, key, n > 0), **{text: F.col("text")})
 
 
