@@ -24,7 +24,7 @@ ORDER, GRAM_BITS = 4, 21
 #: 2**19 tokens of LONGEST bytes at most go to every task.
 HOT_BITS, LONGEST = 19, 64
 #: Tokens and grams that a task gathers before it passes them on.
-HELD_TOKENS = 500_000
+HELD_TOKENS, HELD_GRAMS = 500_000, 1 << 21
 #: The token that ends a text: words are never empty.
 END_TOKEN = b""
 #: Stands for a token where a row is a gram: no word, for it has a blank.
@@ -49,25 +49,30 @@ def corpus_counts(docs: DataFrame, training: Column, text: str = "text", order:
             tokens.clear()
             return batch
 
+        def grams_out(counted: GramCounter, learn: int) -> Iterator[pa.RecordBatch]:
+            codes, met = counted.take()
+            for at in range(0, len(codes), 1 << 16):
+                c, m = codes[at : at + (1 << 16)], met[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.binary()), c, pa.array(m.to_numpy() * learn), m], schema=fields)
+
         for part in slices(batches, "_text"):
             texts, own = [t or b"" for t in column_bytes(part, "_text")], part.column(0).to_pylist()
             for t, learn in zip(texts, own, strict=True):
                 if learn:
                     for s in segments(t):
                         tokens.update(map(short, s.translate(LOWER).split()))
+                        if len(tokens) > HELD_TOKENS:
+                            yield out()
                     tokens[END_TOKEN] += 1
-            for counted, which in ((learned, True), (other, False)):
-                for codes, _, _ in grams([t for t, learn in zip(texts, own, strict=True) if learn == which], order):
+            for counted, learn in ((learned, 1), (other, 0)):
+                for codes, _, _ in grams([t for t, which in zip(texts, own, strict=True) if which == learn], order):
                     counted.add(codes)
-            if len(tokens) > HELD_TOKENS:
-                yield out()
+                    if counted.held > HELD_GRAMS and counted.full(HELD_GRAMS):
+                        yield from grams_out(counted, learn)
         if tokens:
             yield out()
         for counted, learn in ((learned, 1), (other, 0)):
-            codes, met = counted.take()
-            for at in range(0, len(codes), 1 << 16):
-                c, m = codes[at : at + (1 << 16)], met[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.binary()), c, pa.array(m.to_numpy() * learn), m], schema=fields)
+            yield from grams_out(counted, learn)
 
     chosen = docs.select(F.coalesce(training, F.lit(False)).alias("_learn"), F.col(text).cast("binary").alias("_text"))
     return map_texts(chosen, run, "token binary, code long, n long, met long").groupBy("token", "code").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))

@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
 Documents get hash-random keys.  A source is taken as often as its target holds its size; of the rest, documents are taken in key order up to the exact word.
-Where that is comes from prefix sums in two steps: over equal ranges of the key, then within the one range that holds the cut.  So a document's
+Where that is comes from prefix sums in steps: over wide ranges of the key, over the equal ranges in the one that holds the cut, then within one of these.  So a document's
 part in the mix follows from its key and a row per source; no text moves.
 """
 
@@ -12,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from .common import WORD, field, materialize, packed, table, unpacked
 
 WEIGHTS, MOST_EPOCHS, SEED = (5, 2, 1), 3, 17
-#: Documents in one range of keys, and the most sources that are broadcast.
-RANGE_ROWS, BROADCAST_SOURCES = 4096, 100_000
+#: Documents in one range of keys, ranges in a wide one, and the most sources that are broadcast.
+RANGE_ROWS, WIDE_RANGES, BROADCAST_SOURCES = 4096, 4096, 100_000
 
 
 def word_count(text: Column | str) -> Column:
@@ -65,6 +65,13 @@ def beside(left: DataFrame, right: DataFrame, n_right: int, *names: str) -> Data
     return left.join(F.broadcast(right) if n_right <= BROADCAST_SOURCES else right, same, "left").drop(*(f"_{c}" for c in names))
 
 
+def crossing(rows: DataFrame, at: str) -> DataFrame:
+    """From rows (source, rest, before, size, at) the value of column at where a source's words reach rest: source, rest, at, words (there) and before (it)."""
+    sums = rows.groupBy("source", "rest", "before", at).agg(F.sum("size").alias("words"))
+    upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy(at))
+    return sums.withColumn("upto", upto).where("upto - words < rest AND upto >= rest").select("source", "rest", at, "words", (F.col("upto") - F.col("words")).alias("before"))
+
+
 def mix_plan(slim: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """A row per source of slim (source, size, key): source_size, target, epochs, cut_key, cut_words and cut_size.
 
@@ -75,13 +82,12 @@ def mix_plan(slim: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST
     sources = materialize(sources.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size")).withColumn("ranges", F.ceil(F.col("n") / RANGE_ROWS)))
     n = sources.count()
     spread = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("ranges") / 2.0**32).cast("long")
-    dealt = beside(slim, sources.select("source", "rest", "ranges"), n, "source").where("rest > 0").withColumn("range", spread)
-    sums = dealt.groupBy("source", "range", "rest").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("range"))
-    cut_range = sums.withColumn("before", upto - F.col("words")).where("before < rest AND before + words >= rest").select("source", "range", "before")
-    inside = beside(dealt, materialize(cut_range), n, "source", "range").where("before IS NOT NULL").groupBy("source", "key", "rest", "before").agg(F.sum("size").alias("cut_size"))
-    upto = F.col("before") + F.sum("cut_size").over(Window.partitionBy("source").orderBy("key"))
-    cut = inside.withColumn("at", upto - F.col("cut_size")).where("at < rest AND at + cut_size >= rest").select("source", F.col("key").alias("cut_key"), (F.col("rest") - F.col("at")).alias("cut_words"), "cut_size")
+    rows = beside(slim, sources.select("source", "rest", "ranges"), n, "source").where("rest > 0").withColumn("range", spread)
+    rows = rows.withColumn("wide", F.floor(F.col("range") / WIDE_RANGES).cast("long")).withColumn("before", F.lit(0).cast("long"))
+    for step in ("wide", "range"):
+        found = materialize(crossing(rows, step).select("source", step, "before"))
+        rows = beside(rows.drop("before"), found, n, "source", step).where("before IS NOT NULL")
+    cut = crossing(rows, "key").select("source", F.col("key").alias("cut_key"), (F.col("rest") - F.col("before")).alias("cut_words"), F.col("words").alias("cut_size"))
     return beside(sources, cut, n, "source").select("source", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_size")
 
 
@@ -92,7 +98,7 @@ def with_mix(docs: DataFrame, plan: DataFrame, n_sources: int) -> DataFrame:
 
 
 def slim_rows(docs: DataFrame, text: str, seed: int) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(text).alias("size"), mix_key("doc_id", seed).alias("key"))
+    return docs.select("doc_id", "source", word_count(F.col(f"`{text}`")).alias("size"), mix_key("doc_id", seed).alias("key"))
 
 
 def mix_sources(docs: DataFrame, text: str = "text", weights: Sequence[int] = WEIGHTS, most: int = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -113,15 +119,16 @@ def mixed_documents(docs: DataFrame, text: str = "text", weights: Sequence[int]
     Rows of 0 words are not in the mix.
     """
     plan = materialize(mix_plan(materialize(slim_rows(docs, text, seed)), weights, most))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col("source").alias("source"), word_count(text).alias("size"), mix_key("doc_id", seed).alias("key"))
+    own = packed(docs).select("row", field("source").alias("source"), word_count(field(text)).alias("size"), mix_key(field("doc_id"), seed).alias("key"))
     copies = F.concat(F.array_repeat(F.col("size"), F.col("epochs").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    rows = with_mix(own, plan, plan.count()).where("size > 0").select("_row", "size", F.explode(copies).alias("_words"))
-    words = F.filter(F.split(F.col(f"_row.{text}"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.when(F.col("_words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("_words").cast("int")), " ")).otherwise(F.col(f"_row.{text}"))
-    return rows.select(*(cut.alias(c) if c == text else F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    rows = with_mix(own, plan, plan.count()).where("size > 0").select("row", "size", F.explode(copies).alias("words"))
+    words = F.filter(F.split(field(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " ")).otherwise(field(text))
+    return unpacked(rows, **{text: cut})
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents; see mix_sources for null sources and texts, ties, repeats and empty tables.  Long texts count whole."""
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -73,14 +73,25 @@ class GramCounter:
 
     def __init__(self) -> None:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held, self.bound = 0, PART
 
     def add(self, codes: np.ndarray) -> None:
         self.parts.append(np.unique(codes, return_counts=True))
         self.held += len(self.parts[-1][0])
-        if self.held > 1 << 21 and len(self.parts) > 4:
-            self.parts = [self.merged()]
-            self.held = len(self.parts[0][0])
+        if self.held > self.bound:
+            self.put_together()
+
+    def put_together(self) -> None:
+        """Equal grams become one; the next time only after as many again, so that each is sorted a few times at most."""
+        self.parts = [self.merged()]
+        self.held = len(self.parts[0][0])
+        self.bound = max(PART, 2 * self.held)
+
+    def full(self, most: int) -> bool:
+        """Whether, with over `most` grams held, over half of them are left when equal ones are put together."""
+        if self.held > most:
+            self.put_together()
+        return self.held > most // 2
 
     def merged(self) -> tuple[np.ndarray, np.ndarray]:
         if not self.parts:
@@ -93,7 +104,7 @@ class GramCounter:
 
     def take(self) -> tuple[pa.Array, pa.Array]:
         codes, counts = self.merged()
-        self.parts, self.held = [], 0
+        self.parts, self.held, self.bound = [], 0, PART
         return pa.array(codes.astype(np.int64)), pa.array(counts.astype(np.int64))
 
 

@@ -134,6 +134,7 @@ def test_mixture_equals_its_sql_and_reaches_targets(spark, same, monkeypatch):
     import duckdb
 
     monkeypatch.setattr("tallyforge.llm.mixing.RANGE_ROWS", 5)
+    monkeypatch.setattr("tallyforge.llm.mixing.WIDE_RANGES", 3)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumn("size", F.lit("clash"))
     got = mix_sources(docs)
     con = duckdb.connect()
@@ -151,10 +152,11 @@ def test_mixture_equals_its_sql_and_reaches_targets(spark, same, monkeypatch):
 
 def test_mixed_documents_hold_the_taken_words(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string, source string").withColumn("size", F.lit("clash")).withColumn("key", F.lit(1))
+    docs = docs.withColumn("a.b", F.lit("dot")).withColumn("row", F.lit(2)).withColumn("_row", F.lit(3)).withColumn("words", F.lit(4))
     taken = {r["doc_id"]: r["taken"] for r in mix_sources(docs).collect()}
     words = defaultdict(int)
     for r in mixed_documents(docs).collect():
-        assert set(r.asDict()) == set(docs.columns) and r["size"] == "clash"
+        assert r.__fields__ == docs.columns and (r["size"], r["a.b"], r["row"], r["_row"], r["words"]) == ("clash", "dot", 2, 3, 4)
         words[r["doc_id"]] += len((r["text"] or "").split())
     assert {i: n for i, n in taken.items() if n} == dict(words)
     assert mixed_documents(docs.where("false")).count() == 0 and mix_sources(docs.where("false")).count() == 0

@@ -17,7 +17,7 @@ def docs(spark):
     words = {"en": "the and of to that with this from house".split(), "fr": "le la des une dans pour avec été maison".split()}
     rows = [(i, " ".join(rng.choice(words[k]) + str(rng.randrange(50)) for _ in range(40)), k, f"s{i % 2}", 0) for i, k in enumerate(["en", "fr"] * 20)]
     rows += [(100 + i, rows[i][1], rows[i][2], "s1", 0) for i in range(5)] + [(200, None, "en", "s0", 0), (201, "12 34 !!", "en", "s0", 0), (202, rows[3][1] + " mail ann@x.org", None, "s1", 0)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit("own")).coalesce(2)
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit("own")).withColumn("_row", F.lit(1)).withColumn("a.b", F.lit("dot")).coalesce(2)
 
 
 def test_stages(spark, docs, tmp_path):

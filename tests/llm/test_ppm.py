@@ -156,6 +156,28 @@ def test_scores_are_whole_however_few_grams_go_to_every_task(spark):
         assert Counter((r["doc_id"], round(r["score"], 8) + 0.0) for r in got) == want
 
 
+def test_a_task_passes_on_what_it_holds(spark, monkeypatch):
+    """Random bytes have hardly a gram twice: a task that may hold few passes them on in between, and the counts stay whole."""
+    from tallyforge.llm import lm_scoring
+
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, bytearray(rng.randbytes(300_000))) for i in range(4)] + [(9, bytearray(b"abc " * 20_000))], "doc_id long, text binary").coalesce(1)
+    whole = {(r["token"], r["code"]): (r["n"], r["met"]) for r in lm_scoring.corpus_counts(docs, F.col("doc_id") != 1).collect()}
+    monkeypatch.setattr(lm_scoring, "HELD_GRAMS", 1 << 16)
+    monkeypatch.setattr(lm_scoring, "HELD_TOKENS", 100)
+    assert {(r["token"], r["code"]): (r["n"], r["met"]) for r in lm_scoring.corpus_counts(docs, F.col("doc_id") != 1).collect()} == whole
+
+    counter, most = GramCounter(), 1 << 16
+    for _ in range(20):
+        counter.add(np.array([rng.getrandbits(40) for _ in range(30_000)], np.uint64))
+        if counter.full(most):
+            counter.take()
+        assert counter.held <= most + 30_000
+    for _ in range(200):  # equal grams don't fill it
+        counter.add(np.arange(20_000, dtype=np.uint64))
+        assert counter.held <= 20_000 + most and (counter.held <= most or not counter.full(most))
+
+
 def slow_languages(rows, learned_rows):
     """Prediction and score of every text by the definition, all languages learned whole."""
     low = lambda t: t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
