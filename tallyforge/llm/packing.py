@@ -22,7 +22,10 @@ from .common import LOWER, bucket_count, column_bytes, gathered, map_texts, mate
 CAPACITY, END_ID = 2048, 0
 #: Distinct words whose ids a Python worker remembers; then it starts anew.
 REMEMBERED = 1_200_000
-RANK_ROWS = 1 << 14
+#: Words that are encoded at a time: what the tokenizer returns takes about a kilobyte each.
+ENCODED = 4096
+#: Pieces in a bucket of ranks, and buckets in a wide one.
+RANK_ROWS, WIDE_BUCKETS = 1 << 14, 1 << 10
 
 
 class WordIds:
@@ -41,8 +44,10 @@ class WordIds:
     def learn(self, words: set[bytes]) -> None:
         cores = {w: core(w) for w in words}
         new = list({x for w, c in cores.items() for x in (c, w[len(c) :]) if x and x not in self.known})
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, encoded, strict=True))
+        for at in range(0, len(new), ENCODED):
+            some = new[at : at + ENCODED]
+            encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, encoded, strict=True))
         self.known.update((w, self.known[c] + self.known[w[len(c) :]]) for w, c in cores.items() if c and len(c) < len(w))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -52,7 +57,7 @@ class WordIds:
         unknown: set[bytes] = set()
         for own in parts:
             for s in own:
-                unknown.update(w for w in set(s.split()) if w not in self.known)
+                unknown |= set(s.split()).difference(self.known)
         if len(self.known) + len(unknown) > (self.remembered or REMEMBERED):
             self.known, unknown = {}, {w for own in parts for s in own for w in s.split()}
         self.learn(unknown)
@@ -161,10 +166,14 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndar
 
 
 def with_rank(pieces: DataFrame, rows: int) -> DataFrame:
-    """pieces with rank: from 0 within each length.  A length's pieces are dealt to buckets by hash; counts of earlier buckets are added."""
+    """pieces with rank: from 0 within each length.  A length's pieces are dealt to buckets by hash; to a piece's rank in its bucket the counts of earlier buckets are added,
+    which are summed within wide buckets and over these."""
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(bucket_count(rows, RANK_ROWS))))
-    counts = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).drop("n")
+    counts = materialize(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("wide", F.floor(F.col("bucket") / WIDE_BUCKETS)))
+    earlier = lambda *by: F.sum("n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("n")
+    wide = counts.groupBy("length", "wide").agg(F.sum("n").alias("n")).withColumn("wide_before", earlier("length", "wide")).drop("n")
+    before = counts.withColumn("own_before", earlier("length", "wide", "bucket")).join(wide, ["length", "wide"])
+    before = before.select("length", "bucket", (F.col("own_before") + F.col("wide_before")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     return dealt.withColumn("own", own).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before", "bucket")
 
@@ -193,11 +202,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, remembered: int | None = None) -> DataFrame:
-    """Pieces of all documents with their places; remembered: words whose ids a Python worker keeps (REMEMBERED if not given)."""
+    """Pieces of all documents with their places; null texts, ties, repeats and empty tables as in token_pieces and pack; remembered: words whose ids a Python worker keeps (REMEMBERED if not given)."""
     return pack(materialize(token_pieces(docs, tokenizer, text, doc_id, capacity, remembered=remembered)), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces; see token_pieces for nulls and long texts, pack for ties, repeats and empty tables."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -29,8 +29,10 @@ from .packing import WordIds
 
 MAGIC, END_ID, RANK_BITS = b"DAC1", 2, 512
 #: Ids in a segment, bytes of texts whose ids make up a file (about half as large), ids that are decoded at a time.
-SEGMENT_IDS, FILE_BYTES, DECODED = 1 << 20, 64 << 20, 1 << 17
+SEGMENT_IDS, FILE_BYTES, DECODED = 1 << 20, 32 << 20, 1 << 17
 BROADCAST_ROWS = 100_000
+#: Words that a Python worker remembers, and bytes of texts that it takes at a time.
+REMEMBERED, SLICE_BYTES = 500_000, 8 << 20
 NULL_ID, GOES_ON = 1, 2
 
 
@@ -201,13 +203,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer))
+        ids = _loaded.get(tokenizer) or _loaded.setdefault(tokenizer, WordIds(tokenizer, REMEMBERED))
         end, own = np.array([end_id], "<u4").tobytes(), Gatherer(segment_ids)
 
         def out(segment: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([segment[:-1]], pa.binary())], ["value"])
 
-        for batch in slices(gathered(batches, "_text"), "_text", 16 << 20):
+        for batch in slices(gathered(batches, "_text", SLICE_BYTES), "_text", SLICE_BYTES):
             texts = [t or b"" for t in column_bytes(batch, "_text")]
             for doc, data in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
                 yield from map(out, own.add(doc, data + end))

@@ -90,6 +90,7 @@ def test_documents_and_edges(spark, tokenizer):
 
 def test_ranks_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr("tallyforge.llm.packing.RANK_ROWS", 7)
+    monkeypatch.setattr("tallyforge.llm.packing.WIDE_BUCKETS", 4)
     rows = [(i, 0, 0, 1 + i % 3, 0) for i in range(200)]
     got = pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), 5).collect()
     bins = defaultdict(list)
