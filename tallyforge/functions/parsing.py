@@ -45,7 +45,7 @@ def passage(description: Column) -> Column:
 def bill_numbers(text: Column) -> Column:
     """Identifiers such as HF12, whatever dots and blanks they were written with."""
     found = F.regexp_extract_all(text, F.lit(r"(?i)\b[HS]\.?\s*F\.?\s*(?:No\.?\s*)?\d+"), F.lit(0))
-    return F.transform(found, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lit("F"), F.regexp_extract(x, r"(\d+)$", 1).cast("int").cast("string")))
+    return F.transform(found, lambda x: F.concat(F.upper(F.left(x, F.lit(1))), F.lit("F"), F.regexp_extract(x, r"0*(\d+)$", 1)))
 
 
 def containing(value: Column, wanted: dict[str, str]) -> Column:

@@ -202,10 +202,17 @@ def dst08(spark: SparkSession, sf_dir: str) -> DataFrame:
     return z.select("event_id", *(F.round(f(F.col("z")), 6).alias(n) for n, f in (("normal", normal_cdf), ("laplace", laplace_cdf), ("logistic", logistic_cdf))))
 
 
-@query("dst10_concentration", f"WITH {FORECAST_SQL}, g AS (SELECT event_id, party, sum(p) AS x FROM forecast GROUP BY ALL) SELECT event_id, round(sum(x * x) / sum(x) ** 2, 6) AS hhi FROM g GROUP BY event_id")
+@query(
+    "dst10_concentration",
+    f"""WITH {FORECAST_SQL}, g AS (SELECT event_id, party, sum(round(p * 1e9)::BIGINT)::HUGEINT AS x FROM forecast GROUP BY ALL)
+SELECT event_id, round(sum(x * x)::DOUBLE / (sum(x) * sum(x))::DOUBLE, 6) AS hhi FROM g GROUP BY event_id""",
+)
 def dst10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = forecasts(spark, sf_dir).groupBy("event_id", "party").agg(F.sum("p").alias("x"))
-    return g.groupBy("event_id").agg(F.round(F.sum(F.col("x") * F.col("x")) / F.pow(F.sum("x"), 2), 6).alias("hhi"))
+    """Herfindahl index of expected yes by party, over whole billionths: any order gives the same sums."""
+    x = F.sum(F.round(F.col("p") * 1e9).cast("long"))
+    g = forecasts(spark, sf_dir).groupBy("event_id", "party").agg(x.cast("decimal(19,0)").alias("x"))
+    whole = F.sum("x").cast("decimal(19,0)")
+    return g.groupBy("event_id").agg(F.round(F.sum(F.col("x") * F.col("x")).cast("double") / (whole * whole).cast("double"), 6).alias("hhi"))
 
 
 @query("dst09_scenario_overlay", f"WITH {FORECAST_SQL}, o AS (SELECT s_suppkey AS member_id, 0.9 AS p FROM supplier WHERE s_suppkey % 7 = 0) SELECT event_id, round(sum(coalesce(o.p, f.p)), 6) AS expected_yes FROM forecast f LEFT JOIN o USING (member_id) GROUP BY event_id")

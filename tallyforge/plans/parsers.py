@@ -99,14 +99,6 @@ def src07_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_id", "user_id", "chamber", F.col("occurred_on").cast("string").alias("occurred_on"), "description", F.when(P.passage(F.col("description")), "passed").when(~P.passage(F.col("description")), "failed").otherwise("").alias("passed"))
 
 
-@query("src10_process_events", "SELECT event_id, CASE event_type WHEN 'view' THEN 'introduction' WHEN 'click' THEN 'passage' WHEN 'purchase' THEN 'passage' ELSE 'referral' END AS stage FROM events")
-def src10_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stages from the words of the actions."""
-    d = F.lower("description")
-    stage = F.when(d.rlike(r"\bintroduction\b"), "introduction").when(P.passage(F.col("description")).isNotNull(), "passage").when(d.rlike(r"\breferred to\b"), "referral").otherwise("other")
-    return actions(action_documents(spark, sf_dir)).select("event_id", stage.alias("stage"))
-
-
 @query("src08_bill_results", "SELECT CASE WHEN p_partkey % 2 = 0 THEN 'HF' ELSE 'SF' END || p_partkey AS identifier, p_name AS description, 'https://x.example/' || p_partkey AS status_url FROM part WHERE p_partkey % 5 <> 0")
 def src08(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search results of which those without a status address or of another file type are left out."""
@@ -148,59 +140,6 @@ def src11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("l_orderkey").alias("bill"), F.col("l_linenumber").cast("long").alias("step"), F.when(verb == "stricken", "strike").otherwise("add").alias("action"), F.explode(names).alias("author"))
 
 
-def roll_call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-    return line.select("l_orderkey", "s_name", (F.col("l_returnflag") == "R").alias("nay")).distinct()
-
-
-def roll_calls(docs: DataFrame) -> DataFrame:
-    """bill, passed, stated yeas and nays, and the names under each heading, of journal texts (doc)."""
-    names = lambda p: F.filter(F.transform(F.split(F.regexp_extract("doc", p, 1), ";"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    counts = r"There were (\d+) yeas? and (\d+) nays?"
-    return docs.select(
-        F.get(P.bill_numbers(F.col("doc")), F.lit(0)).alias("bill"), (~F.col("doc").rlike(r"(?i)was not passed")).alias("passed"), F.regexp_extract("doc", counts, 1).cast("long").alias("yeas"), F.regexp_extract("doc", counts, 2).cast("long").alias("nays"),
-        names(r"(?s)voted in the affirmative were:\s*(.*?)\.\s").alias("yea_names"), names(r"(?s)voted in the negative were:\s*(.*?)\.\s").alias("nay_names"),
-    )
-
-
-def journals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = roll_call_rows(spark, sf_dir)
-    lists = v.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.when(~F.col("nay"), F.col("s_name")))).alias("y"), F.array_sort(F.collect_list(F.when(F.col("nay"), F.col("s_name")))).alias("n"))
-    text = F.concat(
-        F.lit("H. F. No. "), "l_orderkey", F.lit(", A bill for an act relating to things.\nThe question was taken on the passage of the bill and the roll was called. There were "), F.size("y"), F.lit(" yeas and "), F.size("n"), F.lit(" nays as follows:\nThose who voted in the affirmative were: "),
-        F.array_join("y", "; "), F.lit(".\nThose who voted in the negative were: "), F.array_join("n", ";\n"), F.lit(".\nThe bill was "), F.when(F.size("y") > F.size("n"), "passed").otherwise("not passed"), F.lit(" and its title agreed to.\n"),
-    )
-    return lists.select(text.alias("doc"))
-
-
-ROLL_SQL = "v AS (SELECT DISTINCT l_orderkey, s_name, l_returnflag = 'R' AS nay FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)"
-
-
-@query("src14_roll_calls", f"WITH {ROLL_SQL} SELECT 'HF' || l_orderkey AS bill, s_name AS member, CASE WHEN nay THEN 'nay' ELSE 'yea' END AS choice FROM v")
-def src14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Member votes from journal texts; a text whose lists don't have the stated lengths yields none."""
-    r = roll_calls(journals(spark, sf_dir)).where((F.size("yea_names") == F.col("yeas")) & (F.size("nay_names") == F.col("nays")))
-
-    def votes(choice: str) -> Column:
-        return F.transform(f"{choice}_names", lambda x: F.struct(x.alias("member"), F.lit(choice).alias("choice")))
-
-    return r.select("bill", F.inline(F.concat(votes("yea"), votes("nay"))))
-
-
-@query("src16_journal_outcomes", f"WITH {ROLL_SQL} SELECT 'HF' || l_orderkey AS bill, count(*) FILTER (WHERE NOT nay) AS yeas, count(*) FILTER (WHERE nay) AS nays, 2 * count(*) FILTER (WHERE NOT nay) > count(*) AS passed FROM v GROUP BY l_orderkey")
-def src16_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roll_calls(journals(spark, sf_dir)).select("bill", "yeas", "nays", "passed")
-
-
-@query("src13_vote_detail", f"WITH {ROLL_SQL} SELECT l_orderkey AS event, s_name AS member, CASE WHEN nay THEN 'nay' ELSE 'yea' END AS choice FROM v")
-def src13_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Member votes from the rows of HTML tables."""
-    row = F.concat(F.lit("<tr class=\"v\"><td>"), "s_name", F.lit("&nbsp;</td><td><b>"), F.when(F.col("nay"), "Nay").otherwise("Yea"), F.lit("</b></td></tr>"))
-    docs = planted(roll_call_rows(spark, sf_dir), ["l_orderkey"], "s_name", row, "<table><tr><th>Member</th><th>Vote</th></tr>", "</table>")
-    r = docs.select(F.col("l_orderkey").alias("event"), F.explode(P.blocks(F.col("doc"), "tr")).alias("r")).withColumn("cells", P.blocks(F.col("r"), "td")).where("size(cells) = 2")
-    return r.select("event", html_text(F.col("cells")[0]).alias("member"), F.lower(html_text(F.col("cells")[1])).alias("choice"))
-
-
 @query("src15_committee_minutes", "SELECT user_id AS committee, event_id AS motion, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'prevailed' END AS result, event_id % 7 + 1 AS ayes, event_id % 4 AS noes FROM events")
 def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Motions, counts and results from minutes of a committee and day."""
@@ -220,16 +159,6 @@ def src17_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select("p_partkey", F.sha2(F.replace(html_text(inside), F.lit(" ."), F.lit(".")).cast("binary"), 256).alias("digest"))
 
 
-@query("src18_appointments", "SELECT o_orderkey AS bill, c_name AS member, CASE WHEN o_custkey % 2 = 0 THEN 'house' ELSE 'senate' END AS chamber FROM orders JOIN customer ON o_custkey = c_custkey")
-def src18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conferees from the sentences that appoint them."""
-    o = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
-    text = F.concat(F.lit("The "), F.when(F.col("o_custkey") % 2 == 0, "Speaker").otherwise("President"), F.lit(" announced the appointment of the following members to a Conference Committee on H. F. No. "), "o_orderkey", F.lit(":\n"), "c_name", F.lit(".\nNext item."))
-    d = o.select(text.alias("t"))
-    names = F.split(F.regexp_extract("t", r"(?s)Conference Committee on [^:]*:\s*(.*?)\.\n", 1), r"\s*(?:,|;|\band\b)\s*")
-    return d.select(F.substring(F.get(P.bill_numbers(F.col("t")), F.lit(0)), 3, 20).cast("long").alias("bill"), F.explode(names).alias("member"), F.when(F.col("t").startswith("The Speaker"), "house").otherwise("senate").alias("chamber"))
-
-
 @query("src19_feeds", "SELECT page_id, url, 'https://' || split_part(url, '/', 3) AS origin, 'page ' || page_id AS title, page_id % 2 = 0 AS captured FROM pages")
 def src19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A news feed (XML) and an index of captures (JSON rows with a header), joined by address."""
