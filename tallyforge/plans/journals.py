@@ -1,4 +1,4 @@
-"""Journals, vote pages, appointments and actions (SRC-10, SRC-13, SRC-14, SRC-16, SRC-18).
+"""Journals, vote pages, minutes, appointments and actions (SRC-10, SRC-13 to SRC-16, SRC-18).
 
 The driver's tables hold no such texts: each query writes the votes of many bills as one text in the source's form, with headings that are missing, broken tallies and results that
 are not told, and reads the text back; the SQL gives what should come out.
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import journals as J
+from ..operators.minutes import committee_votes
 from ..sources.tables import html_text, read
 from .parsers import planted
 from .registry import query
@@ -176,3 +177,47 @@ def src10_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.get(F.array(*map(F.lit, ACTIONS)), (k % 8).cast("int"))
     a = read(spark, sf_dir, "events").select("event_id", F.concat(F.lit("HF"), k).alias("bill"), F.replace(text, F.lit("{k}"), k.cast("string")).alias("description"))
     return J.process_stages(a).select("event_id", "stage", F.array_join("companions", ",").alias("companions"))
+
+
+MINUTES_SQL = """e AS (SELECT event_id AS i, event_id // 60 AS committee, event_id % 6 AS form FROM events)"""
+
+
+def minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms: 0 a voice vote; 1 an amendment with a tally and lists; 2 a vote a line; 3 a tally that the names don't match, no motion; 4 a roll call asked for under the bill before;
+    5 the line of a summary."""
+    i = F.col("i")
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.expr("event_id div 60").alias("committee"), (F.col("event_id") % 6).cast("int").alias("form"))
+    head = F.concat(F.lit("S.F. 0"), i, F.lit(": Doe: A bill.\n"))
+    text = by_form(
+        F.concat(head, F.lit("Testimony was heard.\nSenator Doe moved that the bill be recommended to pass as amended.\nThe motion prevailed on a voice vote.\nThe amendment failed last year.\n")),
+        F.concat(head, F.lit("Senator Van Doe moves the A-"), i % 50 + 1, F.lit(" amendment.\nThere being 3 yea votes, and 2 nay votes,\nYEA: Senators Roe, Poe and Coe (chair)\nNAY: Moe; Joe.\nthe amendment was not adopted.\n")),
+        F.concat(head, F.lit("Senator Doe moved to lay over H. F. No. "), i, F.lit(".\nSenator Roe - Yea\nSen. Poe: Nay\nSenator Coe – Absent\nMOTION FAILED.\n")),
+        F.concat(head, F.lit("6/4 (Ayes: Roe, Poe; Nays: Coe)\n")),
+        F.lit("Senator Doe requested a roll call vote.\nBy a roll call vote of 5 Yeas and 4 Nays the motion carried.\n"),
+        F.concat(F.lit("H.F. "), i, F.lit(": Roe\n\n  Senator Roe moves that H.F. No. "), i, F.lit(" do pass - MOTION PREVAILED.\n")),
+    )
+    return planted(e, ["committee"], "i", text, "The meeting was called to order.\n", "Adjourned.")
+
+
+@query(
+    "src15_committee_minutes",
+    f"""WITH {MINUTES_SQL} SELECT committee, row_number() OVER (PARTITION BY committee ORDER BY i)::INTEGER AS vote, CASE form WHEN 2 THEN 'HF' || i WHEN 5 THEN 'HF' || i WHEN 4 THEN 'SF' || (i - 1) ELSE 'SF' || i END AS bill,
+  CASE WHEN form IN (3, 4) THEN 'tally_only' WHEN form = 5 THEN 'action_summary' ELSE 'narrative' END AS form, CASE form WHEN 0 THEN 'voice' WHEN 5 THEN 'unknown' ELSE 'roll_call' END AS method,
+  CASE form WHEN 0 THEN 'committee_recommendation' WHEN 1 THEN 'amendment' WHEN 2 THEN 'procedural' WHEN 5 THEN 'committee_recommendation' ELSE 'motion' END AS kind, CASE form WHEN 1 THEN 'Van Doe' WHEN 5 THEN 'Roe' WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE 'Doe' END AS mover,
+  CASE WHEN form = 1 THEN 'A' || (i % 50 + 1) END AS amendment, CASE WHEN form IN (0, 4, 5) THEN 'passed' WHEN form IN (1, 2) THEN 'failed' END AS outcome,
+  CASE form WHEN 1 THEN 3 WHEN 2 THEN 1 WHEN 3 THEN 6 WHEN 4 THEN 5 END AS yeas, CASE form WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 4 WHEN 4 THEN 4 END AS nays, CASE form WHEN 1 THEN true WHEN 3 THEN false END AS names_match
+FROM e""",
+)
+def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vote of a committee's minutes."""
+    return committee_votes(minutes(spark, sf_dir)).select("committee", "vote", "bill", "form", "method", "kind", "mover", "amendment", "outcome", "yeas", "nays", "names_match")
+
+
+@query(
+    "src15_member_votes",
+    f"""WITH {MINUTES_SQL}, m AS (SELECT *, unnest(CASE form WHEN 1 THEN ['yea Roe', 'yea Poe', 'yea Coe', 'nay Moe', 'nay Joe'] WHEN 2 THEN ['yea Roe', 'nay Poe', 'other Coe'] WHEN 3 THEN ['yea Roe', 'yea Poe', 'nay Coe'] ELSE [] END) AS x FROM e)
+SELECT committee, CASE form WHEN 2 THEN 'HF' || i ELSE 'SF' || i END AS bill, split_part(x, ' ', 2) AS member, split_part(x, ' ', 1) AS choice FROM m""",
+)
+def src15_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Member votes of minutes: lines of their own, lists by side, lists in a tally."""
+    return committee_votes(minutes(spark, sf_dir)).select("committee", "bill", F.inline("members")).select("committee", "bill", F.col("name").alias("member"), "choice")

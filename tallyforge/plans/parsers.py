@@ -140,17 +140,6 @@ def src11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("l_orderkey").alias("bill"), F.col("l_linenumber").cast("long").alias("step"), F.when(verb == "stricken", "strike").otherwise("add").alias("action"), F.explode(names).alias("author"))
 
 
-@query("src15_committee_minutes", "SELECT user_id AS committee, event_id AS motion, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'prevailed' END AS result, event_id % 7 + 1 AS ayes, event_id % 4 AS noes FROM events")
-def src15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Motions, counts and results from minutes of a committee and day."""
-    i = F.col("event_id")
-    line = F.concat(F.lit("Senator Doe moved that S.F. No. "), i, F.lit(" be recommended to pass. A roll call was taken: "), i % 7 + 1, F.lit(" ayes, "), i % 4, F.lit(" noes. The motion "), F.when(i % 3 == 0, "failed").otherwise("prevailed"), F.lit("."))
-    docs = planted(events(spark, sf_dir), ["user_id", "day"], "event_id", line, "The meeting was called to order.\n", "\nAdjourned.", "\n")
-    m = docs.select(F.col("user_id").alias("committee"), F.explode(F.split("doc", "\n")).alias("t")).where(F.col("t").rlike(r"\bmoved that\b"))
-    part = lambda p: F.regexp_extract("t", p, 1)
-    return m.select("committee", part(r"F\. No\. (\d+)").cast("long").alias("motion"), part(r"The motion (prevailed|failed)\.").alias("result"), part(r"(\d+) ayes").cast("long").alias("ayes"), part(r"(\d+) noes").cast("long").alias("noes"))
-
-
 @query("src17_bill_text", "SELECT p_partkey, sha256(p_name || ' is amended. Section 1. ' || p_type) AS digest FROM part")
 def src17_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of a bill's own text, taken out of its page."""

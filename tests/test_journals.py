@@ -76,3 +76,41 @@ def test_stages_of_an_action(spark):
     texts = ["Rereferred to Rules & Administration", "Rules and Administration met", "Substituted SF12 for HF012, HF13, hf 13", None, "Nothing"]
     got = rows(J.process_stages(spark.createDataFrame([(i, "HF12", t) for i, t in enumerate(texts)], "i int, bill string, description string")), "i", "stage")
     assert [(r["i"], r["stage"], r["companions"]) for r in got] == [(0, "committee_referral", []), (0, "rules_referral", []), (2, "companion_reference", ["SF12", "HF13"])]
+
+
+def votes_of(spark, *texts):
+    from tallyforge.operators.minutes import committee_votes
+
+    return rows(committee_votes(spark.createDataFrame(list(enumerate(texts)), "id int, doc string")), "id", "vote")
+
+
+def test_the_fold_tells_votes_apart():
+    from tallyforge.operators.minutes import HAS_COUNTS, HAS_RESULT, HAS_TALLY, IS_HEADING, IS_MOTION, IS_NAMES, IS_REQUEST, vote_numbers
+
+    tally = HAS_TALLY | HAS_COUNTS
+    assert vote_numbers([]) == [] and vote_numbers([0, HAS_RESULT, IS_HEADING, 0]) == [0, 0, 0, 0]
+    # A motion takes the tally after it; the next tally opens a vote of its own; a heading closes.
+    assert vote_numbers([IS_MOTION, 0, tally, tally, IS_NAMES, IS_HEADING, IS_NAMES, IS_NAMES]) == [-1, 1, 1, -2, 2, 0, -3, 3]
+    # A roll call asked for belongs to the open vote until that is decided.
+    assert vote_numbers([IS_MOTION, IS_REQUEST, HAS_RESULT, IS_REQUEST, tally]) == [-1, 1, 1, -2, 2]
+    # Lists without counts leave room for a tally.
+    assert vote_numbers([HAS_TALLY, tally, IS_MOTION | tally | HAS_RESULT, IS_MOTION]) == [-1, 1, -2, -3]
+
+
+def test_minutes_keep_partial_votes(spark):
+    got = votes_of(
+        spark,
+        "HF 1: x\nSenator Doe - Aye\nSenator Roe - Excused.\n8 Yeas and 0 Nays",
+        "Senator D'Oe-Øre moves the author's amendment be adopted. The motion did not prevail.\nSenator Doe moved to re-refer S.F. No. 0044 to Finance\non a 6-5 roll call\nRoll call vote: 3 to 4. Motion prevails",
+        None, "", "Nothing happened.\nThe motion prevailed.", "Ayes: Doe; Nays: none\r\nYeas: Roe, Poe. Nays: Coe",
+    )
+    keep = [(r["id"], r["vote"], r["form"], r["bill"], r["kind"], r["method"], r["outcome"], r["yeas"], r["nays"], r["names_match"]) for r in got]
+    assert keep == [
+        (0, 1, "tally_only", "HF1", "motion", "roll_call", None, 8, 0, False),
+        (1, 1, "narrative", None, "amendment", "unknown", "failed", None, None, None),
+        (1, 2, "narrative", "SF44", "procedural", "roll_call", None, 6, 5, None),
+        (1, 3, "tally_only", None, "motion", "roll_call", "passed", 3, 4, None),
+        (5, 1, "tally_only", None, "motion", "roll_call", None, 3, 2, None),
+    ]
+    assert [(m["name"], m["choice"]) for m in got[0]["members"]] == [("Doe", "yea"), ("Roe", "other")]
+    assert (got[1]["mover"], got[1]["amendment"]) == ("D'Oe-Øre", "author") and [m["name"] for m in got[4]["members"]] == ["Doe", "none", "Roe", "Poe", "Coe"]
