@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import details, forecasting, histories, ingestion, journals, models, parsers, rates, relational, scoring, texts  # noqa: F401  registers their queries
+from .plans import details, forecasting, histories, ingestion, journals, models, parsers, rates, relational, scoring, statements, texts  # noqa: F401  registers their queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "strict_prior_scorecard"

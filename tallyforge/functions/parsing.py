@@ -63,30 +63,3 @@ def all_keys(value: Column, keys: list[str]) -> Column:
 def json_list(value: Column, schema: str) -> Column:
     """The rows of a JSON array; none if it is of another type."""
     return F.when(F.ltrim(value).startswith("["), F.from_json(value, f"array<{schema}>")).otherwise(F.array().cast(f"array<{schema}>"))
-
-
-#: What an explicit statement reads like.
-SUPPORT = r"\b(?:supports?|supported|backs|endorses?|voted for|i urge passage of)\b"
-OPPOSE = r"\b(?:opposes?|opposed|voted against|rejects?)\b"
-NEGATED = r"\b(?:does not|do not|did not|cannot|can't|won't|never)\s+(?:support|back|endorse)\w*\b"
-
-
-def statement(excerpt: Column, bill: Column, name: Column, reach: int = 120) -> Column:
-    """supports, opposes or null: the stance on a bill that a text ascribes to a person (by name or as I).
-
-    Bill, stance and person stand within reach characters of each other and in one sentence; support that is denied opposes; a text with both stances says nothing.
-    """
-    text = F.lower(excerpt)
-    found = lambda p: F.regexp_instr(text, F.lit(p))
-    denied, for_, against = found(NEGATED), found(SUPPORT), found(OPPOSE)
-    within = (denied > 0) & (for_ >= denied) & (for_ < denied + F.length(F.regexp_extract(text, NEGATED, 0)))
-    for_ = F.when(within, 0).otherwise(for_)
-    against = F.when(against > 0, against).otherwise(denied)
-    at = F.when(for_ > 0, for_).otherwise(against)
-    bill_at = F.instr(text, F.lower(bill))
-    who = F.instr(text, F.lower(name))
-    who = F.when(who > 0, who).otherwise(found(r"\bi\b"))
-    near = (bill_at > 0) & (at > 0) & (who > 0) & (F.abs(at - bill_at) <= reach) & (F.abs(who - at) <= reach)
-    span = F.substr(excerpt, F.least(at, bill_at, who), F.greatest(at, bill_at, who) - F.least(at, bill_at, who) + 1)
-    one_sentence = ~F.regexp_replace(span, r"\b(?:Sen|Rep)\.\s+", "").rlike(r"[.!?]\s+[A-Z]")
-    return F.when(near & one_sentence & ((for_ > 0) != (against > 0)), F.when(for_ > 0, "supports").otherwise("opposes"))

@@ -1,4 +1,4 @@
-"""Parsers (SRC-03 to SRC-19, SRC-27, JOIN-22, FN-35, FN-38, PRJ-04, PRJ-10, PRJ-29, PRJ-31).
+"""Parsers (SRC-03 to SRC-09, SRC-11, SRC-17, SRC-19, SRC-27, JOIN-22, PRJ-04, PRJ-10, PRJ-29, PRJ-31).
 
 The driver's tables hold no journals or feeds, so each query writes rows of a table in the source's form and reads them back; the SQL gives the rows that went in.
 """
@@ -213,23 +213,6 @@ def join22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved_authors(read(spark, sf_dir, "customer").select(c.alias("id"), name.alias("name")), roster).select("id", "status")
 
 
-STATEMENTS = (
-    (0, "Sen. Doe supports HF{} without reserve.", "supports"), (1, "I oppose HF{} and always have.", "opposes"), (2, "Sen. Doe does not support HF{} at all.", "opposes"), (3, "HF{} was heard. Doe spoke.", None),
-    (4, "Doe supports the rules. Later HF{} came up.", None), (5, "Doe supports parts of HF{} but opposes the rest.", None), (6, "Somebody supports HF{} here.", None),
-)
-
-
-@query("fn38_explicit_statements", "SELECT event_id, 'HF' || event_id AS bill, CASE event_id % 7 WHEN 0 THEN 'supports' WHEN 1 THEN 'opposes' ELSE 'opposes' END AS stance FROM events WHERE event_id % 7 <= 2")
-def fn38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stances on bills that texts ascribe to a member, by attribution, distance and sentence."""
-    i = F.col("event_id")
-    text = F.lit("")
-    for k, t, _ in STATEMENTS:
-        text = F.when(i % 7 == k, F.concat(F.lit(t.split("{}")[0]), i, F.lit(t.split("{}")[1]))).otherwise(text)
-    e = read(spark, sf_dir, "events").select("event_id", text.alias("t")).withColumn("bill", F.get(P.bill_numbers(F.col("t")), F.lit(0)))
-    return e.select("event_id", "bill", P.statement(F.col("t"), F.col("bill"), F.lit("Doe")).alias("stance")).where("stance IS NOT NULL")
-
-
 @query("prj04_json_containment", "SELECT event_id, event_type = 'view' AND user_id % 2 = 0 AS held FROM events")
 def prj04(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = F.to_json(F.struct(F.col("event_type").alias("kind"), (F.col("user_id") % 2).cast("string").alias("side"), F.lit("x").alias("more")))

@@ -307,17 +307,6 @@ def test_authors_are_resolved_by_the_first_rung_with_a_match(spark):
     assert got[5][0] == got[7][0] == got[8][0] == "unresolved" and got[6] == ("resolved", 2, "token_subset")
 
 
-def test_statements_need_attribution_distance_and_one_sentence(spark):
-    from tallyforge.functions.parsing import statement
-
-    texts = [
-        ("Sen. Doe supports HF12 today.", "supports"), ("I oppose HF12.", "opposes"), ("Doe cannot support HF12.", "opposes"), ("Doe supports HF12 and opposes nothing else.", None), ("Doe spoke. Others support HF12.", None),
-        ("Doe supports this. " + "x " * 100 + "HF12", None), ("Nobody supports HF12.", None), ("Doe mentioned HF12.", None),
-    ]
-    got = [r["s"] for r in spark.createDataFrame(list(enumerate(t for t, _ in texts)), "i int, t string").orderBy("i").select(statement(F.col("t"), F.lit("HF12"), F.lit("Doe")).alias("s")).collect()]
-    assert got == [s for _, s in texts]
-
-
 def test_budget_and_locale_and_folding(spark):
     from tallyforge.operators.evidence import admitted_within
 
