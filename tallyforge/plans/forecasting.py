@@ -581,14 +581,15 @@ BODY = 120_000
 
 @query(
     "fn17_substantive_tokens",
-    rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Preamble words. BE IT ENACTED BY THE LEGISLATURE: ' WHEN doc_id % 3 = 1 THEN 'Title here' || chr(10) || 'WHEREAS, <b>things</b> &amp; such; ' ELSE '' END || text AS text FROM documents WHERE NOT regexp_matches(text, '(?i)BE IT ENACTED|WHEREAS')),
-b AS (SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN substr(text, 17) WHEN doc_id % 3 = 1 THEN substr(text, 11) ELSE text END, {BODY}) AS body FROM d),
+    rf"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Preamble words. BE IT ENACTED BY THE LEGISLATURE: ' WHEN doc_id % 3 = 1 THEN 'Title here' || chr(10) || 'WHEREAS, <b>things</b> &amp; such; ' ELSE '' END || text AS text FROM documents),
+p AS (SELECT doc_id, text, strpos(lower(text), 'be it enacted') AS clause, strpos(lower(text), 'whereas') AS reason FROM d),
+b AS (SELECT doc_id, left(CASE WHEN clause > 0 THEN substr(text, clause) WHEN reason > 0 THEN substr(text, reason) ELSE text END, {BODY}) AS body FROM p),
 w AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(body), '<[^>]+>', ' ', 'g'), '&[a-z0-9#]+;', ' ', 'g'), '[^a-z]+', ' ', 'g')), ' '), lambda x: len(x) BETWEEN 4 AND 24) AS k FROM b)
 SELECT doc_id, least(600, len(list_distinct(k)))::INTEGER AS n, coalesce(k[1], '') AS first FROM w""",
 )
 def fn17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct words of the body, which begins at the enacting clause, else at the first WHEREAS, else with the text; 600 at most, in order."""
+    """Distinct words of the body, which begins at the enacting clause, else at the first WHEREAS, else with the text; 600 at most, in order.  All documents, whatever markers they hold."""
     lead = F.when(F.col("doc_id") % 3 == 0, "Preamble words. BE IT ENACTED BY THE LEGISLATURE: ").when(F.col("doc_id") % 3 == 1, "Title here\nWHEREAS, <b>things</b> &amp; such; ").otherwise("")
-    d = read(spark, sf_dir, "documents").where(~F.col("text").rlike("(?i)BE IT ENACTED|WHEREAS")).select("doc_id", F.concat(lead, "text").alias("text"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.concat(lead, "text").alias("text"))
     k = T.body_tokens(F.col("text"), BODY)
     return d.select("doc_id", k.alias("k")).select("doc_id", F.size(F.slice(F.array_distinct("k"), 1, 600)).alias("n"), F.coalesce(F.get("k", F.lit(0)), F.lit("")).alias("first"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import policy as B
 from ..functions.numeric import entropy_bits, logistic, logit
 from ..operators.asof import rejoin, strict_prior_days
 from ..operators.distribution import chamber
@@ -230,46 +231,61 @@ def str03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.select("c_custkey", F.when(F.col("n") == 1, F.col("e")).alias("resolved_by"), F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").otherwise("open").alias("status"))
 
 
-# Terms that are counted, and topics of which the first that is found counts.
-TERMS = [
-    r"\bsports bet(?:ting)?\b", r"\bsports wager(?:ing|s)?\b", r"\blawful gambling\b", r"\bcharitable gambling\b", r"\bgambling\b", r"\bwager(?:ing|s|ed)?\b", r"\blottery\b", r"\bcasino(?:s)?\b", r"\bbingo\b", r"\braffle(?:s)?\b",
-    r"\bpull[- ]tabs?\b", r"\bhorse racing\b", r"\bhistorical horse racing\b", r"\bpari[- ]mutuel\b",
-]
-TOPICS = {
-    "prediction_markets": r"\bprediction markets?\b",
-    "sweepstakes": r"\bsweepstakes\b",
-    "election_betting": r"\bbetting on elections?\b",
-    "sports_betting": r"\bsports bet(?:ting)?\b|\bsports wager(?:ing|s)?\b",
-    "horse_racing": r"\bhistorical horse racing\b|\bhorse racing\b|\bpari[- ]mutuel\b",
-    "lottery": r"\blottery\b",
-    "charitable_gambling": r"\bcharitable gambling\b|\blawful gambling\b|\bbingo\b|\braffle(?:s)?\b|\bpull[- ]tabs?\b",
-    "casino_gaming": r"\bcasino(?:s)?\b",
-    "fantasy_sports": r"\bfantasy sports\b",
-}
 PLANTED = ("", "A bill on sports betting and wagering taxes of 12.5 percent", "Raffle and bingo rules; lawful gambling", "The state lottery", "Betting on elections is a crime", "Wetlands, with one casino mentioned", "Historical horse racing at 3% of revenue")
 PLANTED_SQL = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(PLANTED)) + " END"
-HITS_SQL = " + ".join(f"len(regexp_extract_all(text, '(?i){t}'))" for t in TERMS)
-TITLE_HIT_SQL = " OR ".join(f"regexp_matches(title, '(?i){t}')" for t in TERMS)
+HITS_SQL = " + ".join(f"len(regexp_extract_all(text, '(?i){t}'))" for t in B.TERMS)
+TITLE_HIT_SQL = " OR ".join(f"regexp_matches(title, '(?i){t}')" for t in B.DIRECT)
 
 
 @query(
     "fn19_gambling_terms",
     rf"""WITH d AS (SELECT doc_id, {PLANTED_SQL} AS title, {PLANTED_SQL} || chr(10) || text AS text FROM documents), h AS (SELECT *, {HITS_SQL} AS hits, {TITLE_HIT_SQL} AS direct, regexp_matches(title, '(?i)\bbetting on elections?\b') AS elections FROM d)
-SELECT doc_id, hits::INTEGER AS hits, CASE WHEN direct THEN 'direct' WHEN elections OR hits >= 3 THEN 'embedded' ELSE 'mention' END AS scope, CASE {" ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p in TOPICS.items())} ELSE 'other_gambling' END AS topic,
+SELECT doc_id, hits::INTEGER AS hits, CASE WHEN direct THEN 'direct' WHEN elections OR hits >= 3 THEN 'embedded' ELSE 'mention' END AS scope, CASE {" ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN '{n}'" for n, p in B.TOPICS.items())} ELSE 'other_gambling' END AS topic,
   coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(title, '(?i)(\d+(?:\.\d+)?)\s*(?:%|percent)', 1))), ','), '') AS percents FROM h WHERE direct OR elections OR hits > 0""",
 )
 def fn19(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much a text is about gambling: counted terms, scope by title, the first topic found, and percentages."""
     title = F.element_at(F.array(*map(F.lit, PLANTED)), (F.col("doc_id") % 7 + 1).cast("int"))
     d = read(spark, sf_dir, "documents").select("doc_id", title.alias("title"), F.concat(title, F.lit("\n"), "text").alias("text"))
-    hits = sum((F.regexp_count("text", F.lit(f"(?i){t}")) for t in TERMS[1:]), F.regexp_count("text", F.lit(f"(?i){TERMS[0]}")))
-    topic = F.lit("other_gambling")
-    for name, p in reversed(TOPICS.items()):
-        topic = F.when(F.col("text").rlike(f"(?i){p}"), name).otherwise(topic)
-    direct, elections = F.col("title").rlike("(?i)" + "|".join(TERMS)), F.col("title").rlike(r"(?i)\bbetting on elections?\b")
-    d = d.select("doc_id", "title", hits.alias("hits"), topic.alias("topic"), direct.alias("direct"), elections.alias("elections")).where("direct OR elections OR hits > 0")
+    d = d.select("doc_id", "title", B.term_hits(F.col("text")).alias("hits"), B.topic(F.col("text")).alias("topic")).withColumn("scope", B.scope(F.col("title"), F.col("hits"))).where("scope IS NOT NULL")
     percents = F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("title", F.lit(r"(?i)(\d+(?:\.\d+)?)\s*(?:%|percent)"), F.lit(1)))), ",")
-    return d.select("doc_id", "hits", F.when(F.col("direct"), "direct").when(F.col("elections") | (F.col("hits") >= 3), "embedded").otherwise("mention").alias("scope"), "topic", percents.alias("percents"))
+    return d.select("doc_id", "hits", "scope", "topic", percents.alias("percents"))
+
+
+DESIGNS = [
+    "Prediction markets; poker and fantasy sports prohibited",
+    "Sports betting|Tribal nations and a licensed operator may offer mobile sports betting and retail betting at a tax of 12.5 percent. They pay 20 percent of net as a tax and serve persons at least 21 years of age; up to 11 mobile licenses. Problem gambling and youth sports get a share.",
+    "Wetlands|A casino, a casino and bingo.",
+    "Horse racing|The license of a" + chr(10) + "racetrack. Mobile wagering is prohibited. In-game data by geofencing, at rates of 101 percent.",
+    "Schools|Nothing of the kind.",
+    "Betting on elections|Collegiate games may be wagered on; a constitutional amendment; the general fund",
+    "Lottery|Payments to tribes and Running Aces, a distribution of the racetrack; college games; not more than 3 operators; under 18 years of age. Retail wagering in a hall is not permitted",
+]
+#: Per text: hits, scope, topic, license, mobile, retail, track, rates, age, operators, college, recipients, flags.
+TOLD = [
+    (3, "direct", "prediction_markets", "unknown", None, None, "none", "", None, None, "unknown", "", ""),
+    (3, "direct", "sports_betting", "hybrid", True, True, "none", "12.5,20.0", 21, 11, "unknown", "problem_gambling,youth_sports,tribal_nations", "responsible_gaming_funding"),
+    (3, "embedded", "charitable_gambling", "unknown", None, None, "none", "", None, None, "unknown", "", ""),
+    (2, "direct", "horse_racing", "unknown", True, None, "licensee", "", None, None, "unknown", "horse_racing", "in_game_wagering,geolocation"),
+    None,
+    (2, "embedded", "election_betting", "unknown", None, None, "none", "", None, None, "allowed", "general_fund", "constitutional_amendment"),
+    (2, "direct", "lottery", "tribal_exclusive", None, True, "licensee", "", 18, 3, "prohibited", "horse_racing,tribal_nations", ""),
+]
+DESIGN_FIELDS = ("hits", "scope", "topic", "license_model", "mobile_allowed", "retail_allowed", "racetrack_role", "tax_rates", "minimum_age", "operator_count", "college_policy", "revenue_recipients", "policy_flags")
+
+
+def design_case_sql(i: int) -> str:
+    value = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int) else f"'{x}'"
+    return "CASE doc_id % 7 " + " ".join(f"WHEN {k} THEN {value(own[i])}" for k, own in enumerate(TOLD) if own) + " END"
+
+
+@query("fn19_design_fields", f"SELECT doc_id, {', '.join(f'{design_case_sql(i)} AS {name}' for i, name in enumerate(DESIGN_FIELDS))} FROM documents WHERE doc_id % 7 <> 4")
+def fn19_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve fields of a bill's design, of texts planted for the documents' ids."""
+    bill = F.get(F.array(*map(F.lit, DESIGNS)), (F.col("doc_id") % 7).cast("int"))
+    own = B.design(F.substring_index(bill, "|", 1), F.when(bill.contains("|"), F.substring_index(bill, "|", -1)))
+    d = read(spark, sf_dir, "documents").select("doc_id", own.alias("d")).where("d IS NOT NULL").select("doc_id", "d.*")
+    return d.select("doc_id", *(F.array_join(c, ",").alias(c) if c in ("tax_rates", "revenue_recipients", "policy_flags") else c for c in DESIGN_FIELDS))
 
 
 @query(
