@@ -32,6 +32,17 @@ def test_words_apart_give_the_ids_of_whole_texts(tokenizer, monkeypatch):
     assert [own.encode([t.encode()])[0] for t in ODD] == want
 
 
+def test_words_at_once_are_the_words_one_by_one(tokenizer):
+    from tallyforge.llm.packing import MARK
+
+    own, rng = WordIds(PATH), random.Random(4)
+    odd = [w for t in ODD for w in t.split()] + ["\u200b", "\x01", "\ufffd", "İ", "ﬁ", "e\u0301", "\u0301", "🙂", "<|endoftext|>", "x<|startoftext|>y", "'s", "１２"]
+    words = odd + ["".join(rng.choice("abcdefghijzé漢0'.-\u0301ß") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    alone = [np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    assert own.each(words) == alone
+    assert own.each([*words[:5], f"a{MARK}b", MARK, f"{MARK}{MARK}"])[:5] == alone[:5] and own.each([MARK]) == [own.mark.tobytes()] and own.each(["one"]) == [np.array(tokenizer.encode("one", add_special_tokens=False).ids, "<u4").tobytes()]
+
+
 def bins_of(plan, counts, capacity):
     """Contents of each bin as (offset, length), by following the plan's rows."""
     bins = defaultdict(list)
