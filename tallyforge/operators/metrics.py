@@ -57,11 +57,28 @@ def tied(forecasts: DataFrame, by: Sequence[str]) -> DataFrame:
     return forecasts.groupBy(*by, "p").agg(F.sum("outcome").alias("pos"), F.sum(1 - F.col("outcome")).alias("neg"))
 
 
+#: Ranges of p in which ranks are taken: a slice's rows are windowed a range at a time.
+RANGES = 4096
+
+
 def ranking(forecasts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """average_precision (null without positives) and roc_auc (null if one class is missing) by slice."""
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*by).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    rows = tied(forecasts, by).select(*by, "pos", "neg", F.sum("pos").over(down).alias("_tp"), F.sum(F.col("pos") + F.col("neg")).over(down).alias("_seen"), F.coalesce(F.sum("neg").over(up), F.lit(0)).alias("_below"))
+    """average_precision (null without positives) and roc_auc (null if one class is missing) by slice.
+
+    Works on a row per distinct p of a slice, in ranges of p: sums within a range, over what the ranges above and below hold, a row a range.  A null p is the lowest.
+    """
+    place = F.coalesce(F.least(F.lit(RANGES - 1), F.greatest(F.lit(0), F.floor(F.col("p") * RANGES))), F.lit(-1)).cast("int")
+    rows = tied(forecasts, by).withColumn("_range", place)
+    sums = rows.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    ascending = Window.partitionBy(*by).orderBy("_range")
+    both = Window.partitionBy(*by)
+    over = lambda c: F.sum(c).over(both) - F.sum(c).over(ascending)
+    sums = sums.select(*by, "_range", over("_pos").alias("_pos_over"), over("_neg").alias("_neg_over"), (F.sum("_neg").over(ascending) - F.col("_neg")).alias("_neg_under"))
+    rows = rows.alias("r").join(sums.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*by, "_range")]).select(*(F.col(f"r.{c}") for c in (*by, "_range", "p", "pos", "neg")), "_pos_over", "_neg_over", "_neg_under")
+    down = Window.partitionBy(*by, "_range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*by, "_range").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    tp = F.col("_pos_over") + F.sum("pos").over(down)
+    seen = tp + F.col("_neg_over") + F.sum("neg").over(down)
+    rows = rows.select(*by, "pos", "neg", tp.alias("_tp"), seen.alias("_seen"), (F.col("_neg_under") + F.coalesce(F.sum("neg").over(up), F.lit(0))).alias("_below"))
     pos, neg = F.sum("pos"), F.sum("neg")
     wins = F.sum(F.col("pos") * F.col("_below") + 0.5 * F.col("pos") * F.col("neg"))
     return rows.groupBy(*by).agg(

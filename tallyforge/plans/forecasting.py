@@ -11,6 +11,7 @@ from ..operators import token_eb as E
 from ..operators.asof import rejoin, strict_prior_days
 from ..operators.distribution import SIGMA, chamber, count_pmf, without_one, xorshift_simulated
 from ..operators.metrics import ranking, scorecard
+from ..operators.percentile import frozen_percentile
 from ..operators.rates import prior_counts, shrunk
 from ..sources.tables import VOTES_SQL, day_number, read, scratch, votes, written
 from .models import BIGRAM_TOKENS, LABELLED_SQL, labelled
@@ -306,18 +307,9 @@ SELECT p_partkey, round(CASE WHEN n = 1 THEN 0.5 WHEN x < a THEN 0 WHEN x > b TH
 def win13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place within a frozen reference: ties at their middle, other values between their neighbours."""
     part = read(spark, sf_dir, "part")
-    reference = part.where("p_brand = 'Brand#11'").groupBy((F.col("p_size") * 1.5).alias("v")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("v")
-    frozen = reference.select("v", "n", (F.sum("n").over(w) - F.col("n")).alias("lower"))  # a row for each distinct value of the reference
-    table = frozen.agg(F.array_sort(F.collect_list(F.struct("v", "lower", "n"))).alias("t"), F.sum("n").alias("all"))
-    x, t = F.col("x"), F.col("t")
-    below, here = F.filter(t, lambda r: r["v"] < x), F.filter(t, lambda r: r["v"] == x)
-    left, right = F.get(below, F.size(below) - 1), F.get(t, F.size(below))
-    between = (right["lower"] - 1 + (x - left["v"]) / (right["v"] - left["v"])) / (F.col("all") - 1)
-    tied = F.get(here, F.lit(0))
-    place = F.when(F.col("all") == 1, 0.5).when(F.size(below) + F.size(here) == 0, 0.0).when((F.size(here) == 0) & (F.size(below) == F.size(t)), 1.0).when(F.size(here) > 0, (tied["lower"] + (tied["n"] - 1) / 2) / (F.col("all") - 1)).otherwise(between)
-    rows = part.select("p_partkey", (F.col("p_size").cast("double") + F.col("p_partkey") % 3).alias("x")).crossJoin(F.broadcast(table))
-    return rows.select("p_partkey", F.round(place, 6).alias("percentile"))
+    rows = part.select("p_partkey", (F.col("p_size").cast("double") + F.col("p_partkey") % 3).alias("x"))
+    found = frozen_percentile(rows, "x", part.where("p_brand = 'Brand#11'").select((F.col("p_size") * 1.5).alias("v")), "v")
+    return found.select("p_partkey", F.round("percentile", 6).alias("percentile"))
 
 
 @query("dst06_baseline_simulation")

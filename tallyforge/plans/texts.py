@@ -114,11 +114,31 @@ def fn10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", F.round(jaccard(F.col("ka"), F.col("kb")), 6).alias("jaccard"))
 
 
-@query("fn11_size_similarity", "SELECT a.p_partkey AS a, b.p_partkey AS b, round(least(a.p_size, b.p_size) / greatest(a.p_size, b.p_size), 6) AS similarity FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey")
+@query(
+    "fn11_size_similarity",
+    """WITH x AS (SELECT a.p_partkey AS a, b.p_partkey AS b, least(a.p_size, b.p_size) / greatest(a.p_size, b.p_size) AS s, b.p_size AS size FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
+SELECT a, arg_min(b, (-s, size, b)) AS closest, round(max(s), 6) AS similarity, count(*) AS partners FROM x GROUP BY a""",
+)
 def fn11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's closest partner of its type and brand by size (the smaller size, then the smaller id, of equals), and how many partners it has.
+
+    The ratio of two sizes falls with their distance, so the closest has the same size or a neighbouring one: sizes are sorted within a type and brand, and no pairs are made.
+    """
     p = read(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand", "p_size")
-    a, b = (p.select(F.col("p_partkey").alias(n), "p_type", "p_brand", F.col("p_size").alias(f"s{n}")) for n in "ab")
-    return a.join(b, ["p_type", "p_brand"]).where("a < b").select("a", "b", F.round(size_similarity(F.col("sa"), F.col("sb")), 6).alias("similarity"))
+    kind = ["p_type", "p_brand"]
+    sizes = p.groupBy(*kind, "p_size").agg(F.min("p_partkey").alias("id"), F.count("*").alias("n"))
+    second = p.join(sizes.select(*kind, "p_size", "id"), [*kind, "p_size"]).where(F.col("p_partkey") != F.col("id")).groupBy(*kind, "p_size").agg(F.min("p_partkey").alias("second"))
+    sizes = sizes.join(second, [*kind, "p_size"], "left")
+    w = Window.partitionBy(*kind).orderBy("p_size")
+    at = lambda f: f(F.struct("p_size", "id")).over(w)
+    sizes = sizes.select("*", at(F.lag).alias("below"), at(F.lead).alias("above"), F.sum("n").over(Window.partitionBy(*kind)).alias("all"))
+    r = p.join(sizes, [*kind, "p_size"]).where(F.col("all") > 1)
+    same = F.when(F.col("n") > 1, F.when(F.col("id") == F.col("p_partkey"), F.col("second")).otherwise(F.col("id")))
+    down, up = size_similarity(F.col("p_size"), F.col("below.p_size")), size_similarity(F.col("p_size"), F.col("above.p_size"))
+    lower = F.col("above").isNull() | (F.col("below").isNotNull() & (down >= up))
+    closest = F.when(same.isNotNull(), same).when(lower, F.col("below.id")).otherwise(F.col("above.id"))
+    similarity = F.when(same.isNotNull(), 1.0).when(lower, down).otherwise(up)
+    return r.select(F.col("p_partkey").alias("a"), closest.alias("closest"), F.round(similarity, 6).alias("similarity"), (F.col("all") - 1).alias("partners"))
 
 
 BILLS_SQL = f"""k AS (

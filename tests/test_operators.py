@@ -219,7 +219,6 @@ def test_the_flagship_reads_votes_once_more_than_its_daily_sums(spark):
 
 
 def test_the_nearest_rows_are_cut_exactly(spark):
-    import random
 
     from tallyforge.plans.scoring import nearest
 
@@ -314,3 +313,50 @@ def test_budget_and_locale_and_folding(spark):
     got = {r["i"]: r["admitted"] for r in admitted_within(spark.createDataFrame(rows, "k long, t long, i long"), "k", "t", "i", most=2, span=10).collect()}
     assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
     assert value(spark, T.person_key(F.lit("Łukasz Šimůnek-Ő"))) is not None and value(spark, T.plain_ascii(F.lit("Šimůnek Őry Ştefan é"))) == "simunek ory stefan e"
+
+
+def test_percentiles_within_ranges_are_those_of_the_whole(spark):
+
+    from tallyforge.operators.percentile import frozen_percentile
+
+    rng = random.Random(8)
+    nan = float("nan")
+    for reference, ranges in (([rng.randrange(40) * 1.5 for _ in range(200)] + [None, nan], 16), ([3.0], 4), ([1.0, 1.0, 9.0], 512), ([], 8), ([5.0] * 50 + [6.0], 7), ([rng.random() for _ in range(60)], 1)):
+        known = sorted(v for v in reference if v is not None and v == v)
+        n = len(known)
+
+        def place(x):
+            if x is None or x != x or not n:
+                return None
+            lower, same = sum(v < x for v in known), sum(v == x for v in known)  # noqa: B023
+            if n == 1:  # noqa: B023
+                return 0.5
+            if same:
+                return (lower + (same - 1) / 2) / (n - 1)  # noqa: B023
+            if lower in (0, n):  # noqa: B023
+                return float(lower > 0)
+            return (lower - 1 + (x - known[lower - 1]) / (known[lower] - known[lower - 1])) / (n - 1)  # noqa: B023
+
+        xs = [None, nan, -5.0, 1e9, 0.0, *(rng.uniform(-2, 62) for _ in range(80)), *(rng.randrange(40) * 1.5 for _ in range(40)), 5.5, 5.0, 5.0]
+        rows = spark.createDataFrame(list(enumerate(xs)), "i int, x double")
+        got = {r["i"]: r["percentile"] for r in frozen_percentile(rows, "x", spark.createDataFrame([(v,) for v in reference], "v double"), "v", ranges).collect()}
+        assert len(got) == len(xs)
+        for i, x in enumerate(xs):
+            assert got[i] == (None if place(x) is None else pytest.approx(place(x))), (x, ranges, n)
+
+
+def test_ranks_in_ranges_are_those_of_the_whole(spark, monkeypatch):
+
+    from tallyforge.operators import metrics
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "b", None]), round(rng.random(), 2), int(rng.random() < 0.4)) for _ in range(300)] + [("c", 0.5, 1), ("d", 0.5, 0), ("a", 1.0, 1), ("a", 0.0, 0)]
+    df = spark.createDataFrame(rows, "s string, p double, outcome int")
+    for n in (4096, 3, 1):
+        monkeypatch.setattr(metrics, "RANGES", n)
+        for r in metrics.ranking(df, ["s"]).collect():
+            own = [(p, y) for s, p, y in rows if s == r["s"]]
+            pos, neg = [p for p, y in own if y], [p for p, y in own if not y]
+            auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+            ap = sum(sum(x >= p for x in pos) / sum(x >= p for x, _ in own) for p in pos) / len(pos) if pos else None
+            assert r["roc_auc"] == (None if auc is None else pytest.approx(auc)) and r["average_precision"] == (None if ap is None else pytest.approx(ap))
