@@ -1,13 +1,14 @@
-"""Durable histories (STR-04, STR-06, UDF-04, FN-32, FN-33): streams in several batches with late rows, tables that only grow, digests."""
+"""Durable histories and dossiers (STR-04, STR-06, UDF-04, FN-32, FN-33, §2.14): streams in several batches with late rows, tables that only grow, digests."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.canonical import canonical_json, vector_digest
+from ..operators.dossier import dossiers, section
 from ..operators.ledger import Ledger, Refused
-from ..sources.tables import read, scratch
+from ..sources.tables import day_number, read, scratch, votes, written
 from ..streaming.histories import closed_sums, driven, running_counts, superseding, versions
 from .registry import query
 
@@ -109,3 +110,43 @@ def fn33(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of vectors of chances in 17 significant digits."""
     p = (F.col("event_id") % 997 + 1).cast("double") / (F.lit(1013.0) + F.col("user_id") % 50)
     return read(spark, sf_dir, "events").withColumn("p", p).groupBy("user_id").agg(F.count("*").alias("n"), vector_digest(F.col("event_id"), F.col("p")).alias("digest"))
+
+
+#: The last day that a dossier knows, the issue that it is on, and the lengths of its sections.
+ASOF, ISSUE, VOTES, PEERS, EVIDENCE, SHARED = 10900, "1-URGENT", 6, 5, 4, 2
+
+
+@query(
+    "api_issue_dossier",
+    f"""WITH v AS (SELECT l_suppkey AS member_id, l_orderkey AS event_id, n_regionkey AS party, (o_orderdate::DATE - DATE '1970-01-01')::INTEGER AS day, min((l_returnflag <> 'R')::INTEGER) AS yea
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE o_orderpriority = '{ISSUE}' AND (o_orderdate::DATE - DATE '1970-01-01') <= {ASOF} GROUP BY ALL),
+g AS (SELECT event_id, party, sum(yea) AS y, count(*) - sum(yea) AS n FROM v GROUP BY ALL),
+w AS (SELECT v.*, CASE WHEN y > n THEN yea = 1 WHEN n > y THEN yea = 0 END AS aligned, row_number() OVER (PARTITION BY member_id ORDER BY day DESC, event_id) AS rank FROM v JOIN g USING (event_id, party)),
+p AS (SELECT a.member_id, b.member_id AS peer, count(*) AS shared, sum((a.yea = b.yea)::INTEGER)::BIGINT AS agreed FROM v a JOIN v b ON a.event_id = b.event_id AND a.member_id <> b.member_id GROUP BY ALL HAVING count(*) >= {SHARED}),
+q AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY agreed / shared DESC, shared DESC, peer) AS rank FROM p),
+e AS (SELECT user_id AS member_id, event_id, event_type AS kind, value >= 50 AS supports, (ts::DATE - DATE '1970-01-01')::INTEGER AS day FROM events),
+s AS (SELECT *, lead(day) OVER (PARTITION BY member_id, kind, supports ORDER BY day, event_id) AS next FROM e),
+x AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY day DESC, event_id DESC) AS rank FROM s WHERE day <= 19750 AND (kind = 'purchase' OR next IS NULL OR next > 19750)),
+d AS (SELECT s_suppkey AS member_id,
+  coalesce((SELECT string_agg('{{"event_id":' || event_id || ',"day":' || day || ',"yea":' || yea || ',"aligned":' || coalesce(aligned::VARCHAR, 'null') || '}}', ',' ORDER BY rank) FROM w WHERE w.member_id = s_suppkey AND rank <= {VOTES}), '') AS votes,
+  coalesce((SELECT string_agg('{{"peer":' || peer || ',"shared":' || shared || ',"agreed":' || agreed || '}}', ',' ORDER BY rank) FROM q WHERE q.member_id = s_suppkey AND rank <= {PEERS}), '') AS peers,
+  coalesce((SELECT string_agg('{{"event_id":' || event_id || ',"kind":"' || kind || '","supports":' || supports || ',"day":' || day || '}}', ',' ORDER BY rank) FROM x WHERE x.member_id = s_suppkey AND rank <= {EVIDENCE}), '') AS evidence FROM supplier)
+SELECT member_id, '{{"votes":[' || votes || '],"peers":[' || peers || '],"evidence":[' || evidence || ']}}' AS document FROM d""",
+)
+def issue_dossier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A member's votes on an issue with the party's side, the members who vote alike, and evidence that is not superseded (statements stay), all as of a day."""
+    issue = read(spark, sf_dir, "orders").where(F.col("o_orderpriority") == ISSUE).select(F.col("o_orderkey").alias("event_id"))
+    v = votes(spark, sf_dir).where(F.col("day") <= ASOF).join(issue, "event_id", "left_semi")
+    v = written(v.groupBy("member_id", "event_id", "party", "day").agg(F.min("outcome").alias("yea")))
+    g = v.groupBy("event_id", "party").agg(F.sum("yea").alias("y"), F.count_if(F.col("yea") == 0).alias("n"))
+    aligned = F.when(F.col("y") > F.col("n"), F.col("yea") == 1).when(F.col("n") > F.col("y"), F.col("yea") == 0)
+    cast = section(v.join(g, ["event_id", "party"]).withColumn("aligned", aligned), "votes", [-F.col("day"), F.col("event_id")], ["event_id", "day", "yea", "aligned"], VOTES)
+    other = v.select("event_id", F.col("member_id").alias("peer"), F.col("yea").alias("other"))
+    alike = v.join(other, "event_id").where("peer <> member_id").groupBy("member_id", "peer").agg(F.count("*").alias("shared"), F.count_if(F.col("yea") == F.col("other")).alias("agreed")).where(F.col("shared") >= SHARED)
+    peers = section(alike, "peers", [-(F.col("agreed") / F.col("shared")), -F.col("shared"), F.col("peer")], ["peer", "shared", "agreed"], PEERS)
+    e = read(spark, sf_dir, "events").select(F.col("user_id").alias("member_id"), "event_id", F.col("event_type").alias("kind"), (F.col("value") >= 50).alias("supports"), day_number("ts").alias("day"))
+    later = F.lead("day").over(Window.partitionBy("member_id", "kind", "supports").orderBy("day", "event_id"))
+    known = e.withColumn("next", later).where("day <= 19750 AND (kind = 'purchase' OR next IS NULL OR next > 19750)")
+    evidence = section(known, "evidence", [-F.col("day"), -F.col("event_id")], ["event_id", "kind", "supports", "day"], EVIDENCE)
+    members = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("member_id"))
+    return dossiers(members, {"votes": cast, "peers": peers, "evidence": evidence})

@@ -131,3 +131,16 @@ def test_json_of_equal_values_is_spelled_one_way(spark):
     texts = ['{"b":1,"a":{"d":[1,{"z":"1.0, x","y":2}],"c":null}}', '{ "a": {"c":null, "d":[1.0,{"y":2.00,"z":"1.0, x"}]}, "b":1e0}', "[3,2]", "no", None, '{"a":1,"a":2}', '"\\u00e9\\"1.0]"']
     got = [r["c"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(canonical_json(F.col("t")).alias("c")).collect()]
     assert got == ['{"a":{"c":null,"d":[1,{"y":2,"z":"1.0, x"}]},"b":1}'] * 2 + ["[3,2]", None, None, None, '"é\\"1.0]"']
+
+
+def test_a_dossier_holds_the_first_rows_of_each_section(spark):
+    from tallyforge.operators.dossier import dossiers, section
+
+    votes = spark.createDataFrame([(1, d, f"v{d}", None) for d in range(9)] + [(2, 5, 'q"', 1), (None, 1, "x", 1), (1, 8, "v8", None)], "member_id int, day int, what string, n int")
+    notes = spark.createDataFrame([(3, 1)], "member_id int, k int")
+    members = spark.createDataFrame([(1,), (2,), (3,), (4,)], "member_id int")
+    parts = {"votes": section(votes, "votes", [-F.col("day")], ["what", "n"], 3), "notes": section(notes, "notes", [F.col("k")], ["k"], 1)}
+    got = {r["member_id"]: json.loads(r["document"]) for r in dossiers(members, parts).collect()}
+    assert got[1] == {"votes": [{"what": w, "n": None} for w in ("v8", "v8", "v7")], "notes": []} and got[2] == {"votes": [{"what": 'q"', "n": 1}], "notes": []}
+    assert got[3] == {"votes": [], "notes": [{"k": 1}]} and got[4] == {"votes": [], "notes": []}
+    assert dossiers(members.where("false"), parts).count() == 0
