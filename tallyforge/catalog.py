@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import details, durable, forecasting, histories, ingestion, journals, models, parsers, participation, rates, relational, scoring, statements, texts  # noqa: F401  registers their queries
+from .plans import admission, details, durable, forecasting, histories, ingestion, journals, models, parsers, participation, rates, relational, scoring, statements, texts  # noqa: F401  registers their queries
 from .plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "strict_prior_scorecard"
