@@ -255,14 +255,14 @@ def test_bare_names_that_overlap_and_chain(spark):
 
 
 def test_very_many_names_in_one_text(spark):
-    """Five megabytes of names take one pass: a whole text of them is done in the time of a few small ones."""
+    """A long text of names takes one pass: thirty times the text, with eight times the names, is far from thirty times eight times the work."""
     import time
 
     alphabet = [a + b for a in "bdfghklmnprst" for b in "aeiou"]
-    names = [f"{alphabet[i % 65].capitalize()}{alphabet[i // 65 % 65]}{alphabet[i // 4225]} Q{alphabet[i % 65]}{alphabet[i // 65 % 65]}x" for i in range(20_000)]
-    small = " and ".join(f"Mr {n}" for n in names[:2000]) + ". " + ", ".join(names[:2000])
+    names = [f"{alphabet[i % 65].capitalize()}{alphabet[i // 65 % 65]}{alphabet[i // 4225]} Q{alphabet[i % 65]}{alphabet[i // 65 % 65]}x" for i in range(8000)]
+    small = " and ".join(f"Mr {n}" for n in names[:1000]) + ". " + ", ".join(names[:1000])
     large = (" and ".join(f"Mr {n}" for n in names) + ". " + ", ".join(names * 9))
-    assert len(large) > 3_000_000
+    assert len(large) > 30 * len(small)
     persons_of(spark, [small])
     took = []
     for text in (small, large):
@@ -270,4 +270,4 @@ def test_very_many_names_in_one_text(spark):
         out = persons_of(spark, [text])[0]
         took.append(time.time() - began)
         assert not any(n.split(" ")[1] in out for n in names[:50]) and out.count(" and ") == text.count(" and ")
-    assert took[1] < 40 * (took[0] + 3)
+    assert took[1] < 20 * (took[0] + 3)
