@@ -360,3 +360,31 @@ def test_ranks_in_ranges_are_those_of_the_whole(spark, monkeypatch):
             auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
             ap = sum(sum(x >= p for x in pos) / sum(x >= p for x, _ in own) for p in pos) / len(pos) if pos else None
             assert r["roc_auc"] == (None if auc is None else pytest.approx(auc)) and r["average_precision"] == (None if ap is None else pytest.approx(ap))
+
+
+PARTS = [(1, "T", "B", 4), (2, "T", "B", 4), (3, "T", "B", 8), (4, "T", "B", 8), (5, "T", "B", 3), (6, "T", "B", 0), (7, "T", "B", 0), (8, "T", "C", 4), (9, "U", "B", 4), (10, None, "B", 4), (11, None, "B", 4), (12, "T", "C", 50)]
+
+
+def test_every_two_parts_find_their_similarity_by_their_classes(spark, same, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from tallyforge import catalog
+
+    pd.DataFrame(PARTS, columns=["p_partkey", "p_type", "p_brand", "p_size"]).to_parquet(tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    found = catalog.QUERIES["fn11_size_similarity"](spark, str(tmp_path))
+    same(found, con.execute(catalog.ORACLE_SQL["fn11_size_similarity"]).df())
+    rows = found.collect()
+    own = {r["a"]: (r["b"], r["similarity"], r["links"]) for r in rows if r["form"] == "member"}
+    between = {(r["a"], r["b"]): r["similarity"] for r in rows if r["form"] == "pair"}
+    got = {}
+    for a, (x, s, n) in own.items():
+        for b, (y, _, _) in own.items():
+            if a < b and n and (x == y or (min(x, y), max(x, y)) in between):
+                got[a, b] = s if x == y else between[min(x, y), max(x, y)]
+    want = {(a, b): round(1.0 if s == t == 0 else min(s, t) / max(s, t), 6) for a, k, l, s in PARTS for b, m, n, t in PARTS if a < b and k and (k, l) == (m, n)}
+    assert got == want and set(own) == {p[0] for p in PARTS}
+    assert {a: n for a, (_, _, n) in own.items()} == {p[0]: sum(p[0] in pair for pair in want) for p in PARTS}
+    assert sum(r["links"] for r in rows if r["form"] == "pair") == sum(own[a][0] != own[b][0] for a, b in want)
