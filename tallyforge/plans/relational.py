@@ -159,18 +159,14 @@ def join21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join25_contradictions",
-    """WITH e AS (SELECT event_id, user_id, event_type, value >= 50 AS supports, ts::DATE AS d FROM events),
-k AS (SELECT user_id, event_type, d, min(event_id) FILTER (WHERE supports) AS f, min(event_id) FILTER (WHERE NOT supports) AS a, count(*) FILTER (WHERE supports) AS nf, count(*) FILTER (WHERE NOT supports) AS na FROM e GROUP BY ALL)
-SELECT event_id, least(f, a) AS class_id, CASE WHEN supports THEN a ELSE f END AS against_id, CASE WHEN supports THEN na ELSE nf END AS n_against FROM e JOIN k USING (user_id, event_type, d) WHERE nf > 0 AND na > 0""",
+    """WITH e AS (SELECT event_id, user_id, event_type, value >= 50 AS supports, ts::DATE AS d FROM events)
+SELECT a.event_id AS first_id, b.event_id AS second_id FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.d = b.d AND a.supports <> b.supports AND a.event_id < b.event_id""",
 )
 def join25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that others of their key and day contradict: each with its class (the key's smallest id), the first row against it and how many there are; pairs are not written out."""
-    keys = ["user_id", "event_type", "d"]
+    """Every pair of rows of a key and day that contradict each other.  The sides meet by an equality join, so that pairs of one side are never made."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", (F.col("value") >= 50).alias("supports"), F.to_date("ts").alias("d"))
-    side = lambda s: F.when(F.col("supports") == s, F.col("event_id"))
-    k = e.groupBy(*keys).agg(F.min(side(True)).alias("f"), F.min(side(False)).alias("a"), F.count(side(True)).alias("nf"), F.count(side(False)).alias("na")).where("nf > 0 AND na > 0")
-    other = lambda yes, no: F.when(F.col("supports"), F.col(yes)).otherwise(F.col(no))
-    return e.join(k, keys).select("event_id", F.least("f", "a").alias("class_id"), other("a", "f").alias("against_id"), other("na", "nf").alias("n_against"))
+    b = e.select(F.col("event_id").alias("second_id"), "user_id", "event_type", (~F.col("supports")).alias("supports"), "d")
+    return e.join(b, ["user_id", "event_type", "d", "supports"]).where("event_id < second_id").select(F.col("event_id").alias("first_id"), "second_id")
 
 
 @query(

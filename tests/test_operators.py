@@ -388,3 +388,20 @@ def test_every_two_parts_find_their_similarity_by_their_classes(spark, same, tmp
     assert got == want and set(own) == {p[0] for p in PARTS}
     assert {a: n for a, (_, _, n) in own.items()} == {p[0]: sum(p[0] in pair for pair in want) for p in PARTS}
     assert sum(r["links"] for r in rows if r["form"] == "pair") == sum(own[a][0] != own[b][0] for a, b in want)
+
+
+def test_contradictions_are_all_pairs_of_opposite_sides(spark, same, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from tallyforge import catalog
+
+    at = pd.Timestamp("2024-01-05 10:00")
+    rows = [(1, 7, "view", 80.0, at), (2, 7, "view", 50.0, at), (3, 7, "view", 10.0, at), (4, 7, "view", 49.9, at), (5, 7, "view", None, at), (6, 7, "buy", 10.0, at), (7, 8, "view", 10.0, at), (8, 7, "view", 90.0, at + pd.Timedelta(days=1)), (9, None, "view", 90.0, at), (10, None, "view", 9.0, at)]
+    events = pd.DataFrame(rows, columns=["event_id", "user_id", "event_type", "value", "ts"]).astype({"user_id": "Int64"})
+    events.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    found = catalog.QUERIES["join25_contradictions"](spark, str(tmp_path))
+    same(found, con.execute(catalog.ORACLE_SQL["join25_contradictions"]).df())
+    assert sorted((r["first_id"], r["second_id"]) for r in found.collect()) == [(1, 3), (1, 4), (2, 3), (2, 4)]
