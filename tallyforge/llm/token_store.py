@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_count, column_bytes, gathered, map_texts, materialize, scratch, slices, table
+from .common import bucket_count, column_bytes, map_texts, materialize, scratch, slices, table
 from .packing import WordIds
 
 MAGIC, END_ID, RANK_BITS = b"DAC1", 2, 512
@@ -32,7 +32,7 @@ MAGIC, END_ID, RANK_BITS = b"DAC1", 2, 512
 SEGMENT_IDS, FILE_BYTES, DECODED = 1 << 20, 32 << 20, 1 << 17
 BROADCAST_ROWS = 100_000
 #: Words that a Python worker remembers, and bytes of texts that it takes at a time.
-REMEMBERED, SLICE_BYTES = 500_000, 8 << 20
+REMEMBERED, SLICE_BYTES = 1_200_000, 2 << 20
 NULL_ID, GOES_ON = 1, 2
 
 
@@ -209,10 +209,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         def out(segment: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([segment[:-1]], pa.binary())], ["value"])
 
-        for batch in slices(gathered(batches, "_text", SLICE_BYTES), "_text", SLICE_BYTES):
-            texts = [t or b"" for t in column_bytes(batch, "_text")]
-            for doc, data in zip(batch.column(0).to_pylist(), ids.encode(texts), strict=True):
-                yield from map(out, own.add(doc, data + end))
+        for batch in slices(batches, "_text", SLICE_BYTES):
+            for doc, text in zip(batch.column(0).to_pylist(), column_bytes(batch, "_text"), strict=True):
+                yield from map(out, own.add(doc, ids.encode([text or b""])[0] + end))
         if own.held:
             yield out(own.take())
 

@@ -43,6 +43,23 @@ def test_words_at_once_are_the_words_one_by_one(tokenizer):
     assert own.each([*words[:5], f"a{MARK}b", MARK, f"{MARK}{MARK}"])[:5] == alone[:5] and own.each([MARK]) == [own.mark.tobytes()] and own.each(["one"]) == [np.array(tokenizer.encode("one", add_special_tokens=False).ids, "<u4").tobytes()]
 
 
+def test_plain_words_are_merged_without_whole_calls(tokenizer, monkeypatch):
+    own, rng = WordIds(PATH), random.Random(5)
+    letters = ["aeinrst'slr", "abcXYZ019.,!?'-#&<|>/", "éàüßñçÉÀÜÑÿþÐ'eas", "'revdmlts"]
+    words = ["it's", "'S", "don't'll", "#'s", "a'\u00e9'd", "ÀÉß", "x.y/z-9", "<|", "|>", "\u00c3\u00e9", "y" * 300, *("".join(rng.choice(rng.choice(letters)) for _ in range(rng.randint(1, 14))) for _ in range(4000))]
+    texts = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    monkeypatch.setattr(own, "each", lambda words: pytest.fail("a whole call"))
+    assert own.encode([t.encode() for t in texts]) == want
+
+
+def test_broken_utf8_and_special_names_are_not_plain(tokenizer):
+    own = WordIds(PATH)
+    for word in (b"a\xc3", b"\xc3a\xa9", b"\xa9", b"\xc3\x97", b"\xc3\xb7", b"a\x01", b"a\x7f", b"x<|endoftext|>", "e\u0301".encode(), "漢".encode()):
+        assert not own.known.is_plain(word)
+        assert own.encode([word])[0] == np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def bins_of(plan, counts, capacity):
     """Contents of each bin as (offset, length), by following the plan's rows."""
     bins = defaultdict(list)
