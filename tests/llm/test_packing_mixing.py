@@ -60,6 +60,18 @@ def test_broken_utf8_and_special_names_are_not_plain(tokenizer):
         assert own.encode([word])[0] == np.array(tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_few_words_are_remembered_whatever_is_encoded_at_a_time():
+    own, texts = WordIds(PATH, 100), [" ".join(f"{chr(97 + i % 26)}q{chr(97 + k)}{chr(97 + i // 26)}z" for k in range(20)) for i in range(60)]
+    most = 0
+    for n in (1, 60):
+        got = own.encode([t.encode() for t in texts[:n]])
+        most = max(most, len(own.known))
+    assert got == [WordIds(PATH).encode([t.encode()])[0] for t in texts] and most <= 120
+    before = len(own.known)
+    own.encode([b"w" * 5000, ("漢" * 5000).encode()])
+    assert len(own.known) == before
+
+
 def bins_of(plan, counts, capacity):
     """Contents of each bin as (offset, length), by following the plan's rows."""
     bins = defaultdict(list)
