@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions.text import plain_ascii
 from .segmentation import segmented
 
-#: The ways a bill is written.
-MENTION = r"(?i:\b(?:[HS]F|[HS]\s*\.?\s*F\s*\.?|(?:House|Senate)\s+File)\s*(?:No\.?\s*)?\d(?:\s*\d){0,5}\b)"
+#: The ways a bill is written, and the most digits of its number unless told otherwise.
+MENTION = r"(?i:\b(?:[HS]F|[HS]\s*\.?\s*F\s*\.?|(?:House|Senate)\s+File)\s*(?:No\.?\s*)?\d(?:\s*\d){0,%d}\b)"
+DIGITS = 6
 #: Words of a stance on a bill.
 SUPPORT = r"(?i)\b(?:support(?:s|ed|ing)?|back(?:s|ed|ing)?|endorse(?:s|d|ment)?|vote(?:d|s|ing)?\s+(?:yes|aye|for)|vote(?:d|s|ing)?\s+in\s+favor(?:\s+of)?|vote(?:d|s|ing)?\s+to\s+pass|will\s+vote\s+(?:yes|aye|for))\b"
 DENIED = r"(?i)\b(?:(?:do|does|did)\s+not\s+support|(?:cannot|can't|won't|wouldn't)\s+support|will\s+not\s+support|will\s+not\s+vote\s+for|(?:cannot|can't|won't|wouldn't)\s+vote\s+for)\b"
@@ -71,12 +72,12 @@ def attribution(name: Column) -> Column:
     return F.concat(F.lit(r"(?i)\b(?:i|we|(?:rep(?:resentative)?|sen(?:ator)?)\.?\s+(?:[a-z][a-z'.-]*\s+){0,3}"), last, F.lit(r")\b"))
 
 
-def mentions(docs: DataFrame, text: str, window: int) -> DataFrame:
+def mentions(docs: DataFrame, text: str, window: int, digits: int = DIGITS) -> DataFrame:
     """docs without text (its other columns must tell texts apart), with at, bill (HF12) and excerpt for every mention: the mention and window characters on either side, white space
     squeezed; bill_at: where it stands there, from 0; raw: the mention as there."""
     keys = [c for c in docs.columns if c != text]
     own = Window.partitionBy(*keys).orderBy("at")
-    s = segmented(docs, text, {"bill": MENTION})
+    s = segmented(docs, text, {"bill": MENTION % (digits - 1)})
     # A mention has three characters at least, so no window holds more pieces than this.
     near = window // 3 + 1
     tails = F.collect_list(F.right(F.concat("anchor", "body"), F.lit(window))).over(own.rowsBetween(-near, -1))
@@ -97,7 +98,7 @@ def found(text: Column, pattern: Column | str) -> Column:
     return F.regexp_substr(text, F.lit(pattern) if isinstance(pattern, str) else pattern)
 
 
-def bill_statements(docs: DataFrame, text: str = "text", name: str = "name") -> DataFrame:
+def bill_statements(docs: DataFrame, text: str = "text", name: str = "name", digits: int = DIGITS) -> DataFrame:
     """docs without text (its other columns must tell texts apart), with bill, stance and excerpt: what a text of a member (name) says for or against a bill, each bill and stance once, by its
     first mention.
 
@@ -105,7 +106,7 @@ def bill_statements(docs: DataFrame, text: str = "text", name: str = "name") ->
     the three stand in one sentence.  A window with both stances says nothing.
     """
     keys = [c for c in docs.columns if c != text]
-    m = mentions(docs, text, WINDOW)
+    m = mentions(docs, text, WINDOW, digits)
     e = F.col("excerpt")
     m = m.select("*", place(e, DENIED).alias("no_at"), F.length(found(e, DENIED)).alias("no_n"), place(e, SUPPORT).alias("for_at"), F.length(found(e, SUPPORT)).alias("for_n"), place(e, OPPOSE).alias("against_at"), F.length(found(e, OPPOSE)).alias("against_n"), attribution(F.col(name)).alias("who"))
     # Support inside a denial is no support; a denial opposes unless other words do.
@@ -141,14 +142,14 @@ def issue_positions(docs: DataFrame, text: str = "text", name: str = "name") ->
     return s.withColumn("stance", F.when(F.col("commitment") == "explicit_support", "supports").when(F.col("commitment") == "explicit_opposition", "opposes").otherwise("unclear"))
 
 
-def speeches(docs: DataFrame, members: DataFrame, text: str = "text") -> DataFrame:
+def speeches(docs: DataFrame, members: DataFrame, text: str = "text", digits: int = DIGITS) -> DataFrame:
     """docs without text (its other columns must tell texts apart), with bill, member, stance and excerpt: members (member, name, chamber) who stand by full name, or by their chamber's title and
     surname, in the window of a bill's mention that tells of a speech.  Each member, bill, stance and excerpt once.
 
     Windows meet members by an equality join on the surname's last word; the patterns then decide.  A window with both stances or none is unclear.
     """
     keys = [c for c in docs.columns if c != text]
-    m = mentions(docs, text, SPEECH_WINDOW).withColumn("excerpt", F.left("excerpt", F.lit(700))).where(F.col("excerpt").rlike(SPEECH))
+    m = mentions(docs, text, SPEECH_WINDOW, digits).withColumn("excerpt", F.left("excerpt", F.lit(700))).where(F.col("excerpt").rlike(SPEECH))
     e = F.col("excerpt")
     supports, opposes = e.rlike(SPEECH_FOR), e.rlike(SPEECH_AGAINST)
     m = m.withColumn("stance", F.when(supports == opposes, "unclear").when(supports, "supports").otherwise("opposes"))

@@ -10,6 +10,8 @@ from ..sources.tables import read
 from .parsers import planted
 from .registry import query
 
+#: Digits of the largest event ids, which are bills' numbers here.
+DIGITS = 19
 #: Longer than a window, and without words that matter.
 FILLER = " Then the clerk read out a list of other things." * 6 + "\n"
 
@@ -37,7 +39,7 @@ SELECT id, CASE WHEN form IN (0, 1, 2) THEN 'HF' ELSE 'SF' END || i AS bill, CAS
 )
 def fn38(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a member's texts say for or against bills: every mention in a window of its own."""
-    return S.bill_statements(sentences(spark, sf_dir, ON_BILLS).withColumn("name", F.lit("Ann Döe"))).select("id", "bill", "stance")
+    return S.bill_statements(sentences(spark, sf_dir, ON_BILLS).withColumn("name", F.lit("Ann Döe")), digits=DIGITS).select("id", "bill", "stance")
 
 
 ON_ISSUES = ["I support better schools in {i} towns.", "Senator Doe opposes the property tax of {i}.", "We will fight to keep {i} hospital doors open.", "My top priority is clean energy and police in {i}.", "My top priority is affordable housing in {i}.", "Nobody there spoke on transit in {i}.", "I like schools {i}", "I support and oppose the union plan {i}."]

@@ -32,3 +32,12 @@ def test_a_letter_with_a_mark_ends_a_word(spark, same, tmp_path):
 def test_pages_that_share_an_address_have_their_own_captures(spark, same, tmp_path):
     pages = pd.DataFrame({"page_id": range(8), "url": ["http://a.b/c?x=1&y=2"] * 3 + ["https://d.e/", "https://d.e/", "plain", None, None]})
     assert agrees(spark, same, tmp_path, "src19_feeds", pages=pages) == 8
+
+
+def many(first: int) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": range(first, first + 120)})
+
+
+def test_statements_on_bills_of_seven_digits_and_more(spark, same, tmp_path):
+    for first in (999_960, 10**18):
+        assert agrees(spark, same, tmp_path, "fn38_explicit_statements", events=many(first)) == 72
