@@ -75,4 +75,4 @@ def fn35_speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda f: F.get(F.array(*(F.lit(f(names[j])) for j in range(25))), k)
     title = lambda even: F.when((k % 2 == 0) == even, "Rep.").otherwise("Senator")
     docs = sentences(spark, sf_dir, ON_SPEECHES, {"full": pick(str), "last": pick(lambda n: n.split()[-1]), "title": title(True), "other": title(False)})
-    return S.speeches(docs, members).select("id", "bill", "member", "stance")
+    return S.speeches(docs, members, digits=DIGITS).select("id", "bill", "member", "stance")

@@ -41,3 +41,9 @@ def many(first: int) -> pd.DataFrame:
 def test_statements_on_bills_of_seven_digits_and_more(spark, same, tmp_path):
     for first in (999_960, 10**18):
         assert agrees(spark, same, tmp_path, "fn38_explicit_statements", events=many(first)) == 72
+
+
+def test_speeches_on_bills_of_seven_digits_and_more(spark, same, tmp_path):
+    nations = pd.DataFrame({"n_nationkey": range(25), "n_name": [f"NATION_{i}" for i in range(25)]}).astype({"n_nationkey": "int32"})
+    for first in (999_960, 10**18):
+        assert agrees(spark, same, tmp_path, "fn35_speeches", events=many(first), nation=nations) == 72
