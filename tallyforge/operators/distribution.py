@@ -76,27 +76,60 @@ def chamber(forecasts: DataFrame, by: list[str], required: Column | None = None,
 def simulated(forecasts: DataFrame, by: str, coalition: str = "party", runs: int = 25_000, seed: int = 20_260_908, interval: float = INTERVAL) -> DataFrame:
     """by, members, expected_yes, yes_low, yes_high and passage_p by drawing shocks of the whole, of the bill and of each coalition on the log odds.
 
-    One group is one array of chances in a task; runs are drawn in numpy from a generator seeded by seed and the group, so reruns agree.
+    Each group draws the same numbers from the start, as the generator is seeded anew for each: every run has its shocks, and one number for each place of a member and of a coalition.  A member
+    votes yes where its number lies under its chance, that is where its log odds exceed the number's less the shocks; so a task works out these bounds once and compares them with each group's
+    log odds.  One group is one array of chances in a task.
     """
     rows = forecasts.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("p", F.col(coalition).cast("string").alias("c")))).alias("m")).select(F.col(by).cast("long").alias(by), F.col("m.p").alias("p"), F.col("m.c").alias("c"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds = ShockBounds(runs, seed)
         for f in frames:
             out = []
             for key, p, c in zip(f[by], f["p"], f["c"], strict=True):
-                random = np.random.default_rng([seed, int(key) & 0xFFFFFFFF])
                 p = np.clip(np.asarray(p, float), 1e-6, 1 - 1e-6)
-                names, of = np.unique(np.asarray(c, str), return_inverse=True)
-                whole = random.normal(size=(runs, 1)) * SHOCKS[0] + random.normal(size=(runs, 1)) * SHOCKS[2]
-                own = random.normal(size=(runs, len(names))) * SHOCKS[1]
-                yes = (random.random((runs, len(p))) < 1 / (1 + np.exp(-(np.log(p / (1 - p)) + whole + own[:, of])))).sum(axis=1)
-                low, high = np.quantile(yes, [(1 - interval) / 2, (1 + interval) / 2], method="inverted_cdf")
-                out.append((key, len(p), yes.mean(), int(low), int(high), (yes >= len(p) // 2 + 1).mean()))
+                of = np.unique(np.asarray(c, str), return_inverse=True)[1]
+                counts = bounds.counts(np.log(p / (1 - p)), of)
+                low, high = np.searchsorted(np.cumsum(counts), [np.ceil(runs * q) for q in ((1 - interval) / 2, (1 + interval) / 2)])
+                out.append((key, len(p), (counts @ np.arange(len(counts))) / runs, int(low), int(high), counts[len(p) // 2 + 1 :].sum() / runs))
             yield pd.DataFrame(out, columns=[by, "members", "expected_yes", "yes_low", "yes_high", "passage_p"])
 
     return rows.mapInPandas(run, f"{by} long, members long, expected_yes double, yes_low long, yes_high long, passage_p double")
 
 
+class ShockBounds:
+    """What each run's shocks and numbers ask of a member's log odds, by the member's place in its group and its coalition's: worked out when first met, at most KEPT of them kept."""
+
+    KEPT = 256
+
+    def __init__(self, runs: int, seed: int):
+        self.runs, self.seed = runs, seed
+        self.whole = self.normal(0, 0) * SHOCKS[0] + self.normal(1, 0) * SHOCKS[2]
+        self.kept: dict[tuple[int, int], np.ndarray] = {}
+
+    def normal(self, kind: int, place: int) -> np.ndarray:
+        return np.random.default_rng([self.seed, kind, place]).normal(size=self.runs)
+
+    def of(self, member: int, coalition: int) -> np.ndarray:
+        found = self.kept.get((member, coalition))
+        if found is None:
+            u = np.random.default_rng([self.seed, 3, member]).random(self.runs)
+            with np.errstate(divide="ignore"):
+                found = np.log(u / (1 - u)) - self.whole - self.normal(2, coalition) * SHOCKS[1]
+            if len(self.kept) < self.KEPT:
+                self.kept[member, coalition] = found
+        return found
+
+    def counts(self, odds: np.ndarray, coalitions: np.ndarray) -> np.ndarray:
+        """In how many runs 0, 1 ... all of the members (their log odds and the places of their coalitions) vote yes."""
+        n = np.zeros(self.runs, np.uint8 if len(odds) < 256 else np.int64)
+        for i, (x, c) in enumerate(zip(odds.tolist(), coalitions.tolist(), strict=True)):
+            n += (self.of(i, c) < x).view(np.uint8)
+        if len(odds) < 16:
+            return np.array([np.count_nonzero(n == k) for k in range(len(odds) + 1)])
+        return np.bincount(n, minlength=len(odds) + 1)
+
+
 def xorshift(seed: int) -> Iterator[float]:
     """Numbers in [0, 1) of the 32-bit xorshift generator with shifts 13, 17 and 5."""
     state = seed & 0xFFFFFFFF or 0x6D2B79F5

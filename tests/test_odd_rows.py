@@ -1,6 +1,7 @@
 """Queries against their SQL on rows that small tables lack: odd letters, shared addresses, large ids, crowded events."""
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from tallyforge import catalog
@@ -53,3 +54,27 @@ def test_a_senate_list_stays_short_however_many_orders_a_journal_has(spark, same
     orders = pd.DataFrame({"o_orderkey": [*range(200_000), 250_000, 250_001], "o_custkey": [1] * 200_001 + [2]})
     tables = {"customer": pd.DataFrame({"c_custkey": [1, 2], "c_nationkey": [0, 1]}), "nation": pd.DataFrame({"n_nationkey": [0, 1], "n_name": ["NATION_0", "NATION_1"]})}
     assert agrees(spark, same, tmp_path, "src18_appointments", orders=orders, **tables) == 600_006
+
+
+def test_simulated_groups_draw_the_same_numbers_as_a_plain_loop_would():
+    from tallyforge.operators import distribution as D
+
+    b, runs = D.ShockBounds(2000, 7), 2000
+    rng = np.random.default_rng(1)
+    for n in (1, 5, 20, 300):
+        p, of = rng.uniform(0.01, 0.99, n), rng.integers(0, 3, n)
+        whole = b.normal(0, 0) * D.SHOCKS[0] + b.normal(1, 0) * D.SHOCKS[2]
+        own = np.stack([b.normal(2, c) * D.SHOCKS[1] for c in range(3)], 1)[:, of]
+        u = np.stack([np.random.default_rng([7, 3, i]).random(runs) for i in range(n)], 1)
+        yes = (u < 1 / (1 + np.exp(-(np.log(p / (1 - p)) + whole[:, None] + own)))).sum(axis=1)
+        assert np.array_equal(b.counts(np.log(p / (1 - p)), of), np.bincount(yes, minlength=n + 1))
+        assert abs((b.counts(np.log(p / (1 - p)), of) @ np.arange(n + 1)) / runs / n - p.mean()) < 0.1
+    assert len(b.kept) <= b.KEPT
+
+
+def test_groups_with_equal_members_have_equal_simulations(spark):
+    from tallyforge.operators.distribution import simulated
+
+    rows = [(g, p, c) for g in (1, 2) for p, c in ((0.7, "x"), (0.2, "y"), (0.5, "x"))]
+    a, b = sorted(map(tuple, simulated(spark.createDataFrame(rows, "g long, p double, party string"), "g").collect()))
+    assert a[1:] == b[1:] and a[1] == 3
