@@ -78,3 +78,31 @@ def test_groups_with_equal_members_have_equal_simulations(spark):
     rows = [(g, p, c) for g in (1, 2) for p, c in ((0.7, "x"), (0.2, "y"), (0.5, "x"))]
     a, b = sorted(map(tuple, simulated(spark.createDataFrame(rows, "g long, p double, party string"), "g").collect()))
     assert a[1:] == b[1:] and a[1] == 3
+
+
+def test_analogues_of_copies_companions_and_others_in_blocks_of_any_size(spark, same, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyforge.functions import text as T
+    from tallyforge.functions.numeric import half_life
+    from tallyforge.functions.similarity import floor_of, relationship, weighted_similarity
+    from tallyforge.operators.analogues import analogue_pairs, compact
+    from tallyforge.plans.texts import bills
+
+    rng = np.random.default_rng(3)
+    words = [*"school teachers tax credit hospital county license grants shall must water farm court voters union".split(), *(f"word{i}" for i in range(40))]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 30))) for _ in range(90)]
+    docs = pd.DataFrame({"doc_id": range(240), "text": [texts[rng.integers(0, 90)] for _ in range(240)], "lang": rng.choice(["en", "de"], 240), "source": rng.choice(["a", "b", "c"], 240), "n_chars": 1})
+    assert agrees(spark, same, tmp_path, "join18_analogues", documents=docs) > 100
+    docs.loc[[7, 11, 20], ["text"]] = None
+    docs.to_parquet(tmp_path / "documents.parquet")
+    b = bills(spark, str(tmp_path))
+    t, f = b.where("f.bill % 20 = 0").select(F.col("f").alias("t")), b
+    pairs = t.join(f, (F.col("f.day") < F.col("t.day")) & (F.col("f.bill") != F.col("t.bill"))).select(F.col("t.bill").alias("a"), F.col("f.bill").alias("b"), relationship("t", "f").alias("relation"), weighted_similarity("t", "f").alias("similarity"))
+    want = {(r["a"], r["b"]): (r["relation"], r["similarity"]) for r in pairs.where("relation IS NOT NULL OR similarity >= 0.18").collect()}
+    small = b.select(compact("f", {"policy": T.POLICY_TERMS, "actions": T.ACTION_TERMS, "entities": T.ENTITY_TERMS}).alias("f"))
+    targets = small.where("f.bill % 20 = 0")
+    all_ = {(r["target"], r["candidate"]): (r["relation"], r["similarity"]) for r in analogue_pairs(targets, small, 1000, 0.18, 730.0, block_rows=37, group_rows=5).collect()}
+    assert all_ == want
+    ten = analogue_pairs(targets, small, 10, 0.18, 730.0).withColumn("score", F.greatest("similarity", floor_of(F.col("relation"))) * (0.75 + 0.25 * half_life(F.col("target_day") - F.col("day"), 730.0)))
+    assert {(r["target"], r["candidate"]) for r in ten.collect()} < set(want) and ten.groupBy("target").count().where("count < 10").count() < 6
