@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def element(tag: str) -> str:
+    return rf"(?is)<(?:[\w.-]+:)?{tag}\b[^>]*>(.*?)</(?:[\w.-]+:)?{tag}>"
+
+
 def blocks(text: Column, tag: str) -> Column:
     """What stands inside each element of a name, with or without a namespace prefix."""
-    return F.regexp_extract_all(text, F.lit(rf"(?is)<(?:[\w.-]+:)?{tag}\b[^>]*>(.*?)</(?:[\w.-]+:)?{tag}>"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(element(tag)), F.lit(1))
 
 
 def unescaped(text: Column) -> Column:
@@ -21,8 +25,12 @@ def unescaped(text: Column) -> Column:
 
 
 def tag(block: Column, name: str) -> Column:
-    """The first element of a name; null where there is none or it is empty."""
-    return F.nullif(unescaped(F.get(blocks(block, name), F.lit(0))), F.lit(""))
+    """The first element of a name; null where there is none or it is empty.
+
+    An array of one binds what was found, which is so looked for once and taken apart only if it holds anything to resolve.
+    """
+    plain = F.transform(F.array(F.regexp_extract(block, element(name), 1)), lambda x: F.when(x.rlike(r"[<&\s]"), unescaped(x)).otherwise(x))
+    return F.get(F.filter(plain, lambda x: x != ""), F.lit(0))
 
 
 def https(url: Column) -> Column:

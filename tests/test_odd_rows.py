@@ -106,3 +106,15 @@ def test_analogues_of_copies_companions_and_others_in_blocks_of_any_size(spark,
     assert all_ == want
     ten = analogue_pairs(targets, small, 10, 0.18, 730.0).withColumn("score", F.greatest("similarity", floor_of(F.col("relation"))) * (0.75 + 0.25 * half_life(F.col("target_day") - F.col("day"), 730.0)))
     assert {(r["target"], r["candidate"]) for r in ten.collect()} < set(want) and ten.groupBy("target").count().where("count < 10").count() < 6
+
+
+def test_versions_are_taken_apart_once(spark):
+    from tallyforge.functions.parsing import tag
+
+    from .conftest import SF
+
+    plan = catalog.QUERIES["src09_text_versions"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "regexp" in line]
+    texts = ["<A> x\n&amp; <b>y</b> </A><a>z</a>", "<n:a c='d'>1</n:a>", "<a></a>", "<a> &nbsp; </a><a>2</a>", "<a><![CDATA[3 & 4]]></a>", "<ab>5</ab>", "", None]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, b string").select("i", tag("b", "a").alias("t")).orderBy("i").collect()]
+    assert got == ["x & y", "1", None, None, "3 & 4", None, None, None]
