@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+
 
 def daily(df: DataFrame, keys: Sequence[str], day: str, measures: dict[str, Column]) -> DataFrame:
     return df.groupBy(*keys, day).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
@@ -33,6 +35,16 @@ def rejoin(df: DataFrame, more: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.join(other, on).drop(*(f"_{n}" for n in names))
 
 
+#: Rows of a table that are broadcast at most.
+FEW = 200_000
+
+
+def rejoin_few(df: DataFrame, more: DataFrame, names: Sequence[str]) -> DataFrame:
+    """As rejoin, for more that may be few rows: it is written and counted, and broadcast if so."""
+    few = written(more)
+    return rejoin(df, F.broadcast(few) if few.count() <= FEW else few, names)
+
+
 #: Half-lives that a history may span: a double holds 2 to the power of 1023.
 MOST_HALF_LIVES = 900
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp
 from ..sources.tables import written
-from .asof import decayed_prior_days, rejoin, strict_prior_days
+from .asof import decayed_prior_days, rejoin, rejoin_few, strict_prior_days
 
 # Prior strengths, caps, bounds and least support of the member model.
 PARTY_PRIOR, MEMBER_PRIOR, ANALOGUE_CAP, LEAST_GLOBAL, FALLBACK, LOW, HIGH = 12, 3, 8, 20, 0.5, 0.005, 0.995
@@ -15,20 +15,31 @@ BASELINE_PRIOR = 4
 BINS, LEAST_BIN, SMOOTHING = 10, 25, 4
 
 
-def prior_counts(votes: DataFrame, within: tuple[str, ...] = (), half_life: float | None = None) -> DataFrame:
+def prior_counts(votes: DataFrame, within: tuple[str, ...] = (), half_life: float | None = None, more: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """votes with strictly prior yes and n of all (g_), of the party (p_) and of the member (m_), each within the given columns.
 
-    half_life: of party's and member's history; the global one doesn't decay.  Votes are read twice: for one row per member and day, which is written and from which all
-    three histories are summed, and to take these back.
+    half_life: of party's and member's history; the global one doesn't decay.  more: further histories without decay within fewer columns, by what their names begin with.
+
+    Votes are read twice: for one row per member and day, which is written beside the member's sums, and to take these back.  The sums of party and of all are few rows, taken from the same table.
     """
-    keys = [*within, "party", "member_id", "day"]
-    days = written(votes.groupBy(*keys).agg(F.sum("outcome").alias("yes"), F.count("*").alias("n")))
+    keys, sets = [*within, "party", "member_id", "day"], {"": within} | (more or {})
+    days = votes.groupBy(*keys).agg(F.sum("outcome").alias("yes"), F.count("*").alias("n"))
+    if half_life is None:
+        # A window by few columns first: those by more then find their rows together.
+        for lead, own in sorted(sets.items(), key=lambda x: len(x[1])):
+            before = Window.partitionBy(*(["member_id", *own])).orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
+            days = days.withColumns({f"{lead}m_{v}": F.coalesce(F.when(F.col("day").isNotNull(), F.sum(v).over(before)), F.lit(0)) for v in ("yes", "n")})
+    days = written(days)
     sums = days.drop("yes", "n")
-    for short, own, decay in (("m", ["member_id"], half_life), ("p", ["party"], half_life), ("g", [], None)):
-        measures = {f"{short}_yes": F.col("yes"), f"{short}_n": F.col("n")}
-        prior = strict_prior_days(days, [*within, *own], measures) if decay is None else decayed_prior_days(days, [*within, *own], measures, decay)
-        sums = rejoin(sums, prior, [*within, *own, "day"])
-    return rejoin(votes, sums, keys)
+    if half_life is not None:
+        sums = rejoin(sums, decayed_prior_days(days, [*within, "member_id"], {"m_yes": F.col("yes"), "m_n": F.col("n")}, half_life), [*within, "member_id", "day"])
+    out = rejoin(votes, sums, keys)
+    for lead, columns in sets.items():
+        for short, own, decay in (("p", ["party"], half_life), ("g", [], None)):
+            measures = {f"{lead}{short}_yes": F.col("yes"), f"{lead}{short}_n": F.col("n")}
+            prior = strict_prior_days(days, [*columns, *own], measures) if decay is None else decayed_prior_days(days, [*columns, *own], measures, decay)
+            out = rejoin_few(out, prior, [*columns, *own, "day"])
+    return out
 
 
 def rate(yes: Column, n: Column) -> Column:

@@ -118,3 +118,18 @@ def test_versions_are_taken_apart_once(spark):
     texts = ["<A> x\n&amp; <b>y</b> </A><a>z</a>", "<n:a c='d'>1</n:a>", "<a></a>", "<a> &nbsp; </a><a>2</a>", "<a><![CDATA[3 & 4]]></a>", "<ab>5</ab>", "", None]
     got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, b string").select("i", tag("b", "a").alias("t")).orderBy("i").collect()]
     assert got == ["x & y", "1", None, None, "3 & 4", None, None, None]
+
+
+def test_histories_within_fewer_columns_come_with_the_others(spark):
+    from tallyforge.operators.rates import prior_counts
+
+    rng = np.random.default_rng(4)
+    rows = [(i, f"c{rng.integers(2)}", int(rng.integers(2)), f"m{rng.integers(4)}", None if i % 29 == 0 else int(rng.integers(9)), int(rng.integers(2))) for i in range(200)]
+    votes = spark.createDataFrame(rows, "id int, chamber string, party int, member_id string, day int, outcome int")
+    got = {r["id"]: r.asDict() for r in prior_counts(votes, ("chamber",), more={"all_": ()}).collect()}
+    assert len(got) == 200
+    for i, c, p, m, d, _ in rows:
+        for lead, own in (("", [r for r in rows if r[1] == c]), ("all_", rows)):
+            for short, kin in (("m", [r for r in own if r[3] == m]), ("p", [r for r in own if r[2] == p]), ("g", own)):
+                before = [r[5] for r in kin if d is not None and (r[4] is None or r[4] < d)]
+                assert (got[i][f"{lead}{short}_yes"], got[i][f"{lead}{short}_n"]) == (sum(before), len(before))
