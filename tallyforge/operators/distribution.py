@@ -57,11 +57,11 @@ def smoothed_quantile(pmf: Column, q: float, sigma: Column) -> Column:
     return F.when(sigma > 0, F.coalesce(F.get(found, F.lit(0)), n)).otherwise(quantile(pmf, q))
 
 
-def chamber(forecasts: DataFrame, by: list[str], required: Column | None = None, interval: float = INTERVAL) -> DataFrame:
-    """members, expected_yes, required_yes, pmf, independent_p, passage_p, yes_low, yes_high by group.  required: over half of the members if not given."""
+def chamber(forecasts: DataFrame, by: list[str], required: Column | None = None, interval: float = INTERVAL, error: float = SIGMA) -> DataFrame:
+    """members, expected_yes, required_yes, pmf, independent_p, passage_p, yes_low, yes_high by group.  required: over half of the members if not given.  error: of the count, from LEAST_MEMBERS on; 0 for none."""
     groups = forecasts.groupBy(*by).agg(F.count("*").alias("members"), F.array_sort(F.collect_list("p")).alias("chances"))
     out = groups.withColumn("expected_yes", F.aggregate("chances", F.lit(0.0), lambda a, x: a + x)).withColumn("required_yes", (F.floor(F.col("members") / 2) + 1 if required is None else required).cast("long"))
-    out = out.withColumn("pmf", count_pmf(F.col("chances"))).withColumn("sigma", F.when(F.col("members") >= LEAST_MEMBERS, SIGMA).otherwise(0.0))
+    out = out.withColumn("pmf", count_pmf(F.col("chances"))).withColumn("sigma", F.when(F.col("members") >= LEAST_MEMBERS, error).otherwise(0.0))
     pmf, need, sigma = F.col("pmf"), F.col("required_yes"), F.col("sigma")
     at_least = F.aggregate(F.transform(pmf, lambda x, i: F.when(i >= need, x).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     passage = F.when(need <= 0, 1.0).when(need > F.col("members"), 0.0).otherwise(1 - smoothed_cdf(pmf, need - 0.5, sigma))

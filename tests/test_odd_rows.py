@@ -133,3 +133,17 @@ def test_histories_within_fewer_columns_come_with_the_others(spark):
             for short, kin in (("m", [r for r in own if r[3] == m]), ("p", [r for r in own if r[2] == p]), ("g", own)):
                 before = [r[5] for r in kin if d is not None and (r[4] is None or r[4] < d)]
                 assert (got[i][f"{lead}{short}_yes"], got[i][f"{lead}{short}_n"]) == (sum(before), len(before))
+
+
+def crowded(sizes: list[int]) -> dict[str, pd.DataFrame]:
+    """Tables of one event of each size, a vote a line."""
+    rng = np.random.default_rng(6)
+    line = pd.DataFrame({"l_orderkey": np.repeat(np.arange(len(sizes)), sizes)})
+    n = len(line)
+    line = line.assign(l_partkey=np.arange(n), l_suppkey=rng.integers(0, 9, n), l_linenumber=1, l_discount=rng.integers(0, 11, n) / 100, l_returnflag=rng.choice(list("RAN"), n), l_linestatus=rng.choice(list("OF"), n), l_tax=0.01)
+    orders = pd.DataFrame({"o_orderkey": np.arange(len(sizes)), "o_orderdate": pd.Timestamp("1995-01-01") + pd.to_timedelta(np.arange(len(sizes)) // 2, "D"), "o_orderpriority": "1-URGENT"})
+    return {"lineitem": line, "orders": orders, "supplier": pd.DataFrame({"s_suppkey": range(9), "s_nationkey": [0, 1, 2] * 3}), "nation": pd.DataFrame({"n_nationkey": range(3), "n_name": list("abc"), "n_regionkey": [0, 1, 1]})}
+
+
+def test_events_of_twenty_members_and_more(spark, same, tmp_path):
+    assert agrees(spark, same, tmp_path, "dst04_chamber", **crowded([3, 19, 20, 21, 1, 45, 20, 8])) == 8
