@@ -147,3 +147,12 @@ def crowded(sizes: list[int]) -> dict[str, pd.DataFrame]:
 
 def test_events_of_twenty_members_and_more(spark, same, tmp_path):
     assert agrees(spark, same, tmp_path, "dst04_chamber", **crowded([3, 19, 20, 21, 1, 45, 20, 8])) == 8
+
+
+def test_parts_meet_by_the_classes_of_their_titles(spark, same, tmp_path, monkeypatch):
+    from tallyforge.plans import texts
+
+    names = ["large ring", "ring large", "Ring bolt", "old plate", "", "12 of", None, "plate ring bolt", "large large ring"]
+    part = pd.DataFrame({"p_partkey": range(90), "p_name": names * 10, "p_brand": (["a"] * 9 + ["b"] * 9 + [None] * 9) * 3 + ["a"] * 9})
+    monkeypatch.setattr(texts, "PAIR_ROWS", 13)
+    assert agrees(spark, same, tmp_path, "fn10_jaccard", part=part) > 100
